@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import bpe, embed_dedup, mixing, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +19,29 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op3_simhash": op3_simhash}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_read(spark, sf_dir, "documents"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(_read(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
+    "op2_embeddings": op2_embeddings,
+    "op3_simhash": op3_simhash,
+    "op4_bpe": op4_bpe,
+    "op10_urls": op10_urls,
+}
 
 ORACLES: dict[str, str] = {}
 
