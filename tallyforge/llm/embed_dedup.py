@@ -22,8 +22,8 @@ from .common import sorted_groups, stage
 from .components import Forest, components
 
 THRESHOLD = 0.98
-#: The codebooks' sample, and the codewords of each half for so many vectors: about one for each PER_CELL per axis.
-SAMPLE, PER_CELL, MOST_CODES = 8192, 64, 256
+#: The bound of the sample that the codebooks are fitted on; a grid has about a cell for so many vectors, and at most so many codewords per axis.
+SAMPLE, PER_CELL, MOST_CODES = 8192, 4096, 256
 #: Residents and visitors of a cell are dealt to blocks of about this many.
 BLOCK = 2048
 
