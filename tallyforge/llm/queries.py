@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, mixing, simhash, urlfilter
+from . import bpe, chat, embed_dedup, langid, licenses, mixing, omh, pii, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,19 +31,91 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_read(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.fingerprinted(_read(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_read(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_read(spark, sf_dir, "documents")).drop("detections")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_read(spark, sf_dir, "conversations"))
+
+
+def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_read(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(_read(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_embeddings": op2_embeddings,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_pii": op6_pii,
+    "op7_licenses": op7_licenses,
+    "op8_chat": op8_chat,
+    "op9_languages": op9_languages,
     "op10_urls": op10_urls,
+    "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+
+def _like(globs: tuple[str, ...], column: str) -> str:
+    return " OR ".join(f"{column} LIKE '{g.replace('*', '%')}'" for g in globs)
+
+
+def _first_like(globs: tuple[str, ...], column: str) -> str:
+    return " ".join(f"WHEN {column} LIKE '{g.replace('*', '%')}' THEN '{g}'" for g in globs)
+
+
+def _urls_sql() -> str:
+    fits = lambda rule: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*rule.split("/", 1))
+    longest = sorted(urlfilter.RULES, key=lambda r: -len(r[1]))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest)
+    verdict = " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in longest)
+    own = f"{_first_like(urlfilter.BLOCKED_HOSTS, 'host')} {_first_like(urlfilter.BLOCKED_PATHS, 'path')}"
+    return f"""
+WITH cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+       CASE {verdict} WHEN {_like(urlfilter.BLOCKED_HOSTS, "host")} OR {_like(urlfilter.BLOCKED_PATHS, "path")} THEN 'block' ELSE 'allow' END AS verdict,
+       CASE {rule} {own} END AS reason
+FROM parts"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_embeddings": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {embed_dedup.THRESHOLD}),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.x = v.vec_id) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON least.x = v.vec_id""",
+    # for messages that are not JSON objects, of which the given tables consist; tool calls are tested on a fixture
+    "op8_chat": """
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, 0::BIGINT AS n_calls,
+       '' AS call_status, NULL::VARCHAR AS link, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' AS message
+FROM conversations""",
+    "op10_urls": _urls_sql(),
+}
 
 
 def queries() -> dict[str, Query]:
