@@ -1 +1,3 @@
+"""Modules that register queries when imported."""
 
+from tallyforge.plans import aggregates, joins, scalars, series, signals  # noqa: F401

@@ -1,0 +1,171 @@
+"""Attention rules: each gives rows of one shape, and all are united in the order of their names."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyforge.catalog import query, table
+from tallyforge.operators import windows
+from tallyforge.plans.common import OBSERVED, REPORTS, observed, reports
+
+SEVERITIES = ("INFO", "WATCH", "HIGH")
+
+
+def emitted(rows: DataFrame, rule: str, severity: Column, subject: Column, seq: Column, detail: Column) -> DataFrame:
+    """The one shape of signals."""
+    return rows.select(F.lit(rule).alias("rule"), severity.alias("severity"), F.col("entity").cast("long").alias("entity"), subject.cast("string").alias("subject"), seq.cast("long").alias("seq"), detail.cast("string").alias("detail"))
+
+
+def _steps(rows: DataFrame) -> DataFrame:
+    w = Window.partitionBy("entity").orderBy("seq")
+    return rows.withColumn("previous", F.lag("rating").over(w))
+
+
+def downgrades(spark: SparkSession, d: str) -> DataFrame:
+    rows = _steps(reports(spark, d)).filter("rating < previous")
+    return emitted(rows, "RATING_DOWNGRADE", F.when(F.col("rating") <= 3, "HIGH").otherwise("WATCH"), F.lit("rating"), F.col("seq"), F.concat_ws(">", "previous", "rating"))
+
+
+def recoveries(spark: SparkSession, d: str) -> DataFrame:
+    rows = _steps(reports(spark, d)).filter("previous <= 3 and rating > 3")
+    return emitted(rows, "RATING_RECOVERY", F.lit("INFO"), F.lit("rating"), F.col("seq"), F.concat_ws(">", "previous", "rating"))
+
+
+def persistent(spark: SparkSession, d: str) -> DataFrame:
+    rows = windows.runs_where(reports(spark, d), ["entity"], "seq", F.col("rating") <= 3).filter("n >= 3")
+    return emitted(rows, "RATING_BELOW_PERSISTENT", F.when(F.col("n") >= 6, "HIGH").otherwise("WATCH"), F.lit("rating"), F.col("last"), F.concat(F.lit("n="), F.col("n").cast("string")))
+
+
+def elevated(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of elevated risk that reach the latest report."""
+    rows = reports(spark, d)
+    last = rows.groupBy("entity").agg(F.max("seq").alias("latest"), F.max_by("rating", "seq").alias("now"))
+    runs = windows.runs_where(rows, ["entity"], "seq", F.col("rating") <= 2).join(last, "entity").filter("last = latest")
+    return emitted(runs, "RISK_ELEVATED", F.when(F.col("now") == 1, "HIGH").otherwise("WATCH"), F.lit("risk"), F.col("last"), F.concat(F.lit("since="), F.col("first").cast("string")))
+
+
+def extended(spark: SparkSession, d: str) -> DataFrame:
+    """The last shipping date long after the order: by 3 months WATCH, by 4 HIGH."""
+    ship = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(F.col("l_shipdate").cast("date")).alias("closing"))
+    rows = reports(spark, d).join(ship, F.col("record_id") == F.col("l_orderkey")).filter("closing > day")
+    severity = F.when(F.col("closing") >= F.add_months("day", 4), "HIGH").when(F.col("closing") >= F.add_months("day", 3), "WATCH").otherwise("INFO")
+    return emitted(rows, "SCHEDULE_EXTENDED", severity, F.col("record_id"), F.col("seq"), F.datediff("closing", "day"))
+
+
+def repeated_changes(spark: SparkSession, d: str) -> DataFrame:
+    """An entity whose orders have several distinct (line, status, flag) changes on one supplier."""
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.groupBy(F.col("o_custkey").alias("entity"), "l_suppkey").agg(F.count_distinct("l_linenumber", "l_returnflag", "l_linestatus").alias("n"), F.max_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("latest"))
+    rows = rows.filter("n >= 4")
+    return emitted(rows, "SCHEDULE_REPEATED_CHANGES", F.lit("WATCH"), F.col("l_suppkey"), F.col("latest"), F.concat(F.lit("n="), F.col("n").cast("string")))
+
+
+def moved_away(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("entity", "indicator").orderBy("seq")
+    rows = observed(spark, d).withColumn("previous", F.lag("value").over(w)).withColumn("base", F.first("value").over(w))
+    rows = rows.filter("value < previous and value < base")
+    return emitted(rows, "RESULT_MOVED_AWAY", F.lit("WATCH"), F.col("indicator"), F.col("seq"), F.col("value") - F.col("previous"))
+
+
+def unchanged(spark: SparkSession, d: str) -> DataFrame:
+    runs = windows.runs_of_equal(observed(spark, d), ["entity", "indicator"], "seq", F.floor(F.col("value") / 100).cast("long")).filter("n >= 3")
+    return emitted(runs, "RESULT_NO_CHANGE", F.lit("INFO"), F.col("indicator"), F.col("last"), F.concat(F.lit("n="), F.col("n").cast("string")))
+
+
+def missed(spark: SparkSession, d: str) -> DataFrame:
+    """The latest value of an indicator below half (HIGH) or all (WATCH) of its greatest."""
+    top = Window.partitionBy("entity", "indicator")
+    rows = windows.latest(observed(spark, d).withColumn("target", F.max("value").over(top)), ["entity", "indicator"], [F.col("seq").desc()])
+    rows = rows.filter("value < target and target > 0")
+    return emitted(rows, "RESULT_TARGET_MISSED", F.when(F.col("value") * 2 < F.col("target"), "HIGH").otherwise("WATCH"), F.col("indicator"), F.col("seq"), F.col("target") - F.col("value"))
+
+
+def target_changed(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("entity", "indicator").orderBy("seq")
+    rows = observed(spark, d).withColumn("bucket", (F.col("record_id") % 4).cast("int"))
+    rows = rows.withColumn("previous", F.lag("bucket").over(w)).filter("previous is not null and bucket <> previous")
+    return emitted(rows, "RESULT_TARGET_CHANGED", F.lit("INFO"), F.col("indicator"), F.col("seq"), F.concat_ws(">", "previous", "bucket"))
+
+
+def lagging(spark: SparkSession, d: str) -> DataFrame:
+    """Share of an order's value that is not yet delivered against the share of lines that are."""
+    per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice").cast("decimal(18,2)"))).alias("done"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("whole"), F.sum((F.col("l_linestatus") == "F").cast("int")).alias("k"), F.count(F.lit(1)).alias("n")
+    )
+    gap = F.round((F.col("k") * 100.0 / F.col("n")) - (F.col("done").cast("double") * 100 / F.col("whole").cast("double")), 2)
+    rows = reports(spark, d).join(per, F.col("record_id") == F.col("l_orderkey")).withColumn("gap", gap).filter("gap >= 25")
+    return emitted(rows, "FINANCE_LAG", F.when(F.col("gap") >= 40, "HIGH").otherwise("WATCH"), F.col("record_id"), F.col("seq"), F.format_string("%.2f", "gap"))
+
+
+def restructured(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.max_by("event_id", F.struct("ts", "event_id")).alias("latest"))
+    return emitted(rows, "CHANGE_RESTRUCTURING", F.when(F.col("n") >= 3, "WATCH").otherwise("INFO"), F.lit("event"), F.col("latest"), F.concat(F.lit("n="), F.col("n").cast("string")))
+
+
+def financed(spark: SparkSession, d: str) -> DataFrame:
+    rows = reports(spark, d).filter("amount >= 300000")
+    return emitted(rows, "CHANGE_ADDITIONAL_FINANCING", F.lit("INFO"), F.col("record_id"), F.col("seq"), F.col("amount"))
+
+
+def cancelled(spark: SparkSession, d: str) -> DataFrame:
+    back = table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("back"))
+    rows = reports(spark, d).join(back, F.col("record_id") == F.col("l_orderkey")).filter("back > 100000")
+    return emitted(rows, "CHANGE_CANCELLATION", F.lit("INFO"), F.col("record_id"), F.col("seq"), F.col("back"))
+
+
+RULES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "RATING_DOWNGRADE": (downgrades, "SELECT CASE WHEN rating <= 3 THEN 'HIGH' ELSE 'WATCH' END AS severity, entity, 'rating' AS subject, seq, previous || '>' || rating AS detail FROM steps WHERE rating < previous"),
+    "RATING_RECOVERY": (recoveries, "SELECT 'INFO' AS severity, entity, 'rating' AS subject, seq, previous || '>' || rating AS detail FROM steps WHERE previous <= 3 AND rating > 3"),
+    "RATING_BELOW_PERSISTENT": (persistent, "SELECT CASE WHEN count(*) >= 6 THEN 'HIGH' ELSE 'WATCH' END AS severity, entity, 'rating' AS subject, max(seq) AS seq, 'n=' || count(*) AS detail FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq) - row_number() OVER (PARTITION BY entity, rating <= 3 ORDER BY seq) AS g FROM reports) WHERE rating <= 3 GROUP BY entity, g HAVING count(*) >= 3"),
+    "RISK_ELEVATED": (elevated, "SELECT CASE WHEN min(now) = 1 THEN 'HIGH' ELSE 'WATCH' END AS severity, entity, 'risk' AS subject, max(seq) AS seq, 'since=' || min(seq) AS detail FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq) - row_number() OVER (PARTITION BY entity, rating <= 2 ORDER BY seq) AS g, max(seq) OVER (PARTITION BY entity) AS latest, last_value(rating) OVER (PARTITION BY entity ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM reports) WHERE rating <= 2 GROUP BY entity, g HAVING max(seq) = max(latest)"),
+    "SCHEDULE_EXTENDED": (extended, "SELECT CASE WHEN closing >= CAST(day + INTERVAL 4 MONTH AS DATE) THEN 'HIGH' WHEN closing >= CAST(day + INTERVAL 3 MONTH AS DATE) THEN 'WATCH' ELSE 'INFO' END AS severity, entity, CAST(record_id AS VARCHAR) AS subject, seq, CAST(datediff('day', day, closing) AS VARCHAR) AS detail FROM reports JOIN (SELECT l_orderkey, max(CAST(l_shipdate AS DATE)) AS closing FROM lineitem GROUP BY 1) ON record_id = l_orderkey WHERE closing > day"),
+    "SCHEDULE_REPEATED_CHANGES": (repeated_changes, "SELECT 'WATCH' AS severity, o_custkey AS entity, CAST(l_suppkey AS VARCHAR) AS subject, arg_max(l_orderkey, (l_shipdate, l_orderkey)) AS seq, 'n=' || count(DISTINCT (l_linenumber, l_returnflag, l_linestatus)) AS detail FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey HAVING count(DISTINCT (l_linenumber, l_returnflag, l_linestatus)) >= 4"),
+    "RESULT_MOVED_AWAY": (moved_away, "SELECT 'WATCH' AS severity, entity, indicator AS subject, seq, CAST(value - previous AS VARCHAR) AS detail FROM (SELECT *, lag(value) OVER w AS previous, first_value(value) OVER w AS base FROM observed WINDOW w AS (PARTITION BY entity, indicator ORDER BY seq)) WHERE value < previous AND value < base"),
+    "RESULT_NO_CHANGE": (unchanged, "SELECT 'INFO' AS severity, entity, indicator AS subject, max(seq) AS seq, 'n=' || count(*) AS detail FROM (SELECT *, sum(st) OVER (PARTITION BY entity, indicator ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN row_number() OVER w = 1 OR floor(value / 100) <> lag(floor(value / 100)) OVER w THEN 1 ELSE 0 END AS st FROM observed WINDOW w AS (PARTITION BY entity, indicator ORDER BY seq))) GROUP BY entity, indicator, run HAVING count(*) >= 3"),
+    "RESULT_TARGET_MISSED": (missed, "SELECT CASE WHEN value * 2 < target THEN 'HIGH' ELSE 'WATCH' END AS severity, entity, indicator AS subject, seq, CAST(target - value AS VARCHAR) AS detail FROM (SELECT *, max(value) OVER (PARTITION BY entity, indicator) AS target, row_number() OVER (PARTITION BY entity, indicator ORDER BY seq DESC) AS k FROM observed) WHERE k = 1 AND value < target AND target > 0"),
+    "RESULT_TARGET_CHANGED": (target_changed, "SELECT 'INFO' AS severity, entity, indicator AS subject, seq, previous || '>' || bucket AS detail FROM (SELECT *, record_id % 4 AS bucket, lag(record_id % 4) OVER (PARTITION BY entity, indicator ORDER BY seq) AS previous FROM observed) WHERE bucket <> previous"),
+    "FINANCE_LAG": (lagging, "SELECT CASE WHEN gap >= 40 THEN 'HIGH' ELSE 'WATCH' END AS severity, entity, CAST(record_id AS VARCHAR) AS subject, seq, printf('%.2f', gap) AS detail FROM reports JOIN (SELECT l_orderkey, round(count(*) FILTER (l_linestatus = 'F') * 100.0::DOUBLE / count(*) - CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (l_linestatus = 'F') AS DOUBLE) * 100 / CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS gap FROM lineitem GROUP BY 1) ON record_id = l_orderkey WHERE gap >= 25"),
+    "CHANGE_RESTRUCTURING": (restructured, "SELECT CASE WHEN count(*) >= 3 THEN 'WATCH' ELSE 'INFO' END AS severity, user_id AS entity, 'event' AS subject, arg_max(event_id, (ts, event_id)) AS seq, 'n=' || count(*) AS detail FROM events WHERE event_type = 'purchase' GROUP BY user_id"),
+    "CHANGE_ADDITIONAL_FINANCING": (financed, "SELECT 'INFO' AS severity, entity, CAST(record_id AS VARCHAR) AS subject, seq, CAST(amount AS VARCHAR) AS detail FROM reports WHERE amount >= 300000"),
+    "CHANGE_CANCELLATION": (cancelled, "SELECT 'INFO' AS severity, entity, CAST(record_id AS VARCHAR) AS subject, seq, CAST(back AS VARCHAR) AS detail FROM reports JOIN (SELECT l_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS back FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON record_id = l_orderkey WHERE back > 100000"),
+}
+_CTE = f"WITH {REPORTS}, {OBSERVED}, steps AS (SELECT *, lag(rating) OVER (PARTITION BY entity ORDER BY seq) AS previous FROM reports)"
+_ALL = " UNION ALL ".join(f"SELECT '{name}' AS rule, severity, entity, subject, seq, detail FROM ({sql})" for name, (_, sql) in RULES.items())
+
+
+def all_signals(spark: SparkSession, d: str) -> DataFrame:
+    """All rules' signals in one frame."""
+    return reduce(DataFrame.unionByName, (build(spark, d) for build, _ in RULES.values()))
+
+
+@query("entity_signals", f"{_CTE} {_ALL}")
+def entity_signals(spark: SparkSession, d: str) -> DataFrame:
+    return all_signals(spark, d)
+
+
+for _name, (_build, _sql) in RULES.items():
+    query(f"rule_{_name.lower()}", f"{_CTE} SELECT '{_name}' AS rule, severity, entity, subject, seq, detail FROM ({_sql})")(_build)
+
+
+@query(
+    "entity_360",
+    f"""{_CTE}, sig AS ({_ALL}),
+o AS (SELECT entity, count(*) AS n_reports, max(seq) AS last_seq, arg_max(rating, seq) AS rating, sum(amount) AS amount FROM reports GROUP BY entity),
+e AS (SELECT user_id AS entity, count(*) AS n_events, count(DISTINCT event_type) AS n_indicators FROM events GROUP BY user_id),
+s AS (SELECT entity, count(*) AS n_signals, count(*) FILTER (severity = 'HIGH') AS n_high FROM sig GROUP BY entity)
+SELECT c_custkey AS entity, c_name AS name, n_name AS nation, coalesce(n_reports, 0) AS n_reports, last_seq, rating, amount, coalesce(n_events, 0) AS n_events,
+ coalesce(n_indicators, 0) AS n_indicators, coalesce(n_signals, 0) AS n_signals, coalesce(n_high, 0) AS n_high
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN o ON o.entity = c_custkey LEFT JOIN e ON e.entity = c_custkey LEFT JOIN s ON s.entity = c_custkey""",
+)
+def entity_360(spark: SparkSession, d: str) -> DataFrame:
+    o = reports(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n_reports"), F.max("seq").alias("last_seq"), F.max_by("rating", "seq").alias("rating"), F.sum("amount").alias("amount"))
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("entity")).agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("event_type").alias("n_indicators"))
+    s = all_signals(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n_signals"), F.count_if(F.col("severity") == "HIGH").alias("n_high"))
+    base = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"), F.col("n_name").alias("nation"))
+    out = base.join(o, "entity", "left").join(e, "entity", "left").join(s, "entity", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("entity", "name", "nation", zero("n_reports"), "last_seq", "rating", "amount", zero("n_events"), zero("n_indicators"), zero("n_signals"), zero("n_high"))
