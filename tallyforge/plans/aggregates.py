@@ -10,7 +10,7 @@ from tallyforge.functions.numbers import percentage
 from tallyforge.operators import aggregates, joins
 from tallyforge.plans.common import REPORTS, reports
 
-MONEY = "decimal(18,2)"
+MONEY, TOTAL = "decimal(18,2)", "decimal(38,2)"
 
 
 @query(
@@ -20,7 +20,7 @@ FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
 )
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").filter("l_shipdate <= timestamp_ntz '1998-09-02'")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast(MONEY)).alias("sum_qty"), F.sum(F.col("l_extendedprice").cast(MONEY)).alias("sum_price"), F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("orders"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast(MONEY)).cast(TOTAL).alias("sum_qty"), F.sum(F.col("l_extendedprice").cast(MONEY)).cast(TOTAL).alias("sum_price"), F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("orders"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"))
 
 
 @query(
@@ -50,7 +50,7 @@ SELECT l_orderkey, total, quantity, round_even(CAST(quantity * 100 AS DOUBLE) /
 )
 def strict_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") != 6, F.col("l_extendedprice").cast(MONEY)).alias("a"), F.col("l_quantity").cast(MONEY).alias("q"))
-    rows = rows.groupBy("l_orderkey").agg(aggregates.strict_sum(F.col("a")).alias("total"), F.sum("q").alias("quantity"))
+    rows = rows.groupBy("l_orderkey").agg(aggregates.strict_sum(F.col("a")).cast(TOTAL).alias("total"), F.sum("q").cast(TOTAL).alias("quantity"))
     return rows.withColumn("share", F.bround((F.col("quantity") * 100).cast("double") / F.col("total").cast("double"), 2))
 
 
@@ -61,7 +61,7 @@ def strict_summary(spark: SparkSession, d: str) -> DataFrame:
 )
 def award_split(spark: SparkSession, d: str) -> DataFrame:
     price = F.col("l_extendedprice").cast(MONEY)
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(aggregates.agreed(F.col("l_linestatus")).alias("status"), F.when(F.count_distinct("l_linestatus") > 1, "CONFLICT").otherwise("AGREED").alias("verdict"), F.max(price).alias("low_bound"), F.sum(price).alias("high_bound"), F.count_distinct("l_suppkey").alias("suppliers"))
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(aggregates.agreed(F.col("l_linestatus")).alias("status"), F.when(F.count_distinct("l_linestatus") > 1, "CONFLICT").otherwise("AGREED").alias("verdict"), F.max(price).alias("low_bound"), F.sum(price).cast(TOTAL).alias("high_bound"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
 @query(

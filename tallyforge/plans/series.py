@@ -54,7 +54,7 @@ def result_progress(spark: SparkSession, d: str) -> DataFrame:
         "seq",
         "previous_id",
         (v - p).alias("absolute_change"),
-        F.datediff("day", "previous_day").alias("days"),
+        F.datediff("day", "previous_day").cast("long").alias("days"),
         F.signum(v - p).cast("int").alias("direction"),
         F.when(t != b, F.round(((v - b) * 100).cast("double") / (t - b).cast("double"), 2)).alias("progress"),
         F.when(p.isNull(), "FIRST").when(v == p, "FLAT").when(F.abs(t - v) < F.abs(t - p), "TOWARD").otherwise("AWAY").alias("trend"),

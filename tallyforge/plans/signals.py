@@ -162,7 +162,7 @@ SELECT c_custkey AS entity, c_name AS name, n_name AS nation, coalesce(n_reports
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN o ON o.entity = c_custkey LEFT JOIN e ON e.entity = c_custkey LEFT JOIN s ON s.entity = c_custkey""",
 )
 def entity_360(spark: SparkSession, d: str) -> DataFrame:
-    o = reports(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n_reports"), F.max("seq").alias("last_seq"), F.max_by("rating", "seq").alias("rating"), F.sum("amount").alias("amount"))
+    o = reports(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n_reports"), F.max("seq").alias("last_seq"), F.max_by("rating", "seq").alias("rating"), F.sum("amount").cast("decimal(38,2)").alias("amount"))
     e = table(spark, d, "events").groupBy(F.col("user_id").alias("entity")).agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("event_type").alias("n_indicators"))
     s = all_signals(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n_signals"), F.count_if(F.col("severity") == "HIGH").alias("n_high"))
     base = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"), F.col("n_name").alias("nation"))

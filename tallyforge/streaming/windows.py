@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def tumbling(events: DataFrame, at: str, keys: list[str], width: str, late: str | None = None, slide: str | None = None) -> DataFrame:
     """(start, keys, n, total): counts and sums in windows of event time; ``late`` bounds how long a stream waits."""
     rows = events.withWatermark(at, late) if late and events.isStreaming else events
-    out = rows.groupBy(F.window(at, width, slide), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
+    out = rows.groupBy(F.window(at, width, slide), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))
     return out.select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
