@@ -99,7 +99,9 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nodes = np.unique(fp)
         forest, own = Forest(len(nodes)), np.searchsorted(nodes, members)
         for h, at in zip(homes, np.searchsorted(nodes, homes), strict=True):
-            near = own[(np.bitwise_count(members ^ h) <= THRESHOLD) & (members != h)]
+            # unsigned: of a negative number the bits of its absolute value would be counted
+            differ = np.bitwise_count((members ^ h).view(np.uint64))
+            near = own[(differ <= THRESHOLD) & (differ > 0)]
             a, b = forest.add(np.full(len(near), at), near)
             src.append(nodes[a])
             dst.append(nodes[b])

@@ -1,0 +1,119 @@
+"""Operators 1, 5 and 6: edge cases, and brute-force versions."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.llm import mixing, omh, pii
+
+DATA = "/root/testdata/sf0.001/documents.parquet"
+DOC = "doc_id long, text string, source string"
+
+
+def targets_by_loop(sizes, weights=(5, 2, 1), cap=3):
+    """The excess shared again and again until no target is above its stop."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, stopped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(cap * sizes[s] for s in stopped)
+        free = [s for s in names if s not in stopped]
+        share = {s: rest * w[s] / sum(w[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > cap * sizes[s]}
+        if not over:
+            return share | {s: float(cap * sizes[s]) for s in stopped}
+        stopped |= over
+
+
+def test_mix_targets_and_budgets(spark):
+    rows = mixing.mix(spark.read.parquet(DATA)).toPandas()
+    per = rows.groupby("source", dropna=False).agg(s=("source_size", "first"), t=("target", "first"), k=("taken", "sum"))
+    want = targets_by_loop(per.s.to_dict())
+    assert all(abs(per.t[s] - want[s]) < 1e-6 for s in want)
+    assert ((per.t - per.k).abs() < 1).all() and (rows.taken <= 3 * rows["size"]).all()
+    again = mixing.mix(spark.read.parquet(DATA).repartition(7)).toPandas()
+    key = ["doc_id", "taken"]
+    assert sorted(map(tuple, rows[key].values)) == sorted(map(tuple, again[key].values))
+
+
+def test_mix_stops_small_sources_and_edges(spark):
+    rows = [(1, "a b c d e f g h", "a"), (2, "x", "b"), (3, None, None), (3, None, None), (None, "p q", None), (5, "", "a"), (6, "u v", "b"), (6, "u v", "b")]
+    got = mixing.mix(spark.createDataFrame(rows, DOC)).toPandas()
+    sizes = got.groupby("source", dropna=False)["size"].sum()
+    assert len(got) == len(rows) and sizes.sum() == 15
+    assert ((got.target <= 3 * got.source_size + 1e-9)).all() and (got.taken <= 3 * got["size"]).all()
+    assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_range", [3, 20_000])
+def test_mixed_documents_hold_the_taken_words(spark, rows_per_range, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", rows_per_range)
+    docs = spark.read.parquet(DATA).withColumn("Size", F.lit(1)).withColumn("tie", F.lit("x"))
+    plan = mixing.mix(docs).toPandas().groupby("doc_id").taken.sum()
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    words = out.toPandas().assign(n=lambda p: p.text.str.split().str.len()).groupby("doc_id").n.sum()
+    assert (plan[plan > 0].sort_index() == words[words > 0].sort_index()).all()
+
+
+def test_omh_edits_by_brute_force(spark):
+    docs = spark.read.parquet(DATA)
+    p = docs.toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
+    following = [*p.text[1:], p.text[0]]
+    want = {i: (len(a), hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()) for i, a, b in zip(p.doc_id, p.text, following, strict=True)}
+    for per in (5, 4096):
+        got = omh.fingerprinted(docs, per).toPandas()
+        assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got.itertuples()} == want
+    assert got.near_edited.mean() > got.near_next.mean() + 0.05
+    by_text = got.merge(p[["doc_id", "text"]], on="doc_id").groupby("text").fingerprint.nunique()
+    assert (by_text == 1).all()
+
+
+def test_omh_order_and_edges(spark):
+    a, b = "a b c d e f g h i j", "f g h i j a b c d e"
+    sig = spark.createDataFrame([(a, b)], "a string, b string").select(omh.likeness(omh.signatures(F.col("a")), omh.signatures(F.col("b"))).alias("x"), omh.likeness(omh.signatures(F.col("a")), omh.signatures(F.col("a"))).alias("y")).first()
+    assert 0 < sig["x"] < 1 and sig["y"] == 1
+    rows = [(None, None), (None, "x y"), (3, ""), (3, ""), (4, "w " * 30_000)]
+    got = omh.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    single = omh.fingerprinted(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).first()
+    assert single["near_next"] == 1
+    assert omh.fingerprinted(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pii_keeps_formats_and_links(spark):
+    text = 'Mail jo.12@mail3.example.com, +1 (415) 555-2671, 4539 1488 0343 6467, 10.0.0.255, token = "908038b7daaf91e730d2f64001c52934d43d9336", 123-45-6789, DE89 3704 0044 0532 0130 00, 2024-02-29.'
+    rows = spark.createDataFrame([(1, text), (2, "again jo.12@mail3.example.com"), (3, None), (4, ""), (5, "4111111111111112 and 999.1.1.1, 2024-02-30, 000-12-3456, Version 2.0")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.report(rows).collect()}
+    new = got[1]["text"]
+    masked = lambda t: re.sub("[a-z]", "a", re.sub(r"[0-9]+", "9", t))
+    assert len(masked(new).split(" ")) == len(masked(text).split(" ")) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
+    for gone in ("jo.12@mail3", "555-2671", "4539 1488", "10.0.0.255", "908038b7", "123-45-6789", "0532 0130", "2024-02-29"):
+        assert gone not in new
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", new)[0].replace(" ", "")
+    digits = [int(c) for c in card][::-1]
+    assert sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    iban = re.search(r"DE\d\d(?: \d{4}){4} \d\d", new)[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.search(r"[\w.]+@[\w.]+\.com", new)[0] in got[2]["text"]
+    assert (got[3]["text"], got[4]["text"]) == (None, "") and got[5]["n_mentions"] == 0
+    assert got[5]["text"].startswith("4111111111111112 and 999.1.1.1")
+    assert got[1]["n_mentions"] == 8
+
+
+def test_feistel_is_a_permutation(spark):
+    ids = spark.range(189 * 773)
+    there = ids.select("id", pii.feistel(F.col("id"), 189, 773, "k", "t").alias("p"))
+    back = there.select("id", "p", pii.feistel(F.col("p"), 189, 773, "k", "t", undo=True).alias("q"))
+    assert tuple(back.agg(F.count_distinct("p"), F.min("p"), F.max("p"), F.count_if(F.col("q") != F.col("id"))).first()) == (146_097, 0, 146_096, 0)
+
+
+def test_pii_leaves_clean_documents(spark):
+    docs = spark.read.parquet(DATA)
+    both = docs.join(pii.report(docs).select("doc_id", F.col("text").alias("new"), "n_mentions"), "doc_id")
+    assert both.filter("n_mentions = 0 and text <> new").count() == 0
+    assert pii.pseudonymised(docs).columns == docs.columns
