@@ -52,6 +52,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bounded_sample(rows: DataFrame, n: int, draw: str, bound: int) -> DataFrame:
+    """At most ``bound`` of ``n`` rows, those with the least value of the hash column ``draw``. Only rows whose hash lies
+    in the share that is expected to hold them are sorted, so what reaches the driver doesn't grow with the tasks."""
+    share = min(1.0, (1.2 * bound + 100) / max(1, n))
+    uniform = F.shiftrightunsigned(draw, 11).cast("double") / F.lit(float(1 << 53))
+    return rows.filter(uniform < share).orderBy(draw, *(c for c in rows.columns if c != draw)).limit(bound)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 WINDOW, BATCH = 128, 256
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 16, 8
 #: The bound of the training sample: so many excerpts, of so many characters each.
@@ -117,7 +119,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     draw = F.xxhash64(F.lit(SEED), "doc_id", "text")
     start = F.pmod(draw, F.greatest(F.lit(1).cast("long"), F.length("text") - EXCERPT + 1)) + 1
     rows = known.select("lang", F.substr("text", start.cast("int"), F.lit(EXCERPT)).alias("text"), draw.alias("draw"))
-    found = rows.orderBy("draw", "lang", "text").limit(sample).collect()
+    n = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).count()
+    found = bounded_sample(rows, n, "draw", sample).collect()
     if not found:
         return None
     classes = sorted({r["lang"] for r in found})
