@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sorted_groups, stage
+from .common import bounded_sample, sorted_groups, stage
 from .components import Forest, components
 
 THRESHOLD = 0.98
@@ -155,7 +155,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 
 def _links(spark, own: DataFrame, dim: int, n: int, threshold: float, block: int) -> DataFrame:
     """(a, b, n): how many rows vector a links to (b = -1), or an edge a-b."""
-    sample = own.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE)
+    sample = bounded_sample(own.select("embedding", F.xxhash64("embedding").alias("draw")), n, "draw", SAMPLE)
     found = np.array([r[0] for r in sample.collect()], dtype=np.float64)
     unit = found / np.sqrt((found**2).sum(1))[:, None]
     codes = int(np.clip(round((n / PER_CELL) ** 0.5), 1, min(MOST_CODES, len(unit))))
