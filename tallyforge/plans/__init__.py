@@ -1,3 +1,3 @@
 """Modules that register queries when imported."""
 
-from tallyforge.plans import aggregates, governance, joins, quality, retrieval, scalars, series, signals, streams  # noqa: F401
+from tallyforge.plans import aggregates, extraction, governance, joins, quality, retrieval, scalars, series, signals, streams  # noqa: F401

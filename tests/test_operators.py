@@ -133,3 +133,26 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("w").collect()) == [1, 2]
+
+
+def test_routing():
+    from tallyforge.functions import routing as q
+
+    names = {"river": "P1", "river basin": "P2", "P3": "P3"}
+    assert [m.value for m in q.mentions("The River Basin and the river", names)] == ["P2", "P1"]
+    assert q.resolved("river basin status", names, "P1", {"P2"}) == ("RESOLVED", "P2")
+    assert q.resolved("status", names, None, {"P2"}) == ("MISSING", None) and q.resolved("P3", names, None, {"P2"})[0] == "FORBIDDEN"
+    rules = {"rating": r"rating", "history": r"rating history", "money": r"disburse\w*"}
+    assert q.intents("rating history and disbursement", rules) == ["history", "money"]
+    assert q.decision("RESOLVED", ["history"], {"history"}) == ("DIRECT", "PLAIN") and q.decision("FORBIDDEN", [], set())[0] == "REFUSE"
+    with pytest.raises(q.QuestionError):
+        q.validated(" \n ")
+
+
+def test_extraction(spark):
+    from tallyforge.operators import extraction as x
+
+    row = spark.range(1).select(x.labelled(F.lit("a\nRating: High\n"), "rating", r"\w+").alias("a"), x.in_vocabulary(F.lit(" high "), {"high": "High"}).alias("b"), x.one_reading(F.lit(1), F.lit(2)).alias("c"), x.exact_tokens(F.lit("1 2 3"), "[0-9]", 2).alias("d"), x.cited_dates(F.lit("2020-01-02, 2020-13-01, 2020-01-02")).alias("e")).first()
+    assert (row["a"], tuple(row["b"]), tuple(row["c"]), row["d"], row["e"]) == ("High", ("High", "NORMALIZED"), (None, "CONFLICT"), None, [date(2020, 1, 2)])
+    rows = spark.createDataFrame([(1, 1, "h"), (1, 2, None), (1, 3, "g"), (2, 1, None)], "k int, o int, v string")
+    assert [r["c"] for r in x.carried(rows, ["k"], "o", F.col("v"), "c").orderBy("k", "o").collect()] == ["h", "h", "g", None]
