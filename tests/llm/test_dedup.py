@@ -68,6 +68,8 @@ def test_simhash_rows_and_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = simhash.deduplicated(docs.withColumn("Root", docs["doc_id"]))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 11, 12] and kept.columns == ["doc_id", "text", "Root"]
+    nameless = spark.createDataFrame([(None, "a b c d"), (None, "e f g h"), (None, "a b c d")], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.deduplicated(nameless).collect()) == ["a b c d", "e f g h"]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
