@@ -148,13 +148,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that lead their component: one document of each group, and of its repeated rows one.
+    """The rows of ``docs`` that lead their component; see ``leaders``."""
+    return leaders(docs, near_duplicates(docs, shingle))
+
+
+def leaders(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """One document of each component of ``near`` (doc_id, component_id), and of its repeated rows one.
 
     Documents without an id can't lead one that has: they go if they are near one that has, unless another group consists
     of such documents alone; of equal texts without an id one stays.
     """
     nth = free_name(docs, "nth")
-    lead = near_duplicates(docs, shingle).filter("doc_id <=> component_id").select("doc_id").distinct()
+    lead = near.filter("doc_id <=> component_id").select("doc_id").distinct()
     lead = lead.select(F.col("doc_id").alias(f"{nth}_id"))
     nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     rows = docs.join(lead, F.col("doc_id").eqNullSafe(F.col(f"{nth}_id")), "left_semi")
