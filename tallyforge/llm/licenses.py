@@ -1,7 +1,8 @@
 """Operator 7: license scans by ordered signature rules, with DataFrame functions only.
 
-A rule is a regular expression over a text's words, gated by a keyword: only where the keyword stands in the text is the
-expression tried, and only texts that hold one of a few stems try any rule at all. Detections are intervals of words. Of
+A rule is a regular expression over a text's words, gated by a keyword that is part of whatever it matches: only where
+the text holds the keyword, inside of a word or not, is the expression tried, and only texts that hold one of the stems,
+which are derived from the keywords, try any rule at all. Detections are intervals of words. Of
 two detections one of which lies inside the other the containing one stays, or, for equal intervals, the one of higher
 priority. The base phrases of the query's contract are rules that nothing suppresses.
 """
@@ -34,17 +35,17 @@ NAMES = (
     ("apache-2.0", "apache", r"apache 2(?: 0)?"),
     ("apache-1.1", "apache", r"apache(?: software)? license(?: version)? 1 1"),
     ("apache", "apache", r"apache(?: software)? license"),
-    ("mit", "mit", r"(?:the )?mit license"),
-    ("mit", "mit", r"licensed under (?:the )?mit"),
+    ("mit", "mit license", r"(?:the )?mit license"),
+    ("mit", "licensed under", r"licensed under (?:the )?mit"),
     ("mit-text", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "isc", r"isc license"),
+    ("isc", "isc license", r"isc license"),
     ("isc-text", "permission", r"permission to use copy modify and or distribute this software for any purpose"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause) bsd(?: license)?"),
     ("bsd-3-clause", "bsd", r"bsd 3 clause(?: license)?"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause) bsd(?: license)?"),
     ("bsd-2-clause", "bsd", r"bsd 2 clause(?: license)?"),
     ("bsd-4-clause", "bsd", r"(?:original|4 clause) bsd(?: license)?"),
-    ("0bsd", "0bsd", r"(?:zero clause )?0?bsd zero clause|0bsd"),
+    ("0bsd", "bsd", r"(?:zero clause )?0?bsd zero clause|0bsd"),
     ("bsd", "bsd", r"bsd license"),
     ("bsd-text", "redistribution", r"redistribution and use in source and binary forms"),
     ("mpl-2.0", "mozilla", r"mozilla public license(?: v(?:ersion)?)? ?2(?: 0)?"),
@@ -85,8 +86,6 @@ VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 TAGGED = ("mit", "isc", "0bsd", "bsd 2 clause", "bsd 3 clause", "apache 2 0", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0 only", "gpl 3 0 or later", "lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0 only", "lgpl 3 0 or later", "agpl 3 0 only", "agpl 3 0 or later", "mpl 2 0", "epl 2 0", "unlicense", "cc0 1 0", "zlib", "bsl 1 0", "ofl 1 1", "artistic 2 0", "eupl 1 2", "cddl 1 0", "ms pl", "postgresql", "python 2 0", "wtfpl", "odbl 1 0", "proprietary")
 GRANTS = ("licensed under", "released under", "distributed under", "available under", "published under", "made available under", "dual licensed under", "relicensed under", "covered by", "subject to", "governed by", "under the terms of")
 GRANTED = ("mit", "bsd", "apache", "gnu", "gpl", "lgpl", "agpl", "mozilla", "eclipse", "creative commons", "cc", "isc", "zlib", "artistic")
-#: A text without any of these holds no detection.
-STEMS = ("licen", "rights reserved", "copyright", "public domain", "cc by", "cc0", "gpl", "spdx", "apache 2", "creative commons", "hereby granted", "redistribution and use", "permission to use", "confidential", "proprietary", "bsd", "cddl", "wtfpl")
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -94,15 +93,21 @@ def rules() -> list[tuple[int, str, str, str]]:
     """(priority, label, keyword, expression), several hundred; a smaller priority goes first."""
     out: list[tuple[str, str, str]] = []
     out += [(f"spdx:{t.replace(' ', '-')}", "spdx", rf"spdx license identifier {t}") for t in TAGGED]
-    out += [(f"cc-{label}-{v.replace(' ', '.')}", "cc", rf"cc {words} {v}(?: international| unported| generic)?") for label, words, _ in CONDITIONS for v in VERSIONS]
+    out += [(f"cc-{label}-{v.replace(' ', '.')}", "cc by", rf"cc {words} {v}(?: international| unported| generic)?") for label, words, _ in CONDITIONS for v in VERSIONS]
     out += [(f"cc-{label}-{v.replace(' ', '.')}", "creative", rf"creative commons {spelt}(?: only)? {v}(?: international| unported| generic)?") for label, _, spelt in CONDITIONS for v in VERSIONS]
-    out += [(f"cc-{label}", "cc", rf"cc {words}") for label, words, _ in CONDITIONS]
+    out += [(f"cc-{label}", "cc by", rf"cc {words}") for label, words, _ in CONDITIONS]
     out += [(f"cc-{label}", "creative", rf"creative commons {spelt}") for label, _, spelt in CONDITIONS]
     out += list(NAMES)
-    out += [("grant", g.split(" ")[0], rf"{g}(?: (?:the|an?))? {n}") for g in GRANTS for n in GRANTED]
+    out += [("grant", g, rf"{g}(?: (?:the|an?))? {n}") for g in GRANTS for n in GRANTED]
     return [(i, *r) for i, r in enumerate(out)]
 
 
+def stems() -> list[str]:
+    """A text without any of these holds no detection: the rules' keywords without those that hold another one."""
+    words = {k for _, _, k, _ in rules()}
+    return sorted(k for k in words if not any(o != k and o in k for o in words))
+
+
 def normal(text: Column) -> Column:
     """A text's words, A-Z lower-cased, each between two single spaces; without words two spaces."""
     spaced = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), _SEPARATORS, " ")
@@ -135,7 +140,7 @@ def starts(spaced: Column, expression: Column) -> Column:
 
 def detections(spaced: Column, of: list[tuple[int, str, str, str]]) -> Column:
     """(at, end, priority, label) of what the rules find and suppression leaves, in order."""
-    table = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(f" {k} ").alias("keyword"), F.lit(x).alias("x")) for p, label, k, x in of))
+    table = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(x).alias("x")) for p, label, k, x in of))
 
     def found(open_: Column) -> Column:
         each = F.transform(open_, lambda r: F.transform(starts(spaced, r["x"]), lambda d: F.struct(d["at"].alias("at"), d["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"))))
@@ -172,8 +177,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     )
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.array().cast("array<string>").alias("labels"))
     has_base = F.contains(s, F.lit(f" {BASE[0][0]} ")) | F.contains(s, F.lit(f" {BASE[1][0]} ")) | F.contains(s, F.lit(f" {BASE[2][0]} "))
-    gate = F.contains(s, F.lit(STEMS[0]))
-    for stem in STEMS[1:]:
+    gate = F.lit(False)
+    for stem in stems():
         gate |= F.contains(s, F.lit(stem))
     empty = F.array().cast("array<struct<at:int,end:int,priority:int,label:string>>")
     rows = rows.select("doc_id", F.when(F.length(s) > 2, words_in(s) - 1).otherwise(0).cast("long").alias("n_words"), F.when(has_base, any_base).otherwise(none).alias(base), F.when(gate, detections(s, rules())).otherwise(empty).alias(own))
