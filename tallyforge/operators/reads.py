@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_ROWS = 2000
+_TOO_MANY = f"more than {MOST_ROWS} rows"
 
 
 class ScopeError(ValueError):
@@ -37,8 +39,8 @@ class ReadRequest:
 
 
 def read(request: ReadRequest, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """The rows of a request as one plan; null never matches a filter, and a result beyond 2,000 rows is an error when
-    it is collected, never a silent cut. ``tables``: frame and scope column of what may be read."""
+    """The rows of a request as one plan; null never matches a filter, and a result beyond 2,000 rows fails
+    wherever it is used, never a silent cut: filters belong into the request, since they can't save it afterwards. ``tables``: frame and scope column of what may be read."""
     if request.table not in tables:
         raise ScopeError(f"{request.table} may not be read")
     df, scope = tables[request.table]
@@ -51,13 +53,22 @@ def read(request: ReadRequest, tables: dict[str, tuple[DataFrame, str]]) -> Data
         rows = rows.where(f.column_expression())
     order = [F.col(o[1:]).desc_nulls_last() if o.startswith("-") else F.col(o).asc_nulls_last() for o in request.order_by]
     rows = rows.orderBy(*order) if order else rows
-    return rows.select(*request.columns).limit(MOST_ROWS + 1)
+    # the window has no partition, but the limit has left few rows
+    nth = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+    held = rows.select(*request.columns).limit(MOST_ROWS + 1).select("*", nth.alias("__nth"))
+    fits = F.when(F.col("__nth") <= MOST_ROWS, F.lit(True)).otherwise(F.raise_error(F.lit(_TOO_MANY)).cast("boolean"))
+    return held.where(fits).select(*request.columns)
 
 
 def collected(rows: DataFrame) -> list:
-    found = rows.collect()
+    try:
+        found = rows.collect()
+    except PySparkException as e:
+        if _TOO_MANY in str(e):
+            raise ScopeError(_TOO_MANY) from e
+        raise
     if len(found) > MOST_ROWS:
-        raise ScopeError(f"more than {MOST_ROWS} rows")
+        raise ScopeError(_TOO_MANY)
     return found
 
 

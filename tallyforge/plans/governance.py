@@ -69,9 +69,9 @@ def manifest_verified(spark: SparkSession, d: str) -> DataFrame:
 
 @query("governed_read", f"WITH {REPORTS} SELECT record_id, day, rating, amount FROM reports WHERE entity = 7 AND rating IN (1, 2, 3) AND amount >= 1000 AND day >= DATE '1993-01-01' ORDER BY day LIMIT 2000")
 def governed_read(spark: SparkSession, d: str) -> DataFrame:
-    request = reads.ReadRequest("reports", 7, ("record_id", "day", "rating", "amount"), (reads.Filter("rating", "in", (1, 2, 3)), reads.Filter("amount", "ge", 1000), reads.Filter("day", "not_null")), ("day", "record_id"))
-    rows = reads.read(request, {"reports": (reports(spark, d), "entity")})
-    return rows.where(parse("what happened since 1993").predicate("day"))
+    since = parse("what happened since 1993").low
+    request = reads.ReadRequest("reports", 7, ("record_id", "day", "rating", "amount"), (reads.Filter("rating", "in", (1, 2, 3)), reads.Filter("amount", "ge", 1000), reads.Filter("day", "ge", since)), ("day", "record_id"))
+    return reads.read(request, {"reports": (reports(spark, d), "entity")})
 
 
 @query("guarded_read", f"WITH {REPORTS} SELECT record_id, entity, seq FROM reports WHERE entity = 11")
