@@ -2,7 +2,8 @@
 
 A message whose text is a JSON object may carry ``tool_calls`` (id, name, arguments) or answer one by ``tool_call_id``.
 Calls and results of a conversation are hash-joined by identifier. In the topological order each message keeps its turn,
-but a result never stands before its call. Arguments are validated against the tools' schemas, and every message is
+but a result never stands before its call, however many calls and results lead to that one. Where messages answer each
+other in a cycle, the earliest of them (by turn) keeps its turn and the others follow it. Arguments are validated against the tools' schemas, and every message is
 serialised as canonical JSON: keys sorted, no white space, numbers and strings in one form.
 """
 
@@ -107,17 +108,58 @@ def formatted(turns: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] =
             F.when(F.size("calls") > 0, F.concat(F.lit('"tool_calls":['), F.array_join(F.transform("f_entries", one), ","), F.lit("]"))),
         )
     )
-    out = joined.select("conv_id", "turn", "role", F.size("calls").cast("long").alias("n_calls"), F.coalesce("f_call_status", F.lit("")).alias("call_status"), F.col("f_link").alias("link"), F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("message"), F.greatest(F.coalesce("turn", F.lit((1 << 63) - 1)), F.coalesce("f_after", F.lit(-(1 << 63)))).alias("level"), (F.col("f_after").isNotNull()).cast("int").alias("later"))
+    edges = asked.filter(~is_call & F.col("call").isNotNull()).select("conv_id", own.alias("at"), F.struct(F.col("call.turn").alias("turn"), F.col("call.key").alias("key")).alias("up"))
+    levels = _levels(edges.filter("at != up").distinct()).select(F.col("conv_id").alias("l_conv_id"), F.col("at").alias("l_at"), F.col("level").alias("l_level"), "depth")
+    joined = joined.join(levels, F.col("conv_id").eqNullSafe(F.col("l_conv_id")) & (F.struct(own["turn"].alias("turn"), F.col("key")) == F.col("l_at")), "left")
+    out = joined.select("conv_id", "turn", "role", F.size("calls").cast("long").alias("n_calls"), F.coalesce("f_call_status", F.lit("")).alias("call_status"), F.col("f_link").alias("link"), F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("message"), F.coalesce("l_level", own["turn"]).alias("level"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), (F.col("f_after").isNotNull()).cast("int").alias("later"))
     return _positions(out)
 
 
+def _levels(edges: DataFrame) -> DataFrame:
+    """(conv_id, at, level, depth) for the results of ``edges`` (conv_id, at, up): up is the message of at's call.
+
+    level is the largest turn of a message and of all that it answers, one after the other; depth is how many answers lie
+    between it and the furthest message of that turn, so (level, depth) is larger than that of the call. A message answers
+    one call at most, so each round doubles the answers that are looked through.
+    """
+    edges = stage(edges, "edges")
+    now = edges.select("conv_id", "at", F.col("up").alias("ptr"), F.col("at.turn").alias("level"), F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("hops"), F.col("at").alias("least"))
+    for _ in range(edges.count().bit_length()):
+        now = stage(_doubled(now), "levels")
+        if now.filter("ptr is not null").isEmpty():
+            return now.select("conv_id", "at", "level", "depth")
+    # what has no end by now leads into a cycle and, starting from a message of the cycle, has seen all of it
+    ends = now.filter("ptr is not null").select(F.col("conv_id").alias("pc"), F.col("ptr").alias("pp")).distinct()
+    on_cycle = F.col("conv_id").eqNullSafe(F.col("pc")) & (F.col("at") == F.col("pp"))
+    first = now.filter("at = least").join(ends, on_cycle, "left_semi").select(F.col("conv_id").alias("pc"), F.col("at").alias("pp"))
+    if first.isEmpty():
+        return now.select("conv_id", "at", "level", "depth")
+    return _levels(edges.join(first, on_cycle, "left_anti"))
+
+
+def _doubled(now: DataFrame) -> DataFrame:
+    """Each message's state with that of the message where it ends; messages without a state answer nothing."""
+    up = now.select(*(F.col(c).alias(f"u_{c}") for c in now.columns))
+    rows = now.join(up, F.col("conv_id").eqNullSafe(F.col("u_conv_id")) & (F.col("ptr") == F.col("u_at")), "left")
+    more, level = F.col("ptr").isNotNull(), F.coalesce("u_level", "ptr.turn")
+    return rows.select(
+        "conv_id",
+        "at",
+        F.col("u_ptr").alias("ptr"),
+        F.greatest("level", level).alias("level"),
+        F.when(more & (level >= F.col("level")), F.coalesce("u_depth", F.lit(0)) + F.col("hops")).otherwise(F.col("depth")).alias("depth"),
+        F.when(more, F.col("hops") + F.coalesce("u_hops", F.lit(1))).otherwise(F.col("hops")).alias("hops"),
+        F.when(more, F.least("least", F.coalesce("u_least", "ptr"))).otherwise(F.col("least")).alias("least"),
+    )
+
+
 def _positions(rows: DataFrame) -> DataFrame:
-    """Messages numbered by (level, later, turn, message) within their conversation, over runs of levels."""
+    """Messages numbered by (level, depth, later, turn, message) within their conversation, over runs of levels."""
     rows = stage(rows.withColumn("run", F.floor(F.col("level") / RUN)), "messages")
     runs = rows.groupBy("conv_id", "run").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("conv_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(F.col("conv_id").alias("rc"), F.col("run").alias("rr"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below")).filter("below > 0")
-    inside = Window.partitionBy("conv_id", "run").orderBy("level", "later", F.col("turn").asc_nulls_last(), "message")
+    inside = Window.partitionBy("conv_id", "run").orderBy("level", "depth", "later", F.col("turn").asc_nulls_last(), "message")
     rows = rows.withColumn("nth", F.row_number().over(inside)).join(runs, F.col("conv_id").eqNullSafe(F.col("rc")) & (F.col("run") == F.col("rr")), "left")
     position = (F.col("nth") - 1 + F.coalesce("below", F.lit(0))).cast("long")
     return rows.select("conv_id", "turn", "role", position.alias("position"), "n_calls", "call_status", "link", "message")
