@@ -13,11 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
-
 WINDOW, BATCH = 128, 256
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 16, 8
 #: The bound of the training sample: so many excerpts, of so many characters each.
@@ -114,15 +112,26 @@ def learnable(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network from the learnable documents with a language; None if there are none."""
+    """A network from the learnable documents with a language; None if there are none.
+
+    Every language of those documents is a class: each has the same share of ``sample``, and of its texts those with the
+    least hashes are learnt. Only texts whose hash lies in the share of their language that is expected to hold them are
+    sorted.
+    """
     known = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     draw = F.xxhash64(F.lit(SEED), "doc_id", "text")
     start = F.pmod(draw, F.greatest(F.lit(1).cast("long"), F.length("text") - EXCERPT + 1)) + 1
-    rows = known.select("lang", F.substr("text", start.cast("int"), F.lit(EXCERPT)).alias("text"), draw.alias("draw"))
-    n = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).count()
-    found = bounded_sample(rows, n, "draw", sample).collect()
-    if not found:
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return None
+    each = max(1, sample // len(sizes))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, (1.2 * each + 100) / n)) for k, n in sizes.items()], "of string, share double")
+    uniform = F.shiftrightunsigned("draw", 11).cast("double") / F.lit(float(1 << 53))
+    rows = known.select("lang", F.substr("text", start.cast("int"), F.lit(EXCERPT)).alias("text"), draw.alias("draw"))
+    rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("of")).filter(uniform < F.col("share"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    found = rows.withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "text", "draw").collect()
+    found.sort(key=lambda r: (r["draw"], r["lang"], r["text"]))
     classes = sorted({r["lang"] for r in found})
     windows, labels = [], []
     for r in found:
