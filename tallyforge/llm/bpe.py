@@ -16,14 +16,17 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words longer than this are not cached; of others two generations are, each of at most so many.
 CACHED_LENGTH, CACHED_WORDS = 64, 150_000
 #: Words of up to so many bytes are merged side by side, those of about so many words of text at once.
 WIDEST, WORDS_AT_ONCE = 64, 150_000
+#: Results are handed on when they hold so many tokens.
+TOKENS_HELD = 1 << 17
 _NONE = 1 << 60
 
 
@@ -286,20 +289,36 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
 
     ``path`` is the tokenizer file on every executor (None: the installed public one). Null and empty texts have no
     tokens; repeated rows are encoded each; an empty table gives no rows; other columns are not looked at. Whole texts
-    are encoded in one task each, in memory that follows the longest text.
+    are encoded in one task each. Results leave a task as soon as they hold ``TOKENS_HELD`` tokens, ids as 32-bit
+    integers, so memory follows that bound and the longest text, not the number of rows in a batch.
     """
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    fields = [("doc_id", kind), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    arrow = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path or default_path())
         for b in batches:
-            rows = []
-            for ids, decoded in t.run(b["text"]):
-                row = (ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, [int(i) for i in ids.split()]) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy() if not b["doc_id"].isna().any() else b["doc_id"].astype(object).to_numpy())
-            yield out
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+            start, rows, arrays, held = 0, [], [], 0
+
+            def out(start=0, rows=(), arrays=(), b=b):
+                columns = [b.column("doc_id").slice(start, len(rows)).cast(kind), *([r[i] for r in rows] for i in range(3))]
+                if with_ids:
+                    ends = np.cumsum([0, *(len(a) for a in arrays)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays))))
+                return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+            for ids, decoded in t.run(x.as_py() for x in b.column("text")):
+                n = ids.count(" ") + bool(ids)
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                if with_ids:
+                    arrays.append(np.array(ids.split(), dtype=np.int32))
+                held += n
+                if held >= TOKENS_HELD:
+                    yield out(start, rows, arrays)
+                    start, rows, arrays, held = start + len(rows), [], [], 0
+            if rows:
+                yield out(start, rows, arrays)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
