@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,13 +20,16 @@ _folders: dict[str, str] = {}
 
 def workspace(spark: SparkSession) -> str:
     """The shared folder for staged tables: below spark.checkpoint.dir; where that is unset, the warehouse on a
-    cluster and a temporary folder in local mode. It is removed when the program ends."""
+    cluster, which must then not be a machine's own folder, and a temporary folder in local mode. It is removed when the
+    application ends."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             local = spark.sparkContext.master.split("[")[0] == "local"
             base = "file://" + tempfile.mkdtemp(prefix="tallyforge-") if local else spark.conf.get("spark.sql.warehouse.dir")
+            if not local and base.split(":")[0] in ("file", base):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(base)
         _folders[app] = f"{base.rstrip('/')}/staged-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _folders[app])
@@ -33,10 +37,13 @@ def workspace(spark: SparkSession) -> str:
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and not spark.sparkContext._jsc.sc().isStopped():
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    context = spark.sparkContext
+    if context._jsc is None:  # stopped: the JVM is gone, a local folder can still be removed
+        if folder.startswith("file:"):
+            shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+    elif not context._jsc.sc().isStopped():
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

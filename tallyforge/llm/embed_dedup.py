@@ -22,8 +22,9 @@ from .common import bounded_sample, sorted_groups, stage
 from .components import Forest, components
 
 THRESHOLD = 0.98
-#: The bound of the sample that the codebooks are fitted on; a grid has about a cell for so many vectors, and at most so many codewords per axis.
-SAMPLE, PER_CELL, MOST_CODES = 8192, 4096, 256
+#: The bound of the sample that the codebooks are fitted on. The grid of the largest label has a cell for about so many
+#: vectors, with so many codewords an axis at least and at most.
+SAMPLE, PER_CELL, LEAST_CODES, MOST_CODES = 8192, 512, 8, 1024
 #: Residents and visitors of a cell are dealt to blocks of about this many.
 BLOCK = 2048
 
@@ -48,11 +49,12 @@ def codebook(sample: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
 
 def _bounds(half: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row its nearest codeword, and the squared lower bound of its distance to each codeword's region."""
-    d = np.maximum(0.0, (half**2).sum(1)[:, None] + (centers**2).sum(1)[None, :] - 2 * half @ centers.T)
+    norms = (centers**2).sum(1)
+    d = np.maximum(0.0, (half**2).sum(1)[:, None] + norms[None, :] - 2 * half @ centers.T)
     own = np.argmin(d, axis=1)
-    gap = np.sqrt(np.maximum(0.0, ((centers[:, None, :] - centers[None, :, :]) ** 2).sum(2)))[own]
+    gap = np.sqrt(np.maximum(0.0, norms[own][:, None] + norms[None, :] - 2 * centers[own] @ centers.T))
     with np.errstate(divide="ignore", invalid="ignore"):
-        low = np.where(gap > 0, (d - d[np.arange(len(half)), own][:, None]) / (2 * gap), 0.0)
+        low = np.where(gap > 1e-9, (d - d[np.arange(len(half)), own][:, None]) / (2 * gap), 0.0)
     return own, np.maximum(0.0, low) ** 2
 
 
@@ -71,35 +73,49 @@ def traverse(first: np.ndarray, second: np.ndarray, limit: float) -> list[tuple[
     return out
 
 
+def traverse_many(first: np.ndarray, second: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, i, j) of what ``traverse`` visits for each row's two ascending sequences, the rows stepped side by side.
+
+    One step takes the next of every row's first sequence and as many of the second as the limit then allows; a row ends
+    where that is none, as sums only grow.
+    """
+    rows, out = np.arange(len(first)), []
+    for i in range(first.shape[1]):
+        reach = (second[rows] <= limit - first[rows, i][:, None]).sum(1)
+        rows, reach = rows[reach > 0], reach[reach > 0]
+        if not len(rows):
+            break
+        j = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+        out.append((np.repeat(rows, reach), np.full(len(j), i), j))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
+
+
 def _cells(vectors: np.ndarray, books: tuple[np.ndarray, np.ndarray], cut: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, home) of each vector in its own cell and in the later ones that may hold a partner."""
+    """Each vector's own cell, and (row, cell) of the later ones that may hold a partner."""
     unit = vectors / np.sqrt((vectors**2).sum(1))[:, None]
     own1, low1 = _bounds(unit[:, :cut], books[0])
     own2, low2 = _bounds(unit[:, cut:], books[1])
     width = len(books[1])
     home = own1 * width + own2
-    rows, cells, homes = [np.arange(len(unit))], [home], [np.ones(len(unit), dtype=bool)]
-    for r in range(len(unit)):
-        one, two = np.nonzero(low1[r] <= limit)[0], np.nonzero(low2[r] <= limit)[0]
-        if len(one) == 1 and len(two) == 1:
-            continue
-        one, two = one[np.argsort(low1[r, one], kind="stable")], two[np.argsort(low2[r, two], kind="stable")]
-        visits = np.array([one[i] * width + two[j] for i, j in traverse(low1[r, one], low2[r, two], limit)])
-        visits = visits[visits > home[r]]
-        rows.append(np.full(len(visits), r))
-        cells.append(visits)
-        homes.append(np.zeros(len(visits), dtype=bool))
-    return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
+    order1, order2 = np.argsort(low1, axis=1, kind="stable"), np.argsort(low2, axis=1, kind="stable")
+    row, i, j = traverse_many(np.take_along_axis(low1, order1, 1), np.take_along_axis(low2, order2, 1), limit)
+    cell = order1[row, i] * width + order2[row, j]
+    later = cell > home[row]
+    return home, row[later], cell[later]
+
 
+def _matrix(packed: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=kind).reshape(len(packed), -1).astype(np.float64)
 
-def _verify(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+
+def _verify(batches: Iterator[pd.DataFrame], threshold: float, kind: str) -> Iterator[pd.DataFrame]:
     """For each pair of blocks how many rows each vector links to, and edges that connect the same components."""
     for _, g in sorted_groups(batches, ["label", "dim", "cell", "hb", "rb"]):
         home = g["role"].to_numpy()
         if home.all() or not home.any():
             continue
         rid, mult, resident = g["rid"].to_numpy(), g["mult"].to_numpy(), g["home"].to_numpy()
-        v = np.stack(g["embedding"].to_numpy()).astype(np.float64)
+        v = _matrix(g["vector"], kind)
         norm = np.sqrt((v**2).sum(1))
         h, m = np.nonzero(home)[0], np.nonzero(~home)[0]
         near = (v[h] @ v[m].T) / (norm[h][:, None] * norm[m][None, :]) >= threshold
@@ -128,15 +144,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     other columns are not looked at.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    rows = vectors.select("vec_id", "embedding", "label")
+    if rows.schema["embedding"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & _usable(F.col("embedding")), F.lit(False)))
     distinct = rows.filter("ok").groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("first_id"))
     distinct = stage(distinct.select("label", F.size("embedding").alias("dim"), "embedding", "mult", "first_id", F.monotonically_increasing_id().alias("rid")), "vectors")
-    counts = distinct.groupBy("dim").count().collect()  # a row for each dimension
+    counts = distinct.groupBy("label", "dim").count().groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()  # a row for each dimension
     pairs = None
-    for dim, n in sorted((r["dim"], r["count"]) for r in counts):
+    for dim, n, most in sorted(tuple(r) for r in counts):
         own = distinct.filter(F.col("dim") == dim)
-        found = _links(spark, own, dim, n, threshold, block)
+        found = _links(own, dim, n, most, threshold, block)
         pairs = found if pairs is None else pairs.unionByName(found)
     if pairs is None:
         pairs = spark.createDataFrame([], "a long, b long, n long")
@@ -153,35 +171,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     return out.select("vec_id", F.col("n_links").cast("long"), F.col("component_id").cast("long"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links(spark, own: DataFrame, dim: int, n: int, threshold: float, block: int) -> DataFrame:
-    """(a, b, n): how many rows vector a links to (b = -1), or an edge a-b."""
+def _links(own: DataFrame, dim: int, n: int, most: int, threshold: float, block: int) -> DataFrame:
+    """(a, b, n): how many rows vector a links to (b = -1), or an edge a-b, among ``n`` vectors, ``most`` of one label."""
     sample = bounded_sample(own.select("embedding", F.xxhash64("embedding").alias("draw")), n, "draw", SAMPLE)
     found = np.array([r[0] for r in sample.collect()], dtype=np.float64)
     unit = found / np.sqrt((found**2).sum(1))[:, None]
-    codes = int(np.clip(round((n / PER_CELL) ** 0.5), 1, min(MOST_CODES, len(unit))))
+    codes = int(np.clip(round((most / PER_CELL) ** 0.5), LEAST_CODES, min(MOST_CODES, max(LEAST_CODES, len(unit) // 4))))
     cut = max(1, dim // 2)
     books = codebook(unit[:, :cut], codes), codebook(unit[:, cut:], codes) if cut < dim else np.zeros((1, 0))
     limit = max(0.0, 2 - 2 * threshold) + 1e-9
-    kind = own.schema["label"].dataType.simpleString()
+    label = own.schema["label"].dataType.simpleString()
+    kind = "<f4" if own.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
-            for start in range(0, len(whole), 512):
-                b = whole.iloc[start : start + 512]
-                row, cell, home = _cells(np.stack(b["embedding"].to_numpy()).astype(np.float64), books, cut, limit)
-                out = b.iloc[row][["label", "dim", "rid", "mult", "embedding"]]
-                yield out.assign(cell=cell, home=home)
-
-    placed = own.select("label", "dim", "rid", "mult", "embedding").mapInPandas(place, f"label {kind}, dim int, rid long, mult long, embedding array<double>, cell long, home boolean")
+            for start in range(0, len(whole), 1024):
+                b = whole.iloc[start : start + 1024]
+                v = np.stack(b["embedding"].to_numpy())
+                home, row, cell = _cells(v.astype(np.float64), books, cut, limit)
+                by_row = np.argsort(row, kind="stable")
+                visits = np.split(cell[by_row], np.cumsum(np.bincount(row, minlength=len(b)))[:-1])
+                yield b[["label", "dim", "rid", "mult"]].assign(vector=[x.tobytes() for x in v.astype(kind)], home=home, visits=visits)
+
+    # a row for each vector: cells are replicated, vectors only in the last shuffle
+    placed = own.select("label", "dim", "rid", "mult", "embedding").mapInPandas(place, f"label {label}, dim int, rid long, mult long, vector binary, home long, visits array<long>")
     placed = stage(placed, "cells")
     keys = ["label", "dim", "cell"]
-    per = placed.groupBy(keys).agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("home").cast("long")).alias("homes"))
+    at_home = F.struct(F.col("home").alias("cell"), F.lit(True).alias("home"))
+    visit = F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("home")))
+    places = F.explode(F.concat(F.array(at_home), visit)).alias("p")
+    per = placed.select("label", "dim", places).select("label", "dim", "p.cell", "p.home")
+    per = per.groupBy(keys).agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("home").cast("long")).alias("homes"))
     per = per.filter("homes > 0 and all > 1").select(*keys, F.ceil(F.col("homes") / block).cast("int").alias("hn"), F.ceil(F.col("all") / block).cast("int").alias("rn"))
-    rows = placed.join(per, keys)
+    rows = placed.select("label", "dim", "rid", "mult", "vector", places).select("label", "dim", "rid", "mult", "vector", "p.cell", "p.home").join(per, keys)
     own_h, own_r = F.pmod(F.xxhash64(F.lit(1), "rid"), "hn").cast("int"), F.pmod(F.xxhash64(F.lit(2), "rid"), "rn").cast("int")
     as_member = F.transform(F.sequence(F.lit(0), F.col("hn") - 1), lambda b: F.struct(b.alias("hb"), own_r.alias("rb"), F.lit(False).alias("role")))
     as_home = F.transform(F.sequence(F.lit(0), F.col("rn") - 1), lambda b: F.struct(own_h.alias("hb"), b.alias("rb"), F.lit(True).alias("role")))
     rows = rows.withColumn("p", F.explode(F.when(F.col("home"), F.concat(as_member, as_home)).otherwise(as_member)))
-    rows = rows.select(*keys, "p.hb", "p.rb", "p.role", "rid", "mult", "home", "embedding")
+    rows = rows.select(*keys, "p.hb", "p.rb", "p.role", "rid", "mult", "home", "vector")
     groups = [*keys, "hb", "rb"]
-    return rows.repartition(*groups).sortWithinPartitions(*groups).mapInPandas(lambda b: _verify(b, threshold), "a long, b long, n long")
+    return rows.repartition(*groups).sortWithinPartitions(*groups).mapInPandas(lambda b: _verify(b, threshold, kind), "a long, b long, n long")

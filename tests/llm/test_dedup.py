@@ -73,7 +73,7 @@ def test_simhash_rows_and_edges(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize(("block", "per_cell"), [(7, 20), (2048, 4096)])
+@pytest.mark.parametrize(("block", "per_cell"), [(7, 2), (2048, 512)])
 def test_embeddings_by_brute_force(spark, block, per_cell, monkeypatch):
     monkeypatch.setattr(embed_dedup, "PER_CELL", per_cell)
     rng = np.random.default_rng(5)
@@ -103,3 +103,36 @@ def test_embeddings_by_brute_force(spark, block, per_cell, monkeypatch):
 def test_embeddings_empty(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     assert len(embed_dedup.traverse(np.array([0.0, 1, 5]), np.array([0.0, 2]), 3)) == 4
+
+
+def test_traversals_visit_the_same_cells():
+    rng = np.random.default_rng(4)
+    first, second = np.sort(rng.random((50, 6)), axis=1), np.sort(rng.random((50, 9)), axis=1)
+    first[:10, 0] = second[:10, 0] = 0
+    row, i, j = embed_dedup.traverse_many(first, second, 0.7)
+    want = {(r, a, b) for r in range(50) for a, b in embed_dedup.traverse(first[r], second[r], 0.7)}
+    assert set(zip(row.tolist(), i.tolist(), j.tolist(), strict=True)) == want and len(row) == len(want)
+
+
+def test_grid_prunes_at_default_constants():
+    rng = np.random.default_rng(9)
+    v = np.repeat(rng.normal(size=(60, 64)), 20, axis=0) + rng.normal(scale=0.02, size=(1200, 64))
+    unit = v / np.sqrt((v**2).sum(1))[:, None]
+    books = embed_dedup.codebook(unit[:, :32], embed_dedup.LEAST_CODES), embed_dedup.codebook(unit[:, 32:], embed_dedup.LEAST_CODES)
+    home, row, cell = embed_dedup._cells(v, books, 32, 0.04)
+    meets = np.zeros((1200, 1200), dtype=bool)
+    for c in set(home.tolist()):
+        here = np.nonzero(home == c)[0]
+        meets[np.ix_(here, here)] = True
+        meets[np.ix_(row[cell == c], here)] = True
+    meets |= meets.T
+    near = unit @ unit.T >= 0.98
+    assert meets[near].all() and len(set(home.tolist())) > 20 and meets.mean() < 0.5
+
+
+def test_embeddings_threshold_ties_and_clashing_columns(spark):
+    # cosines of exactly 0.6 and 0.8: the threshold itself links
+    rows = [(1, [1.0, 0.0], 0, 9, True), (2, [3.0, 4.0], 0, 9, True), (3, [0.0, 1.0], 0, 9, True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, Cell int, Home boolean")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df, threshold=0.8).collect()}
+    assert got == {1: (0, 1), 2: (1, 2), 3: (1, 2)}
