@@ -59,6 +59,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The running fold of an array by an associative function, in log2(n) passes over it: no array grows step by step."""
+
+    def doubled(now: Column, step: Column) -> Column:
+        return F.transform(now, lambda x, i: F.when(i >= step, combine(F.get(now, i - step), x)).otherwise(x))
+
+    last = F.greatest(F.size(values) - 1, F.lit(1))
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.log2(last)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(steps, values, doubled))
+
+
 def bounded_sample(rows: DataFrame, n: int, draw: str, bound: int) -> DataFrame:
     """At most ``bound`` of ``n`` rows, those with the least value of the hash column ``draw``. Only rows whose hash lies
     in the share that is expected to hold them are sorted, so what reaches the driver doesn't grow with the tasks."""

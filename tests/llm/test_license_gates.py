@@ -15,6 +15,8 @@ def examples(parsed):
     for op, arg in parsed:
         if op is c.LITERAL:
             parts = [chr(arg)]
+        elif op is c.NOT_LITERAL:
+            parts = ["x"]
         elif op is c.IN:
             parts = [chr(v if o is c.LITERAL else v[0]) for o, v in arg]
         elif op is c.BRANCH:
@@ -49,3 +51,18 @@ def test_every_rule_is_found(spark):
         words = " ".join(re.findall("[a-z0-9]+", t.lower()))
         assert [(d["at"], d["end"], d["priority"]) for d in got[i]["detections"]] == without_gates(words), t
         assert got[i]["labels"] or t.startswith("a committee"), t
+
+
+def test_base_and_scores_by_hand(spark):
+    texts = ["Licensed under the MIT License, see LICENSE.", "cc by 4.0 and cc by sa 3.0; all rights reserved", "plain words only", "released under the MIT. " * 400, None]
+    got = licenses.scanned(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    for r, t in zip(got, texts, strict=True):
+        words = " ".join(re.findall("[a-z0-9]+", (t or "").lower()))
+        want = without_gates(words)
+        covered = {w for a, b, _ in want for w in range(a, b)}
+        n = len(want) or r["n_base"]
+        share = len(covered) / len(words.split()) if words else 0.0
+        assert abs(r["score"] - max(share, 1 - 0.5**n)) < 1e-12
+    assert got[3]["labels"] == "grant:mit" and len(got[3]["detections"]) == 400
+    again = licenses.scanned(spark.createDataFrame([(1, texts[1], 5), (1, texts[1], 5)], "doc_id long, text string, Spaced int")).collect()
+    assert again[0] == again[1] and again[0]["labels"] == got[1]["labels"]
