@@ -1,6 +1,6 @@
 """Operator 5: document fingerprints by Order MinHash, with DataFrame functions only.
 
-The k-mers are runs of ``K`` words. Each gets the number of its occurrence in the text, so that repeats count, and a
+The k-mers are runs of ``K`` words, or of characters where words are very long. Each gets the number of its occurrence in the text, so that repeats count, and a
 64-bit hash of both. The hash's top bits name one of ``BUCKETS`` sketches; each sketch selects its ``L`` minimal k-mers,
 puts them back into their order in the text and hashes that tuple to a signature. Two texts' likeness is the share of
 sketches, of those that either fills, whose signatures are equal: it falls with edits that change k-mers and with edits
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, let, stage
+from .common import WORD, bounded_sample, free_name, let, stage
 
 K, L, BUCKET_BITS = 3, 2, 6
 BUCKETS = 1 << BUCKET_BITS
@@ -20,32 +20,31 @@ BUCKETS = 1 << BUCKET_BITS
 ROWS_PER_RANGE = 4096
 #: A step has at most so many ranges, so that the table of ranges that is broadcast has at most 256 times as many rows.
 MOST_PER_STEP = 4096
-#: Of a k-mer's packed long the low bits hold its position (texts of over a billion words share positions), the others its hash.
-_POSITION_BITS = 30
-_POSITION = (1 << _POSITION_BITS) - 1
+#: The bound of the sample of ids that are not whole numbers, from which their 256 steps are cut.
+SAMPLE = 16_384
+#: What k-mers consist of: words of up to 24 characters; of longer words, as where no white space is written, each
+#: character down to the last 24.
+UNIT = WORD.removesuffix("+") + "{1,24}(?!" + WORD.removesuffix("+") + ")|" + WORD.removesuffix("+")
 
 
 def signatures(text: Column) -> Column:
-    """BUCKETS signatures of a whole text; a sketch that got no k-mer is null. A text of under K words is one k-mer."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    """BUCKETS signatures of 32 bits of a whole text; a sketch that got no k-mer is null. A text of under K units is one
+    k-mer."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(f"({UNIT})"), F.lit(1)), lambda w: F.xxhash64(w))
     return let(words, _of_words)
 
 
 def _of_words(words: Column) -> Column:
     last = F.greatest(F.size(words) - K, F.lit(0))
-
-    def packed(i: Column) -> Column:
-        kmer = F.xxhash64(*(F.get(words, i + j) for j in range(K)))
-        return kmer.bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(_POSITION)))
-
-    ordered = F.sort_array(F.transform(F.sequence(F.lit(0), last), packed))
+    kmer = lambda i: F.struct(F.xxhash64(*(F.get(words, i + j) for j in range(K))).alias("h"), i.alias("at"))
+    ordered = F.sort_array(F.transform(F.sequence(F.lit(0), last), kmer))
     return F.when(F.size(words) > 0, let(ordered, _of_sorted)).otherwise(F.array_repeat(F.lit(None).cast("long"), BUCKETS))
 
 
 def _of_sorted(kmers: Column) -> Column:
     """``kmers``: hash and position, sorted; equal ones stand together in the order of the text."""
     end = F.size(kmers)
-    same = lambda i: F.shiftright(F.get(kmers, i), _POSITION_BITS)
+    same = lambda i: F.get(kmers, i)["h"]
     starts = F.filter(F.sequence(F.lit(0), end - 1), lambda i: (i == 0) | (same(i) != same(i - 1)))
 
     def numbered(starts: Column) -> Column:
@@ -53,7 +52,7 @@ def _of_sorted(kmers: Column) -> Column:
             starts,
             lambda s, r: F.transform(
                 F.sequence(s, F.coalesce(F.get(starts, r + 1), end) - 1),
-                lambda i: F.struct(F.xxhash64(same(i), i - s).alias("h"), F.get(kmers, i).bitwiseAND(F.lit(_POSITION)).alias("at")),
+                lambda i: F.struct(F.xxhash64(same(i), i - s).alias("h"), F.get(kmers, i)["at"].alias("at")),
             ),
         )
         return let(F.sort_array(F.flatten(runs)), selected)
@@ -70,7 +69,7 @@ def _of_sorted(kmers: Column) -> Column:
 
 def _tuple(chosen: Column, at: Column, bucket: Column) -> Column:
     rest = [F.when(F.get(chosen, at - 1 + j)["b"] == bucket, F.get(chosen, at - 1 + j)["h"]) for j in range(L)]
-    return F.when(at > 0, F.xxhash64(*rest))
+    return F.when(at > 0, F.shiftrightunsigned(F.xxhash64(*rest), 32))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -82,33 +81,46 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_string(sig: Column) -> Column:
-    """The fingerprint in print: a SHA-256 of all signatures would hide likeness, so they are kept as they are, 4 hex digits each."""
-    return F.array_join(F.transform(sig, lambda s: F.when(s.isNull(), "----").otherwise(F.lower(F.lpad(F.hex(F.shiftrightunsigned(s, 48)), 4, "0")))), "")
+    """The fingerprint in print: all signatures in full, 8 hex digits each, so likeness can be computed from it."""
+    return F.array_join(F.transform(sig, lambda s: F.when(s.isNull(), "--------").otherwise(F.lower(F.lpad(F.hex(s), 8, "0")))), "")
 
 
 def ranges(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> tuple[Column, DataFrame]:
     """An expression for the range of a doc_id, later ranges holding smaller ids and the last one null, and the table
     (lead, before): the greatest id of each range and the range that ends just before it, going round at the end.
 
-    Ranges are of equal width inside at most 256 steps of equal numbers of rows, so ids may be spread unevenly.
+    Ranges are of equal width inside at most 256 steps of about equal numbers of rows, so ids may be spread unevenly. Ids
+    that are not whole numbers have steps only.
     """
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        number = _numeric_range(docs, rows_per_range)
+    else:
+        n = docs.count()
+        found = bounded_sample(docs.select("doc_id", F.xxhash64("doc_id").alias("draw")).filter("doc_id is not null"), n, "draw", SAMPLE)
+        ids = sorted({r[0] for r in found.collect()})
+        keep = min(256, max(1, -(-n // rows_per_range)))
+        cuts = [F.lit(ids[i * len(ids) // keep]) for i in range(keep)] if ids else []
+        step = F.size(F.filter(F.array(*cuts), lambda c: c <= F.col("doc_id"))) + 1 if cuts else F.lit(1)
+        number = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(step).cast("long")
+    leads = docs.select("doc_id", number.alias("range")).groupBy("range").agg(F.max("doc_id").alias("lead"))
+    order = Window.orderBy(F.col("range").desc())  # a row for each range
+    around = F.coalesce(F.lag("range").over(order), F.first("range").over(Window.orderBy("range")))
+    return number, stage(leads.select("range", "lead", around.alias("before")), "ranges")
+
+
+def _numeric_range(docs: DataFrame, rows_per_range: int) -> Column:
     n, low, high, cuts = docs.agg(F.count("doc_id"), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 256 for i in range(1, 256)], 2000)).first()
     low, high = low or 0, high or 0
     per = min(MOST_PER_STEP, max(1, -(-n // (rows_per_range * 256))))
-    few = n <= rows_per_range * 256
     cuts = sorted({low, *(cuts or [])})
-    if few:
+    if n <= rows_per_range * 256:
         keep = max(1, -(-n // rows_per_range))
         cuts = sorted({low, *(cuts[i * len(cuts) // keep] for i in range(keep))})
     bounds = F.array(*(F.lit(int(c)).cast("long") for c in [*cuts, high + 1]))
     step = F.size(F.filter(F.array(*(F.lit(int(c)).cast("long") for c in cuts)), lambda c: c <= F.col("doc_id")))
     lo, hi = F.element_at(bounds, step), F.element_at(bounds, step + 1)
     inside = F.floor((F.col("doc_id") - lo).cast("double") * per / (hi - lo)) if per > 1 else F.lit(0)
-    number = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise((step * per + F.least(inside, F.lit(per - 1))).cast("long")).cast("long")
-    leads = docs.select("doc_id", number.alias("range")).groupBy("range").agg(F.max("doc_id").alias("lead"))
-    order = Window.orderBy(F.col("range").desc())  # a row for each range
-    around = F.coalesce(F.lag("range").over(order), F.first("range").over(Window.orderBy("range")))
-    return number, stage(leads.select("range", "lead", around.alias("before")), "ranges")
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise((step * per + F.least(inside, F.lit(per - 1))).cast("long")).cast("long")
 
 
 def with_next(docs: DataFrame, carried: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
@@ -141,8 +153,9 @@ def fingerprinted(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> Data
     ``docs`` (doc_id, text).
 
     Null texts count as empty; wordless texts fill no sketch, print only dashes and are alike; repeated rows are each
-    other's next; a single document is its own next; null ids stand last; an empty table gives no rows; other columns
-    are not looked at.
+    other's next, those of one id in the order of their text's hash; a single document is its own next; null ids stand
+    last; an empty table gives no rows; other columns are not looked at. Very long texts are fingerprinted whole, inside
+    one row, in memory that follows the text. All rows of one id stand in one range.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("sig", signatures(F.col("text")))

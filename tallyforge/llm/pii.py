@@ -3,8 +3,10 @@
 Mentions are found by one pattern, validated by their kind (Luhn, mod 97, octets, calendar, number ranges), and permuted
 by a keyed Feistel network within their own format: every letter and digit stays one of its class, separators stay, and
 check digits are set again so that the result is valid too. Equal values get equal pseudonyms in all documents, and
-different values of a kind get different ones, so links survive. Dates move within the 400-year cycle of the calendar,
-whose 146,097 days are 189 x 773, and social security numbers within their valid ranges.
+different values of a kind and format get different ones, so links survive. Dates move within the 400-year cycle of the
+calendar, whose 146,097 days are 189 x 773 (those that read as month/day only, among such days), and social security
+numbers within their valid ranges. Two things are unlike only by a digest's or an address's width: names in mail
+addresses with letters of other scripts than ``RUNS`` has, and addresses written with leading zeros.
 """
 
 from __future__ import annotations
@@ -18,8 +20,14 @@ from pyspark.sql import functions as F
 from .common import free_name, let
 
 ROUNDS = 8
-#: A stand-in; give your own.
-KEY = "tallyforge-demo-key"
+#: Fixed code points: the first and the last of runs of letters or digits; a pseudonym's letter is of the same run.
+RUNS = (
+    (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x391, 0x3A1), (0x3A3, 0x3A9),
+    (0x3B1, 0x3C9), (0x410, 0x42F), (0x430, 0x44F), (0x531, 0x556), (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x905, 0x939),
+    (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+)
+#: Steps of a walk that stays inside a set; the chance to need more is below 1e-20 for the sets here.
+WALK = 64
 
 #: Kinds in the order in which a mention is tried; the first that fits it whole and is valid names it. Fixed formats.
 PATTERNS = {
@@ -60,13 +68,18 @@ def feistel(value: Column, left: int, right: int, key: str, tweak: str, undo: bo
     return F.aggregate(F.array(*map(F.lit, order)), start, step, lambda s: s["a"] * right + s["b"])
 
 
-def _size(c: Column) -> Column:
-    """How many letters the class of a code point has; 0: not permuted."""
-    return F.when(c.between(48, 57), 10).when(c.between(65, 90) | c.between(97, 122), 26).when(c.between(0xDF, 0xF6), 24).when(c.between(0xF8, 0xFF), 8).otherwise(0)
+def _run(c: Column) -> Column:
+    """(n, base) of the run of a code point: how many it has and the first; n is 0 where it is not permuted."""
+    of = lambda n, base: F.struct(F.lit(n).alias("n"), F.lit(base).alias("base"))
+    out = F.when(c.between(*RUNS[0]), of(10, 48))
+    for a, b in RUNS[1:]:
+        out = out.when(c.between(a, b), of(b - a + 1, a))
+    return out.otherwise(of(0, 0))
 
 
-def _base(c: Column) -> Column:
-    return F.when(c.between(48, 57), 48).when(c.between(65, 90), 65).when(c.between(97, 122), 97).when(c.between(0xDF, 0xF6), 0xDF).otherwise(0xF8)
+def _letter(code: Column) -> Column:
+    """The character of a code point below 65,536."""
+    return F.when(code < 256, F.char(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
 
 
 def permuted(text: Column, key: str, tweak: str, hexadecimal: bool = False) -> Column:
@@ -79,8 +92,8 @@ def permuted(text: Column, key: str, tweak: str, hexadecimal: bool = False) -> C
         items = F.transform(chars, lambda x: F.struct(value(x["s"]).alias("v"), F.lit(16).alias("n"), x["s"].alias("s"), F.lit(0).alias("base")))
         out = lambda e: F.lower(F.conv(e["v"].cast("string"), 10, 16))
     else:
-        items = F.transform(chars, lambda x: F.struct(F.when(_size(x["c"]) > 0, x["c"] - _base(x["c"])).otherwise(0).alias("v"), _size(x["c"]).alias("n"), x["s"].alias("s"), _base(x["c"]).alias("base")))
-        out = lambda e: F.when(e["n"] > 0, F.char(e["base"] + e["v"])).otherwise(e["s"])
+        items = F.transform(chars, lambda x: let(_run(x["c"]), lambda r: F.struct(F.when(r["n"] > 0, x["c"] - r["base"]).otherwise(0).alias("v"), r["n"].alias("n"), x["s"].alias("s"), r["base"].alias("base"))))
+        out = lambda e: F.when(e["n"] > 0, _letter(e["base"] + e["v"])).otherwise(e["s"])
 
     def run(all_: Column) -> Column:
         half = F.floor(F.size(all_) / 2).cast("int")
@@ -134,17 +147,29 @@ def _date(text: Column, fmt: str) -> Column:
     return F.to_date(F.try_to_timestamp(text, F.lit(fmt)))
 
 
-def _moved_date(day: Column, fmt: str, key: str) -> Column:
-    number = F.datediff(day, F.lit("1600-01-01").cast("date"))
-    cycle = F.floor(number / _DAYS)
-    moved = feistel(F.pmod(number, F.lit(_DAYS)).cast("long"), *_DAY_SIDES, key, "date")
-    return F.date_format(F.date_add(F.lit("1600-01-01").cast("date"), (cycle * _DAYS + moved).cast("int")), fmt)
+def _moved_date(day: Column, fmt: str, key: str, late: bool = False) -> Column:
+    """Another day of the same 400 years; ``late``: among the days from the 13th on, by walking until one is met."""
+    first = F.lit("1600-01-01").cast("date")
+    number = F.datediff(day, first)
+    begin = F.floor(number / _DAYS) * _DAYS
+    at = lambda n: F.date_add(first, (begin + n).cast("int"))
+    step = lambda n: feistel(n, *_DAY_SIDES, key, "late" if late else "date")
+    start = F.pmod(number, F.lit(_DAYS)).cast("long")
+    if not late:
+        return F.date_format(at(step(start)), fmt)
+    walk = lambda n, i: F.when((i > 0) & (F.dayofmonth(at(n)) > 12), n).otherwise(step(n))
+    return F.date_format(at(F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), start, walk)), fmt)
 
 
 def _ip(text: Column, key: str) -> Column:
+    """Addresses written with leading zeros are permuted by themselves and keep their width at least."""
     parts = F.split(text, r"\.")
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p.cast("long"))
-    return let(feistel(number, 65536, 65536, key, "ip"), lambda n: F.concat_ws(".", *(F.shiftrightunsigned(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0))))
+    octets = lambda n: [F.shiftrightunsigned(n, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
+    plain = let(feistel(number, 65536, 65536, key, "ip"), lambda n: F.concat_ws(".", *octets(n)))
+    wide = lambda i, o: F.when(F.length(o) < F.length(parts[i]), F.lpad(o, F.length(parts[i]), F.lit("0"))).otherwise(o)
+    padded = let(feistel(number, 65536, 65536, key, "ip0"), lambda n: F.concat_ws(".", *(wide(i, o) for i, o in enumerate(octets(n)))))
+    return F.when(text.rlike(r"(?:^|\.)0[0-9]"), padded).otherwise(plain)
 
 
 def _ssn(text: Column, key: str) -> Column:
@@ -177,8 +202,9 @@ def _email(text: Column, key: str) -> Column:
     head = F.regexp_extract(text, r"^(.*)(\.[A-Za-z]{2,})$", 1)
     local = F.regexp_extract(head, r"^(.*)@", 1)
     moved = permuted(head, key, "email")
-    # a name in a script whose letters have no class here is replaced by a keyed digest
-    moved = F.when(local.rlike(r"[0-9A-Za-z\x{DF}-\x{F6}\x{F8}-\x{FF}]"), moved).otherwise(F.concat(F.substring(F.sha2(F.concat(F.lit(key), local), 256), 1, 12), F.substr(moved, F.length(local) + 1)))
+    # a name with a letter that is in no run is replaced by a keyed digest as a whole
+    known = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in RUNS)
+    moved = F.when(local.rlike(rf"^[{known}._%+\-]*$"), moved).otherwise(F.concat(F.substring(F.sha2(F.concat(F.lit(key), local), 256), 1, 16), F.substr(moved, F.length(local) + 1)))
     return F.concat(moved, F.regexp_extract(text, r"(\.[A-Za-z]{2,})$", 1))
 
 
@@ -192,11 +218,12 @@ def _handled(m: Column, key: str) -> Column:
     fits = lambda kind: m.rlike(f"^(?:{kind})$")
     iso, other = m.rlike("^[0-9]{4}-"), F.regexp_replace(m, r"\.", "/")
     day = F.when(iso, _date(m, "yyyy-MM-dd")).otherwise(F.coalesce(_date(other, "dd/MM/yyyy"), _date(other, "MM/dd/yyyy")))
+    day = F.when(day >= F.lit("0400-01-01").cast("date"), day)
     octets = F.forall(F.split(m, r"\."), lambda p: p.cast("int") <= 255)
     area, length = F.substring(m, 1, 3), F.length(_digits(m))
     out = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
     ssn_ok = fits(r"[0-9]{3}-[0-9]{2}-[0-9]{4}") & ~area.isin("000", "666") & (area < "900") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
-    slashed = let(day, lambda d: F.when(_date(other, "dd/MM/yyyy").isNotNull(), _moved_date(d, "dd/MM/yyyy", key)).otherwise(_moved_date(d, "MM/dd/yyyy", key)))
+    slashed = let(day, lambda d: F.when(_date(other, "dd/MM/yyyy").isNotNull(), _moved_date(d, "dd/MM/yyyy", key)).otherwise(_moved_date(d, "MM/dd/yyyy", key, True)))
     dated = F.when(iso, _moved_date(day, "yyyy-MM-dd", key)).otherwise(F.when(m.contains("."), F.regexp_replace(slashed, "/", ".")).otherwise(slashed))
     return (
         F.when(m.contains("@"), out("email", _email(m, key)))
@@ -213,7 +240,7 @@ def _handled(m: Column, key: str) -> Column:
     )
 
 
-def pseudonyms(text: Column, key: str = KEY) -> Column:
+def pseudonyms(text: Column, key: str) -> Column:
     """(text, kinds): the whole text with all valid mentions replaced, and the kinds of those in order."""
 
     def replaced(mentions: Column) -> Column:
@@ -232,17 +259,19 @@ def pseudonyms(text: Column, key: str = KEY) -> Column:
     return F.when(reduce(or_, named, text.rlike("[0-9@]")), found).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds")))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its text replaced by the one that carries pseudonyms; other columns stay.
 
-    Null and empty texts stay as they are; repeated rows get the same text; an empty table gives no rows. Nothing is
-    shuffled: a row's result needs the row and the key alone.
+    Null and empty texts stay as they are; repeated rows get the same text; an empty table gives no rows; the other columns
+    stay whatever their names. Nothing is shuffled: a row's result needs the row and the key alone, and whole texts are
+    handled, however long. The key has no default: who has it can undo the pseudonyms.
     """
     return docs.withColumn("text", pseudonyms(F.col("text"), key)["text"])
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """(doc_id, text, n_mentions, kinds): the new text, how many mentions were replaced, and their distinct kinds."""
+def report(docs: DataFrame, key: str) -> DataFrame:
+    """(doc_id, text, n_mentions, kinds): the new text, how many mentions were replaced, and their distinct kinds,
+    for every row of ``docs`` (doc_id, text). Edge cases are those of ``pseudonymised``; a null text has no mentions."""
     done = free_name(docs, "done")
     rows = docs.select("doc_id", "text").withColumn(done, F.explode(F.array(pseudonyms(F.col("text"), key))))
     kinds = F.coalesce(F.col(done)["kinds"], F.array().cast("array<string>"))

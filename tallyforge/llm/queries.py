@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, embed_dedup, langid, licenses, mixing, omh, pii, simhash, urlfilter
 
+#: For the given invented tables only; set ``KEY_SETTING`` in the session to a key of your own for any others.
+TABLES_KEY, KEY_SETTING = "tallyforge-invented-tables", "spark.tallyforge.pii.key"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -15,6 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TABLES_KEY)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,7 +43,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(_read(spark, sf_dir, "documents"))
+    return pii.report(_read(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,7 @@ def test_omh_order_and_edges(spark):
 def test_pii_keeps_formats_and_links(spark):
     text = 'Mail jo.12@mail3.example.com, +1 (415) 555-2671, 4539 1488 0343 6467, 10.0.0.255, token = "908038b7daaf91e730d2f64001c52934d43d9336", 123-45-6789, DE89 3704 0044 0532 0130 00, 2024-02-29.'
     rows = spark.createDataFrame([(1, text), (2, "again jo.12@mail3.example.com"), (3, None), (4, ""), (5, "4111111111111112 and 999.1.1.1, 2024-02-30, 000-12-3456, Version 2.0")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.report(rows).collect()}
+    got = {r["doc_id"]: r for r in pii.report(rows, "k").collect()}
     new = got[1]["text"]
     masked = lambda t: re.sub("[a-z]", "a", re.sub(r"[0-9]+", "9", t))
     assert len(masked(new).split(" ")) == len(masked(text).split(" ")) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
@@ -114,6 +114,115 @@ def test_feistel_is_a_permutation(spark):
 
 def test_pii_leaves_clean_documents(spark):
     docs = spark.read.parquet(DATA)
-    both = docs.join(pii.report(docs).select("doc_id", F.col("text").alias("new"), "n_mentions"), "doc_id")
+    both = docs.join(pii.report(docs, "k").select("doc_id", F.col("text").alias("new"), "n_mentions"), "doc_id")
     assert both.filter("n_mentions = 0 and text <> new").count() == 0
-    assert pii.pseudonymised(docs).columns == docs.columns
+    assert pii.pseudonymised(docs, "k").columns == docs.columns
+
+
+def test_pii_is_injective_by_kind(spark):
+    import datetime
+
+    days = [datetime.date(2019, 1, 1) + datetime.timedelta(i) for i in range(1500)]
+    kinds = {
+        "iso": [f"{d:%Y-%m-%d}" for d in days],
+        "slashed": [*{*(f"{d:%d/%m/%Y}" for d in days), *(f"{d:%m/%d/%Y}" for d in days)}],
+        "ip": [f"10.{i % 7}.{i % 251}.{i % 13}" for i in range(3000)],
+        "zeros": [f"010.{i % 250}.1.{i // 250}" for i in range(1000)],
+        "ssn": [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 665, 667, 899) for g in (1, 99) for s in range(1, 200)],
+        "phone": [f"+49 30 {i:07d}" for i in range(2000)],
+        "mail": [f"{n}{i}@mail.example.com" for i in range(300) for n in ("иван.петров", "jo", "ö", "Ζωή", "李", "ꙮ")],
+    }
+    rows = [(k, v) for k, vs in kinds.items() for v in sorted(set(vs))]
+    got = spark.createDataFrame(rows, "kind string, v string").select("kind", "v", pii.pseudonyms(F.concat(F.lit("x "), "v", F.lit(" y")), "k").alias("p")).select("kind", "v", "p.text", F.size("p.kinds").alias("n")).toPandas()
+    assert (got.n == 1).all() and got.text.str.startswith("x ").all()
+    assert got.groupby("kind").text.nunique().to_dict() == {k: len(set(v)) for k, v in kinds.items()}
+    for k, v, t in zip(got.kind, got.v, got.text, strict=True):
+        new = t[2:-2]
+        if k == "mail":  # no run of three letters of the name stays in its place, in whatever script
+            assert not any(a == b for a, b in zip(re.findall(r"[^\W\d_]{3,}", v.split("@")[0]), re.findall(r"[^\W\d_]{3,}", new.split("@")[0]), strict=False)), (v, new)
+        elif k == "iso":
+            datetime.date.fromisoformat(new)
+        elif k == "slashed":
+            d, m, _ = map(int, new.split("/"))
+            assert min(d, m) <= 12 and max(d, m) <= 31
+        elif k in ("ip", "zeros"):
+            assert all(int(x) <= 255 for x in new.split("."))
+    # the same by another key is another text, by the same key the same
+    one = spark.createDataFrame([("2024-02-29 and 10.0.0.1",)], "v string").select(*(pii.pseudonyms(F.col("v"), k)["text"].alias(str(i)) for i, k in enumerate("aab"))).first()
+    assert one[0] == one[1] != one[2]
+
+
+def test_pii_feistel_by_hand(spark):
+    def draw(key, *what):
+        return int(hashlib.sha256("|".join([key, *map(str, what)]).encode()).hexdigest()[:13], 16)
+
+    def by_hand(digits, key, tweak):
+        half = len(digits) // 2
+        a, b = list(map(int, digits[:half])), list(map(int, digits[half:]))
+        move = lambda side, other, i: [(v + draw(key, tweak, i, at, "".join(map(str, other))) % 10) % 10 for at, v in enumerate(side)]
+        for i in range(pii.ROUNDS):
+            a, b = (move(a, b, i), b) if i % 2 == 0 else (a, move(b, a, i))
+        return "".join(map(str, a + b))
+
+    values = [str(10**n + 37 * n) for n in range(2, 16)]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.permuted(F.col("v"), "k", "t").alias("p")).collect()
+    assert all(r["p"] == by_hand(r["v"], "k", "t") for r in got)
+
+
+def test_pii_edges(spark):
+    long = "call +49 30 1234567 or jo@x.example.com. " * 3000
+    docs = spark.createDataFrame([(1, long, 1), (1, long, 1), (2, "same 10.0.0.1, 10.0.0.1", 2)], "doc_id long, text string, Done int")
+    got = pii.report(docs, "k").collect()
+    assert [r["n_mentions"] for r in got] == [6000, 6000, 2] and got[0]["text"] == got[1]["text"]
+    a, b = re.findall(r"[0-9.]+[0-9]", got[2]["text"])
+    assert a == b and pii.pseudonymised(docs, "k").columns == docs.columns
+    assert pii.report(docs.limit(0), "k").count() == 0
+
+
+def omh_by_hand(text):
+    import xxhash  # Spark's xxhash64 of strings and longs, seed 42, chained over columns
+
+    def h64(values):
+        seed = 42
+        for v in values:
+            if v is not None:
+                data = v.encode() if isinstance(v, str) else (v % (1 << 64)).to_bytes(8, "little")
+                seed = xxhash.xxh64_intdigest(data, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    units = re.findall(omh.UNIT, text)
+    if not units:
+        return [None] * omh.BUCKETS
+    words = [h64([u]) for u in units]
+    seen, numbered = {}, []
+    for i in range(max(1, len(words) - omh.K + 1)):
+        k = h64(words[i : i + omh.K])
+        n = seen[k] = seen.get(k, -1) + 1
+        seed = xxhash.xxh64_intdigest((k % (1 << 64)).to_bytes(8, "little"), 42)
+        h = xxhash.xxh64_intdigest(n.to_bytes(4, "little"), seed)  # a position is an int
+        numbered.append((h - (1 << 64) if h >> 63 else h, i))
+    out = []
+    for b in range(omh.BUCKETS):
+        least = sorted(x for x in numbered if (x[0] % (1 << 64)) >> (64 - omh.BUCKET_BITS) == b)[: omh.L]
+        out.append((h64([h for h, _ in sorted(least, key=lambda x: x[1])]) % (1 << 64)) >> 32 if least else None)
+    return out
+
+
+def test_omh_signatures_by_hand(spark):
+    texts = ["a b c d e f g a b c d a b c", "one", "", "日本語の文章には空白がありませんので一文字ずつ見ます。" * 3, "w " * 500, "x" * 100 + " tail of words"]
+    texts += [r["text"] for r in spark.read.parquet(DATA).limit(40).collect() if len(r["text"]) < 5000]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", omh.signatures(F.col("t")).alias("s")).collect()
+    for r in got:
+        assert r["s"] == omh_by_hand(r["t"]), r["t"][:60]
+
+
+def test_omh_prints_what_it_compares(spark):
+    got = omh.fingerprinted(spark.read.parquet(DATA)).toPandas()
+    cut = lambda f: [f[i : i + 8] for i in range(0, len(f), 8)]
+    for r in got.itertuples():
+        pairs = [(a, b) for a, b in zip(cut(r.fingerprint), cut(r.edited_fingerprint), strict=True) if {a, b} != {"--------"}]
+        assert r.near_edited == (sum(a == b for a, b in pairs) / len(pairs) if pairs else 1.0)
+    signs = "".join(chr(0x4E00 + i * 7) for i in range(600))
+    pair = omh.fingerprinted(spark.createDataFrame([("b", signs), ("a", signs[::-1]), (None, "x")], "doc_id string, text string")).collect()
+    by = {r["doc_id"]: r for r in pair}
+    assert 0.03 < by["b"]["near_edited"] < 1 and len(pair) == 3
