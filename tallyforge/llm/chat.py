@@ -9,56 +9,92 @@ serialised as canonical JSON: keys sorted, no white space, numbers and strings i
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Tools by name: each parameter's type (string, integer, number, boolean, object, array) and whether it is required.
-TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
-    "search": {"query": ("string", True), "limit": ("integer", False)},
-    "calculator": {"expression": ("string", True)},
-    "weather": {"city": ("string", True), "unit": ("string", False)},
-    "fetch": {"url": ("string", True), "headers": ("object", False)},
+#: Tools by name: the JSON schema of their arguments. Known are type, enum, properties, required, additionalProperties
+#: (false) and items, at any depth.
+TOOLS: dict[str, dict] = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"], "additionalProperties": False},
+    "calculator": {"properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+    "weather": {"properties": {"city": {"type": "string"}, "unit": {"type": "string"}}, "required": ["city"], "additionalProperties": False},
+    "fetch": {"properties": {"url": {"type": "string"}, "headers": {"type": "object"}}, "required": ["url"], "additionalProperties": False},
 }
 #: Turns of a conversation are numbered in runs of this many.
 RUN = 1024
 _CALLS = "array<struct<id:string,name:string,arguments:string>>"
 
 
-def canonical(json: Column) -> Column:
+def canonical(text: Column) -> Column:
     """Canonical JSON of a JSON text: keys sorted at every depth; null where it is not JSON."""
-    return F.to_json(F.try_parse_json(json))
-
-
-def argument_status(name: Column, arguments: Column, tools: dict[str, dict[str, tuple[str, bool]]] = TOOLS) -> Column:
-    """ok, unknown_tool, invalid_json, or the first problem in the order of the parameters' names: missing:p, type:p, unexpected:p."""
-    parsed = F.try_parse_json(arguments)
-    keys = F.json_object_keys(arguments)
+    return F.to_json(F.try_parse_json(text))
+
+
+def _is(kind: Column, wanted: str) -> Column:
+    """Whether a variant's schema is of a JSON type."""
+    return {
+        "string": lambda: kind == "STRING",
+        "integer": lambda: kind == "BIGINT",
+        "number": lambda: (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL"),
+        "boolean": lambda: kind == "BOOLEAN",
+        "null": lambda: kind == "VOID",
+        "object": lambda: kind.startswith("OBJECT"),
+        "array": lambda: kind.startswith("ARRAY"),
+    }[wanted]()
+
+
+def _problem(value: Column, schema: dict, path: str) -> Column:
+    """The first problem of a variant under a JSON schema, or null: its own type and value, then its parts."""
+    kind, problems = F.schema_of_variant(value), []
+    if "type" in schema:
+        kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        fits = reduce(or_, (_is(kind, k) for k in kinds))
+        problems.append(F.when(~F.coalesce(fits, F.lit(False)), f"type:{path}"))
+    if "enum" in schema:
+        allowed = [json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for v in schema["enum"]]
+        problems.append(F.when(~F.coalesce(F.to_json(value).isin(allowed), F.lit(False)), f"enum:{path}"))
+    if "properties" in schema or "required" in schema or schema.get("additionalProperties") is False:
+        problems += _parts(value, F.json_object_keys(F.to_json(value)), schema, path)
+    if "items" in schema:
+        each = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: _problem(v, schema["items"], f"{path}[]"))
+        problems.append(F.get(F.array_compact(each), F.lit(0)))
+    return F.coalesce(*problems, F.lit(None).cast("string"))
+
+
+def _parts(value: Column, keys: Column, schema: dict, path: str) -> list[Column]:
+    """The problems of an object's members, in the order of their names, and of members that the schema doesn't name."""
+    known, below, problems = schema.get("properties", {}), f"{path}." if path else "", []
+    for p in sorted({*known, *schema.get("required", ())}):
+        there = F.array_contains(keys, p)
+        if p in schema.get("required", ()):
+            problems.append(F.when(~there, f"missing:{below}{p}"))
+        if p in known:
+            quoted = p.replace("\\", "\\\\").replace("'", "\\'")
+            problems.append(F.when(there, _problem(F.try_variant_get(value, f"$['{quoted}']", "variant"), known[p], f"{below}{p}")))
+    if schema.get("additionalProperties") is False:
+        extra = F.array_min(F.array_except(keys, F.array(*map(F.lit, sorted(known))) if known else F.array().cast("array<string>")))
+        problems.append(F.when(extra.isNotNull(), F.concat(F.lit(f"unexpected:{below}"), extra)))
+    return problems
+
+
+def argument_status(name: Column, arguments: Column, tools: dict[str, dict] = TOOLS) -> Column:
+    """ok, unknown_tool, invalid_json, or the first problem under the tool's JSON schema, by the names of its parameters:
+    missing:p, type:p, enum:p, then unexpected:p; p is the path of what is wrong, with [] for the items of an array."""
+    parsed, keys = F.try_parse_json(arguments), F.json_object_keys(arguments)
     status = F.lit("unknown_tool")
-    for tool, params in sorted(tools.items()):
-        problems = []
-        for p, (kind, required) in sorted(params.items()):
-            found = F.schema_of_variant(F.try_variant_get(parsed, f"$.{p}", "variant"))
-            fits = {
-                "string": found == "STRING",
-                "integer": found == "BIGINT",
-                "number": (found == "BIGINT") | (found == "DOUBLE") | found.startswith("DECIMAL"),
-                "boolean": found == "BOOLEAN",
-                "object": found.startswith("OBJECT"),
-                "array": found.startswith("ARRAY"),
-            }[kind]
-            there = F.array_contains(keys, p)
-            if required:
-                problems.append(F.when(~there, f"missing:{p}"))
-            problems.append(F.when(there & ~F.coalesce(fits, F.lit(False)), f"type:{p}"))
-        extra = F.array_min(F.array_except(keys, F.array(*map(F.lit, sorted(params))) if params else F.array().cast("array<string>")))
-        problems.append(F.when(extra.isNotNull(), F.concat(F.lit("unexpected:"), extra)))
-        status = F.when(name == tool, F.coalesce(*problems, F.lit("ok"))).otherwise(status)
+    for tool, schema in sorted(tools.items()):
+        own = {k: v for k, v in schema.items() if k not in ("type", "enum", "items")}
+        status = F.when(name == tool, F.coalesce(*_parts(parsed, keys, own, ""), F.lit("ok"))).otherwise(status)
     return F.when(parsed.isNull() | keys.isNull(), "invalid_json").otherwise(status)
 
 
-def formatted(turns: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] = TOOLS) -> DataFrame:
+def formatted(turns: DataFrame, tools: dict[str, dict] = TOOLS) -> DataFrame:
     """(conv_id, turn, role, position, n_calls, call_status, link, message) for every row of ``turns`` (conv_id, turn,
     role, text).
 
@@ -66,7 +102,7 @@ def formatted(turns: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] =
     either may stand first). call_status joins the statuses of a message's calls; an identifier's later calls are
     ``duplicate``. link of a tool's result is linked, duplicate (the identifier was answered before) or orphan. Texts
     that are not JSON objects are content as they are; null texts are null content; an empty table gives no rows; other
-    columns are not looked at. Nothing of a conversation is gathered: every row is one message, and positions are summed
+    columns are not looked at. Very long texts are one value of one row. Nothing of a conversation is gathered: every row is one message, and positions are summed
     over runs of turns.
     """
     text = F.when(F.col("text").rlike(r'^\s*\{'), F.col("text"))
