@@ -1,8 +1,8 @@
 """Operator 9: language ID by a byte convolutional network.
 
 Bytes are embedded, filters of several widths run over a fixed-length window, each keeps its maximum, and a softmax over
-those names the language. The network is trained in numpy on a bounded sample of labelled texts (``SAMPLE`` excerpts of
-``EXCERPT`` characters at most), and applied to all windows of whole texts in batches; a text's probabilities are the means
+those names the language. The network is trained in numpy on a bounded sample of labelled texts (``SAMPLE`` of
+them, ``EXCERPTS`` excerpts of each), and applied to all windows of whole texts in batches; a text's probabilities are the means
 over its windows, weighted by their bytes.
 """
 
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 WINDOW, BATCH = 128, 256
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 16, 8
-#: The bound of the training sample: so many excerpts, of so many characters each.
-SAMPLE, EXCERPT = 6000, 512
+#: The bound of the training sample: so many texts, of each at most so many excerpts of WINDOW characters, spread evenly
+#: over the whole text.
+SAMPLE, EXCERPTS = 6000, 4
 STEPS, RATE, SEED = 700, 0.01, 11
 #: Below this score the pipeline rejects a document: near what chance gives, since very short clean texts score low too.
 MIN_SCORE = 0.3
@@ -93,10 +94,6 @@ class Network:
                 v[k] += 0.001 * (grads[k] ** 2 - v[k])
                 a -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
-    def tables(self) -> dict[int, list[np.ndarray]]:
-        """For each width what each byte at each place of a filter adds to all filters."""
-        return {w: [self.p["e"] @ self.p[f"w{w}"][j * DEPTH : (j + 1) * DEPTH] for j in range(w)] for w in WIDTHS}
-
 
 def windows_of(data: bytes) -> np.ndarray:
     """All windows of a text, the last one filled up with 256."""
@@ -120,14 +117,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """
     known = docs.filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     draw = F.xxhash64(F.lit(SEED), "doc_id", "text")
-    start = F.pmod(draw, F.greatest(F.lit(1).cast("long"), F.length("text") - EXCERPT + 1)) + 1
+    room = F.greatest(F.lit(0), F.length("text") - WINDOW)
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(EXCERPTS - 1)), lambda j: F.floor(j * room / (EXCERPTS - 1)).cast("int") + 1))
+    excerpts = F.transform(starts, lambda s: F.substr("text", s, F.lit(WINDOW)))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     each = max(1, sample // len(sizes))
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, (1.2 * each + 100) / n)) for k, n in sizes.items()], "of string, share double")
     uniform = F.shiftrightunsigned("draw", 11).cast("double") / F.lit(float(1 << 53))
-    rows = known.select("lang", F.substr("text", start.cast("int"), F.lit(EXCERPT)).alias("text"), draw.alias("draw"))
+    rows = known.select("lang", excerpts.alias("text"), draw.alias("draw"))
     rows = rows.join(F.broadcast(shares), F.col("lang") == F.col("of")).filter(uniform < F.col("share"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
     found = rows.withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "text", "draw").collect()
@@ -135,8 +134,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     classes = sorted({r["lang"] for r in found})
     windows, labels = [], []
     for r in found:
-        w = windows_of(r["text"].encode("utf-8", "replace"))
-        w = w if len(w) == 1 else w[:-1]
+        w = np.concatenate([windows_of(t.encode("utf-8", "replace")) for t in r["text"]])
         windows.append(w)
         labels += [classes.index(r["lang"])] * len(w)
     net = Network(classes)
@@ -186,7 +184,8 @@ def identified(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything where no document may be learnt
     from; a null doc_id counts as held out; repeated rows get the same answer; an empty table gives no rows; other
-    columns are not looked at. The trained network (under 100 KB) goes to the executors with the task.
+    columns are not looked at. Of equal best scores the language first in code points is named; all windows of a text
+    count, however long it is. The trained network (under 100 KB) goes to the executors with the task.
     """
     net = net or fit(docs)
 
