@@ -27,3 +27,24 @@ def test_stages(spark, tmp_path):
 def test_every_operator_has_its_query():
     assert {q.split("_")[0] for q in queries.queries()} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_stages_on_edge_tables(spark):
+    """Each stage by itself: no rows, nulls everywhere, repeats, and columns whose names operators might use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Nth long, taken string, Size int"
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "en", "a", 9, 1, "t", 1), (1, words, "en", "a", 9, 1, "t", 1), (2, None, None, None, None, None, None, None), (None, "", "en", "b", 0, 1, "t", 1), (3, "mail jo@x.example.com " * 2000, "en", None, 1, 1, "t", 1)]
+    for name, function in corpus_pipeline.STAGES:
+        for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+            out = function(spark, table, DATA)
+            found = out.collect()
+            if name != "tokens":
+                assert out.columns == table.columns, name
+            if table.isEmpty():
+                assert not found, name
+            elif name == "tokens":
+                assert sorted(str(r["doc_id"]) for r in found) == ["1", "1", "2", "3", "None"] and all(len(r["ids"]) == r["n_tokens"] for r in found)
+            elif name == "near_dedup":
+                assert sorted(str(r["doc_id"]) for r in found) == ["1", "2", "3"]
+            elif name == "personal_data":
+                assert len(found) == 5 and not any("jo@x" in (r["text"] or "") for r in found)
