@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning for lexical search.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "what", "which", "with")
+#: Words that carry no meaning for lexical search.
+STOPWORDS = tuple(
+    "a an and are as at be by for from has have in is it its of on or that the this to was were what which with how why "
+    "when did does do there their been any".split()
+)
 TOKEN = r"[a-z0-9]+(?:[./-][a-z0-9]+)*"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -61,10 +64,15 @@ def alphanumeric(c: Column) -> Column:
 def search_tokens(c: Column) -> Column:
     """Tokens of lexical search: compounds as they are and in parts, without stopwords."""
     found = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
-    parts = F.flatten(F.transform(found, lambda t: F.when(t.rlike(r"[./-]"), F.concat(F.array(t), F.split(t, r"[./-]"))).otherwise(F.array(t))))
+    # most texts have no compound: their tokens are not looked at one by one
+    parts = F.when(~F.lower(c).rlike(r"[a-z0-9][./-][a-z0-9]"), found).otherwise(_with_parts(found))
     return F.filter(parts, lambda t: ~t.isin(*STOPWORDS))
 
 
+def _with_parts(found: Column) -> Column:
+    return F.flatten(F.transform(found, lambda t: F.when(t.rlike(r"[./-]"), F.concat(F.array(t), F.split(t, r"[./-]"))).otherwise(F.array(t))))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Share of two token arrays' distinct tokens that both have; null if neither has any."""
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))

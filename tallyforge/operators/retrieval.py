@@ -55,11 +55,17 @@ def fused(lists: list[DataFrame], query_key: str, key: str, k: int) -> DataFrame
     return ranked(rows.groupBy(query_key, key).agg(F.sum(1 / (F.col("rank") + RRF)).alias("score")), query_key, key, k)
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, scope: str, k: int) -> DataFrame:
-    """Exact k nearest by cosine inside a scope, of which the query itself is no member. Queries are few and stand
-    against all vectors of their scope; Spark limits each query's group before the shuffle."""
-    pairs = vectors.join(few(queries), scope).filter(F.col(key) != F.col(query_key))
-    scored = pairs.select(query_key, key, cosine(F.col(vector), F.col(query_vector)).alias("score"))
+def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, places: int = 9) -> DataFrame:
+    """Exact k nearest by cosine among all vectors but the query's own. Queries stand against all vectors, in blocks of
+    at most ``FEW`` that are shuffled where there is more than one; Spark limits each query's group before the shuffle."""
+    blocks = -(-queries.count() // FEW)
+    if blocks <= 1:
+        pairs = vectors.crossJoin(F.broadcast(queries))
+    else:
+        dealt = queries.withColumn("__block", F.pmod(F.xxhash64(query_key), F.lit(blocks)).cast("int"))
+        pairs = vectors.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "__block").drop("__block")
+    pairs = pairs.filter(F.col(key) != F.col(query_key))
+    scored = pairs.select(query_key, *(c for c in vectors.columns if c != vector), F.round(cosine(F.col(vector), F.col(query_vector)), places).alias("score"))
     return ranked(scored, query_key, key, k)
 
 

@@ -66,13 +66,18 @@ def next_event(spark: SparkSession, d: str) -> DataFrame:
     return joins.next_match(o, e, ["o_custkey"], "o_orderdate", "ts", "next_at").select("o_orderkey", "o_custkey", "next_at")
 
 
+_LINK_SQL = "CAST({0}_nationkey * 1000 + floor({0}_acctbal / 500) AS BIGINT)"
+
+
 @query(
     "unique_link",
-    "WITH r AS (SELECT c_nationkey % 40 AS k, min(c_custkey) AS t, count(*) AS n FROM customer WHERE c_custkey % 97 = 0 GROUP BY 1) SELECT s_suppkey, CASE WHEN n IS NULL THEN 'NO_MATCH' WHEN n = 1 THEN 'LINKED' ELSE 'AMBIGUOUS' END AS link_status, CASE WHEN n = 1 THEN t END AS c_custkey FROM supplier LEFT JOIN r ON k = s_nationkey",
+    f"WITH r AS (SELECT {_LINK_SQL.format('c')} AS k, min(c_custkey) AS t, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_suppkey, {_LINK_SQL.format('s')} AS k FROM supplier) SELECT s_suppkey, CASE WHEN n IS NULL THEN 'NO_MATCH' WHEN n = 1 THEN 'LINKED' ELSE 'AMBIGUOUS' END AS link_status, CASE WHEN n = 1 THEN t END AS c_custkey FROM s LEFT JOIN r USING (k)",
 )
 def unique_link(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"))
-    c = table(spark, d, "customer").filter("c_custkey % 97 = 0").select((F.col("c_nationkey") % 40).alias("k"), "c_custkey")
+    """Suppliers linked to the only customer of their nation and balance band."""
+    key = lambda x: (F.col(f"{x}_nationkey") * 1000 + F.floor(F.col(f"{x}_acctbal") / 500)).cast("long").alias("k")
+    s = table(spark, d, "supplier").select("s_suppkey", key("s"))
+    c = table(spark, d, "customer").select(key("c"), "c_custkey")
     return joins.unique_link(s, c, "k", "c_custkey").drop("k")
 
 

@@ -11,7 +11,7 @@ from tallyforge.operators import retrieval as r
 from tallyforge.plans.scalars import TOKENS
 
 _TOK = TOKENS.replace("lower(text)", "lower(body)")
-_BM25 = f"""docs AS (SELECT doc_id, text AS body FROM documents WHERE lang = 'en'), t AS (SELECT doc_id, {_TOK} AS w FROM docs), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+_BM25 = f"""docs AS (SELECT doc_id, text AS body FROM documents), t AS (SELECT doc_id, {_TOK} AS w FROM docs), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
 p AS (SELECT doc_id, term, len_, count(*) AS tf FROM (SELECT doc_id, len(w) AS len_, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 q AS (SELECT item_id, unnest(list_distinct({_TOK})) AS term FROM (SELECT item_id, text AS body FROM benchmark)),
 bm AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len_ / avgdl))), 9) AS score FROM q JOIN p USING (term) JOIN df USING (term), s GROUP BY item_id, doc_id),
@@ -19,7 +19,7 @@ lex AS (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PAR
 
 
 def _lexical(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    docs = table(spark, d, "documents").filter("lang = 'en'")
+    docs = table(spark, d, "documents")
     return r.bm25(docs, "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", k)
 
 
@@ -28,15 +28,14 @@ def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
     return _lexical(spark, d).withColumn("score", F.round("score", 6))
 
 
-_NEAR = "near AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS vlabel, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score FROM embeddings v JOIN embeddings q ON v.vec_id % 2 = q.vec_id % 2 AND v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 10)"
+_NEAR = "near AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS vlabel, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 10)"
 
 
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").withColumn("scope", F.col("vec_id") % 2)
-    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "scope")
-    pairs = v.join(r.few(q), "scope").filter("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.col("label").alias("vlabel"), F.round(r.cosine(F.col("embedding"), F.col("query_vector")), 6).alias("score"))
-    return r.ranked(scored, "query_id", "vec_id", 10)
+    """Every 20th vector against all vectors."""
+    v = table(spark, d, "embeddings")
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return r.nearest(v.select("vec_id", "embedding", F.col("label").alias("vlabel")), "vec_id", "embedding", q, "query_id", "query_vector", 10, 6)
 
 
 @query("dense_top_k", f"WITH {_NEAR} SELECT query_id, vec_id, score, rank FROM top")

@@ -125,13 +125,13 @@ def timeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "rating_history_range",
-    f"""WITH {REPORTS}, l AS (SELECT entity, seq, rating, lag(rating) OVER (PARTITION BY entity ORDER BY seq) AS previous, seq - lag(seq) OVER (PARTITION BY entity ORDER BY seq) AS step FROM reports WHERE record_id % 7 <> 0)
+    f"""WITH {REPORTS}, l AS (SELECT entity, seq, rating, lag(rating) OVER (PARTITION BY entity ORDER BY seq) AS previous, seq - lag(seq) OVER (PARTITION BY entity ORDER BY seq) AS step FROM reports)
 SELECT entity, seq, rating, previous, CASE WHEN previous IS NULL THEN 'NOT_COMPARABLE' WHEN rating > previous THEN 'UPGRADE' WHEN rating < previous THEN 'DOWNGRADE' ELSE 'UNCHANGED' END AS change, coalesce(step > 1, false) AS after_gap
 FROM l WHERE seq BETWEEN 3 AND 8""",
 )
 def rating_history_range(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("entity").orderBy("seq")
-    rows = reports(spark, d).filter("record_id % 7 <> 0").select("entity", "seq", "rating", F.lag("rating").over(w).alias("previous"), (F.col("seq") - F.lag("seq").over(w)).alias("step"))
+    rows = reports(spark, d).select("entity", "seq", "rating", F.lag("rating").over(w).alias("previous"), (F.col("seq") - F.lag("seq").over(w)).alias("step"))
     r, p = F.col("rating"), F.col("previous")
     change = F.when(p.isNull(), "NOT_COMPARABLE").when(r > p, "UPGRADE").when(r < p, "DOWNGRADE").otherwise("UNCHANGED")
     return rows.filter("seq between 3 and 8").select("entity", "seq", "rating", "previous", change.alias("change"), F.coalesce(F.col("step") > 1, F.lit(False)).alias("after_gap"))
