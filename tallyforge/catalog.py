@@ -46,4 +46,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     _load()
-    return _plans["entity_signals"](spark, sf_dir)
+    return _plans["attention_signals"](spark, sf_dir)

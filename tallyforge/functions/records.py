@@ -14,7 +14,7 @@ LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ"
 INVISIBLE = "​‌‍⁠﻿­"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 

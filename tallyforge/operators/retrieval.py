@@ -18,6 +18,12 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files split into fewer tasks than there are; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(corpus: DataFrame, key: str, text: str, scope: list[str] | None = None) -> DataFrame:
     """(scope, key, term, tf, length): one row for each term of a document. Filters belong before it: df and average
     length are those of the corpus that is given."""
@@ -28,6 +34,7 @@ def postings(corpus: DataFrame, key: str, text: str, scope: list[str] | None = N
 
 def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int) -> DataFrame:
     """(query, key, score, rank): the k best documents of each query, ties by key; only scores over zero."""
+    corpus = spread(corpus.select(key, text))
     post = postings(corpus, key, text)
     sizes = corpus.select(F.size(search_tokens(F.col(text))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
     terms = queries.select(query_key, F.explode(F.array_distinct(search_tokens(F.col(query_text)))).alias("term"))

@@ -1,3 +1,3 @@
 """Modules that register queries when imported."""
 
-from tallyforge.plans import aggregates, extraction, governance, joins, quality, reports, retrieval, scalars, series, signals, streams, texts  # noqa: F401
+from tallyforge.plans import aggregates, evaluation, extraction, gold, governance, joins, quality, reports, retrieval, scalars, scope, series, silver, streams, texts  # noqa: F401
