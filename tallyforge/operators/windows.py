@@ -48,7 +48,19 @@ def changes(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame
 
 
 def interleaved(df: DataFrame, call: str, order: list[Column], size: str, budget: int) -> DataFrame:
-    """Round-robin over calls: first rows of all calls, then second ones, until ``size`` sums to the budget."""
+    """Round-robin over calls: first rows of all calls, then second ones, until ``size`` sums to the budget.
+
+    Rounds are summed first; only those inside the budget, and of the one that crosses it as many rows as could fit, are
+    numbered. So what is sorted follows the budget, not the table (rows of no size aside).
+    """
     rows = numbered(df, [call], order, "round")
-    total = F.sum(size).over(Window.orderBy("round", call).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("used", total).filter(F.col("used") <= budget)
+    rounds = rows.groupBy("round").agg(F.sum(size).alias("__s"))
+    upto = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each round
+    rounds = rounds.withColumn("__upto", F.sum("__s").over(upto)).filter(F.col("__upto") - F.col("__s") <= budget)
+    near = rows.join(rounds, "round")
+    empty = near.filter((F.col("__upto") > budget) & (F.col(size) <= 0)).count()
+    last = near.filter(F.col("__upto") > budget).orderBy("round", call).limit(budget + 1 + empty)
+    held = near.filter(F.col("__upto") <= budget).unionByName(last)
+    inside = Window.partitionBy("round").orderBy(call).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("used", F.sum(size).over(inside) + F.col("__upto") - F.col("__s"))
+    return held.filter(F.col("used") <= budget).drop("__s", "__upto")

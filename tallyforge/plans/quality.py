@@ -92,4 +92,6 @@ def modal_size(spark: SparkSession, d: str) -> DataFrame:
 def unmatched_severity(spark: SparkSession, d: str) -> DataFrame:
     rank = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(1)
     rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.max(rank).alias("severity"), F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("place", F.rank().over(Window.orderBy(F.col("n").desc())).cast("long"))
+    above = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each distinct count
+    places = rows.groupBy("n").agg(F.count(F.lit(1)).alias("k")).select("n", (F.coalesce(F.sum("k").over(above), F.lit(0)) + 1).cast("long").alias("place"))
+    return rows.join(places, "n").select("o_custkey", "severity", "n", "place")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +36,10 @@ def read_csv(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]]
     Only the first rows come to the driver, to find the header; the rest is read by executors. Rows of which all fields
     are blank go. A byte order mark is dropped.
     """
-    raw = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)
+    # a banner of fewer cells must not decide how many columns there are
+    lines = [r[0] for r in spark.read.text(path).limit(HEAD).collect()]
+    width = max((len(r) for r in csv.reader(io.StringIO("\n".join(lines)))), default=1)
+    raw = spark.read.schema(", ".join(f"_c{i} string" for i in range(max(1, width)))).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
     head = [[(v or "").removeprefix("﻿") for v in r] for r in raw.limit(HEAD).collect()]
     at, fields, rest = resolve_header(head, aliases, required)
     drop = {tuple(r) for r in head[: at + 1]}
