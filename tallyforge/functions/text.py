@@ -10,6 +10,11 @@ STOPWORDS = tuple(
     "a an and are as at be by for from has have in is it its of on or that the this to was were what which with how why "
     "when did does do there their been any".split()
 )
+#: Words that the hashed embedding leaves out.
+EMBEDDING_STOPWORDS = tuple(
+    "the a an of in on to for by with and or is are was were be been has have had do does did what which how why when who "
+    "this that these those it its as at from according".split()
+)
 TOKEN = r"[a-z0-9]+(?:[./-][a-z0-9]+)*"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.numbers import cosine
-from tallyforge.functions.text import search_tokens
+from tallyforge.functions.text import EMBEDDING_STOPWORDS, search_tokens
 
 K1, B, RRF = 1.5, 0.75, 60
+#: Dimensions of the hashed embedding.
+DIMS = 1 << 18
 #: A side of at most so many rows is broadcast; beyond it the join shuffles.
 FEW = 20_000
 
@@ -24,26 +26,32 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def postings(corpus: DataFrame, key: str, text: str, scope: list[str] | None = None) -> DataFrame:
-    """(scope, key, term, tf, length): one row for each term of a document. Filters belong before it: df and average
-    length are those of the corpus that is given."""
-    tokens = corpus.select(*(scope or []), key, search_tokens(F.col(text)).alias("tokens"))
-    rows = tokens.select(*(scope or []), key, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return rows.groupBy(*(scope or []), key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+def counted(corpus: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, length, term, tf) in one pass over the texts: a row for each term of ``terms`` in a document, and a row with
+    the empty term for the document's start and all its other tokens together, so that only few rows are shuffled."""
+    tokens = F.coalesce(search_tokens(F.col(text)), F.array().cast("array<string>"))
+    # no token is empty: the first element stands for the document itself
+    each = F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token")
+    rows = corpus.select(key, tokens.alias("tokens")).select(key, F.size("tokens").alias("length"), each)
+    rows = rows.join(terms.select(F.col("term").alias("token"), F.lit(True).alias("wanted")), "token", "left")
+    return rows.groupBy(key, "length", F.when(F.col("wanted"), F.col("token")).otherwise("").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int) -> DataFrame:
     """(query, key, score, rank): the k best documents of each query, ties by key; only scores over zero."""
-    corpus = spread(corpus.select(key, text))
-    post = postings(corpus, key, text)
-    sizes = corpus.select(F.size(search_tokens(F.col(text))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avgdl"))
     terms = queries.select(query_key, F.explode(F.array_distinct(search_tokens(F.col(query_text)))).alias("term"))
-    hits = post.join(few(terms.select("term").distinct()), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = hits.join(df, "term").crossJoin(F.broadcast(sizes))  # one row
+    small = F.broadcast if terms.limit(FEW + 1).count() <= FEW else lambda df: df
+    rows = counted(spread(corpus.select(key, text)), key, text, small(terms.select("term").distinct()))
+    # the empty term has a row in each document, so its df is their number. Nothing is filtered before both uses of
+    # ``rows``: one exchange serves them
+    stats = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    whole = Window.partitionBy()  # a row for each term of the queries
+    n = F.max("df").over(whole)
+    stats = stats.select("term", "df", n.alias("n"), ((F.sum("cf").over(whole) - n) / n).alias("avgdl"))
+    hits = rows.join(small(terms.join(small(stats), "term")), "term")
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    scored = hits.select(key, "term", part.alias("part")).join(few(terms), "term").groupBy(query_key, key).agg(F.sum("part").alias("score"))
+    scored = hits.groupBy(query_key, key).agg(F.sum(part).alias("score"))
     return ranked(scored.filter("score > 0"), query_key, key, k)
 
 
@@ -112,14 +120,20 @@ def quoting(docs: DataFrame, key: str, items: DataFrame, item_key: str, text: st
     return found.unionByName(rest)
 
 
-def hashed_embedding(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
-    """(key, dim, weight): a normalised hashed lexical embedding as sparse rows: words weigh 1, character 3-grams half."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    padded = lambda w: F.concat(F.lit("#"), w, F.lit("#"))
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded(w)) - 2)), lambda i: F.struct(F.substr(padded(w), i, F.lit(3)).alias("t"), F.lit(0.5).alias("x")))
-    features = F.concat(F.transform(words, lambda w: F.struct(w.alias("t"), F.lit(1.0).alias("x"))), F.flatten(F.transform(words, grams)))
+def hashed_embedding(rows: DataFrame, key: str, text: str, dims: int = DIMS) -> DataFrame:
+    """(key, dim, weight): a normalised hashed lexical embedding as sparse rows: words but stop words weigh 1, their
+    character 3- and 4-grams with borders half."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*EMBEDDING_STOPWORDS))
+    feature = lambda prefix, t, x: F.struct(F.concat(F.lit(prefix), t).alias("t"), F.lit(x).alias("x"))
+
+    def grams(w: Column, n: int) -> Column:
+        padded = F.concat(F.lit("#"), w, F.lit("#"))
+        starts = F.filter(F.sequence(F.lit(1), F.length(w)), lambda i: i + n - 1 <= F.length(padded))
+        return F.transform(starts, lambda i: feature(f"c{n}:", F.substr(padded, i, F.lit(n)), 0.5))
+
+    features = F.flatten(F.transform(words, lambda w: F.concat(F.array(feature("w:", w, 1.0)), grams(w, 3), grams(w, 4))))
     flat = rows.select(key, F.explode(features).alias("f"))
-    dim = F.conv(F.substring(F.sha2(F.col("f.t"), 256), 1, 8), 16, 10).cast("long") % dims
+    dim = F.conv(F.substring(F.sha1(F.col("f.t")), 1, 8), 16, 10).cast("long") % dims
     sums = flat.groupBy(key, dim.alias("dim")).agg(F.sum("f.x").alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))
     return sums.select(key, "dim", F.round(F.col("x") / norm, 6).alias("weight"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.catalog import query, table
+from tallyforge.functions.text import EMBEDDING_STOPWORDS
 from tallyforge.operators import chunking
 from tallyforge.operators import retrieval as r
 from tallyforge.plans.scalars import TOKENS
@@ -100,7 +101,16 @@ def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.parents(chunking.chunks(table(spark, d, "documents"), "doc_id", "text", chunking.structured), "doc_id")
 
 
-@query("hashed_embeddings")
+_PLAIN = ", ".join(f"'{w}'" for w in EMBEDDING_STOPWORDS)
+
+
+@query(
+    "hashed_embeddings",
+    f"""WITH w AS (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({_PLAIN}))) AS w FROM benchmark),
+g AS (SELECT item_id, '#' || w || '#' AS w, n, unnest(range(1, len(w) + 4 - n)) AS i FROM w, (VALUES (3), (4)) v(n)),
+f AS (SELECT item_id, 'w:' || w AS t, 1.0::DOUBLE AS x FROM w UNION ALL SELECT item_id, 'c' || n || ':' || substr(w, i, n), 0.5 FROM g),
+s AS (SELECT item_id, CAST('0x' || substr(sha1(t), 1, 8) AS BIGINT) % 262144 AS dim, sum(x) AS x FROM f GROUP BY ALL) SELECT item_id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS weight FROM s""",
+)
 def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return r.hashed_embedding(table(spark, d, "benchmark"), "item_id", "text")
 
