@@ -1,0 +1,99 @@
+"""Needs, modes, admission, processed questions, pinned profiles, and tables in chunks."""
+
+from __future__ import annotations
+
+import dataclasses
+import random
+
+import pytest
+
+from tallyforge.functions import planning as p
+from tallyforge.functions.temporal import parse
+from tallyforge.operators import chunking
+
+P = "P000001"
+
+
+def calls(question, intent, **more):
+    found = p.needs(P, question, intent, parse(question), **more)
+    return [{k: v for k, v in c.arguments.items() if k != "project_id"} for c in found.calls], found
+
+
+def test_needs():
+    assert calls("Ratings of reports 3 to 5", "RATING_HISTORY")[0] == [{"rating_types": ["PDO", "IP", "OVERALL_RISK"], "isr_sequence_from": 3, "isr_sequence_to": 5}]
+    one = calls("Ratings of report 3 and report 9", "RATING_HISTORY", ratings=("IP",))[0]
+    assert one == [{"rating_types": ["IP"], "isr_sequence_from": n, "isr_sequence_to": n} for n in (3, 9)]
+    assert calls("Which restructurings and which extension since 2019?", "TIMELINE_EVENTS")[0] == [{"event_types": ["CLOSING_DATE_CHANGE", "RESTRUCTURING"], "date_from": "2019-01-01"}]
+    found, need = calls("What was cancelled of both loans", "FINANCIAL_STATUS", loans=("B", "A", "B"))
+    assert found == [{"include_events": True, "loan_number": x} for x in "AB"] and need.notes and need.honoured
+    assert calls("PDO indicators of the latest report", "RESULTS_PROGRESS")[0] == [{"indicator_type": "PDO", "isr_sequence": "latest"}]
+    assert calls("Findings at appraisal", "RISKS")[0] == [{"record_type": "ASSESSMENT_FINDING"}]
+    assert not calls("The overview in 2015", "PROJECT_OVERVIEW")[1].honoured
+    assert calls("Why?", "EXPLANATION")[1] == p.Needs("DOCUMENT", search="Why?") and calls("Why?", "CHANGE")[1].route == "INVESTIGATION"
+
+
+def test_calls_are_checked():
+    for tool, arguments in (("drop", {}), ("get_risk_register", {"status": "ALL"}), ("get_risk_register", {"record_type": "X"}), ("get_rating_history", {"isr_sequence_from": True})):
+        with pytest.raises(p.ContractError):
+            p.checked(p.Call(tool, arguments))
+    plans = {"a": [("get_project_overview", {}), ("get_risk_register", {"record_type": "X"})], "b": [("get_project_overview", {})]}
+    found, refused = p.planned(P, ["a", "b", "c"], plans)
+    assert [c.tool for c in found] == ["get_project_overview"] and len(refused) == 1
+
+
+def test_modes():
+    assert p.mode("SEMANTIC_CLASSIFICATION_REQUIRED", "x") == ("CLARIFY", "INTENT_NOT_RESOLVED")
+    assert p.mode("STRUCTURED", "OK", executed=2) == ("EXECUTE_STRUCTURED", "OK")
+    for bad in (("CLARIFY", "BECAUSE"), ("REFUSE", "FORBIDDEN", 1), ("INVESTIGATION", "COMPOSITE")):
+        with pytest.raises(p.ContractError):
+            p.mode(*bad)
+
+
+def test_admission():
+    call = p.Call("get_project_overview", {"project_id": P})
+    plan = {"question": "q", "intent": "CHANGE", "calls": (call,)}
+    assert p.admitted(plan, dict(plan), 3, {P}) == ("PASS", None)
+    assert p.admitted(plan | {"intent": "RISKS"}, plan, 3, {P}) == ("FAIL", "INTENT_MISMATCH")
+    assert p.admitted(plan, plan, 3, {"P2"}) == ("FAIL", "AUTHORIZATION_MISMATCH")
+    twice = plan | {"calls": (call, call)}
+    assert p.admitted(twice, twice, 3, {P}) == ("FAIL", "REPEATED_CALL") and p.admitted(twice, twice, 1, {P}) == ("FAIL", "CALLS_OUT_OF_BOUNDS")
+    assert p.admitted({}, plan, 3, {P})[0] == "FAIL"
+
+
+def test_processed_questions():
+    found = p.processed(" What does  the ICR of P000001 say on ISR no. 7 and ISR 3?", P, {"ICR": "completion report", "SAY": "x"}, {"ICR": ["icr"], "PAD": ["pad"]})
+    assert found.expanded == "What does the ICR of P000001 say on ISR no. 7 and ISR 3? (completion report)"
+    assert (found.sequences, found.hints, found.latest) == ((3, 7), ("ICR",), False) and p.processed("the latest ISR", P, {}, {}).latest
+    with pytest.raises(p.ForeignEntity):
+        p.processed("P000002?", P, {}, {})
+    with pytest.raises(p.ContractError):
+        p.processed("  ", P, {}, {})
+
+
+def test_pinned_profile():
+    profile = p.Profile("quality", "1", "structured", 1.5, 0.75, 60, 50, 8, "always", 64)
+    settings = dataclasses.asdict(profile)
+    assert p.pinned(profile, settings) is profile
+    with pytest.raises(p.ContractError, match="quality@1 differs in b, dims"):
+        p.pinned(profile, settings | {"b": 0.7} | {"dims": None})
+    with pytest.raises(p.ContractError, match="final_k"):
+        p.pinned(profile, {k: v for k, v in settings.items() if k != "final_k"})
+
+
+def test_tables_in_chunks():
+    table = ["| Name | Value |", "| --- | --- |"] + [f"| row {i} | {i * i} |" for i in range(40)]
+    groups = chunking.row_groups(table, 200)
+    assert len(groups) > 3 and all(len(g) <= 200 and g.startswith("| Name | Value |\n| --- | --- |\n") for g in groups)
+    assert [r for g in groups for r in g.split("\n")[2:]] == table[2:]
+    assert chunking.row_groups(table[:2], 200) == ["\n".join(table[:2])] and chunking.row_groups([], 10) == []
+    text = "before\n" + "\n".join(table) + "\nafter"
+    pieces = chunking.structured(text, 200)
+    assert pieces[0] == "before" and pieces[-1] == "after" and pieces[1:-1] == groups
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = [f"| {'x' * rng.randrange(30)} | {rng.choice(['', '7', 'head'])} |" for _ in range(rng.randrange(1, 30))]
+        found = chunking.row_groups(rows, 60)
+        assert all(0 < len(g) <= 60 for g in found)
+        head = next((i for i, r in enumerate(rows[:3]) if "7" in r), min(3, len(rows)))
+        assert sum(g.count("7") for g in found) == sum(r.count("7") for r in rows)
+        assert sum(g.count("x") for g in found) >= sum(r.count("x") for r in rows[head:])
