@@ -30,6 +30,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for queries over its result."""
+    return _sql[name]
+
+
 def _load() -> None:
     from tallyforge import plans  # noqa: F401  its modules register what they define
 

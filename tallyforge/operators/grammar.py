@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.numbers import printed_number
+
 #: The scale of ratings, worst first.
 RATINGS = ("Highly Unsatisfactory", "Unsatisfactory", "Moderately Unsatisfactory", "Moderately Satisfactory", "Satisfactory", "Highly Satisfactory")
 RATING = "|".join(sorted(RATINGS, key=len, reverse=True))
@@ -239,3 +241,23 @@ def coverage(pages: DataFrame, kept: str, whole: str) -> Column:
     """Share of the distinct tokens of a page's text layer that its parsed text has; 1 where the layer has none."""
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     return F.coalesce(F.round(F.try_divide(F.size(F.array_intersect(tokens(F.col(kept)), tokens(F.col(whole)))).cast("double"), F.size(tokens(F.col(whole))).cast("double")), 4), F.lit(1.0))
+
+
+def additional_financing(rows: DataFrame) -> DataFrame:
+    """(document_id, page, table_no, row_no, amount, event_date, project, financing_type): an event for each row of the
+    lender in a table that proposes additional financing, dated by the first printed approval date of the paper; the
+    project and the type are those of its last table of types. A date or a number that can't be read is null."""
+    table_ = Window.partitionBy("document_id", "page", "table_no").orderBy("row_no")
+    paper = Window.partitionBy("document_id")
+    first = F.first("cells").over(table_.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__head", first).withColumn("__nth", F.row_number().over(table_))
+    approved = F.filter(F.transform("cells", lambda c: F.regexp_extract(F.trim(c), r"^Approval Date\s+([0-9]{2}-[A-Z][a-z]{2}-[0-9]{4})$", 1)), lambda c: c != "")
+    date = F.when(F.size(approved) > 0, F.struct("page", "table_no", "row_no", F.get(approved, F.lit(0)).alias("day")))
+    at, kind = located(F.col("__head"), "project id"), located(F.col("__head"), "additional financing type")
+    typed = F.when((F.col("__nth") == 2) & kind.isNotNull(), F.struct("page", "table_no", cell(F.col("cells"), at).alias("project"), cell(F.col("cells"), kind).alias("financing_type")))
+    rows = rows.withColumn("__date", F.min(date).over(paper)["day"]).withColumn("__typed", F.max(typed).over(paper))
+    col = located(F.col("__head"), "proposed additional financing")
+    lent = F.lower(cell(F.col("cells"), F.lit(0))).startswith("of which ibrd")
+    amounts = rows.filter((F.col("__nth") > 1) & col.isNotNull() & lent)
+    day = F.to_date(F.try_to_timestamp("__date", F.lit("dd-MMM-yyyy")))
+    return amounts.select("document_id", "page", "table_no", "row_no", printed_number(cell(F.col("cells"), col)).alias("amount"), day.alias("event_date"), F.col("__typed.project").alias("project"), F.col("__typed.financing_type").alias("financing_type"))
