@@ -126,9 +126,14 @@ def column_profile(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.profile(table(spark, d, "documents"), ["doc_id", "text", "lang", "source", "n_chars"])
 
 
-@query("table_fingerprint")
+@query(
+    "table_fingerprint",
+    """WITH o AS (SELECT * REPLACE (CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders),
+h AS (SELECT CAST('0x' || substr(sha256(concat_ws(chr(31), coalesce(CAST(o_orderkey AS VARCHAR), '␀'), coalesce(CAST(o_custkey AS VARCHAR), '␀'), coalesce(o_orderstatus, '␀'), coalesce(CAST(o_totalprice AS VARCHAR), '␀'), coalesce(CAST(o_orderdate AS VARCHAR), '␀'), coalesce(o_orderpriority, '␀'))), 1, 15) AS BIGINT) AS h FROM o)
+SELECT count(*) AS n, bit_xor(h) AS "xor", CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS total FROM h""",
+)
 def table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority")
     return aggregates.fingerprint(o, o.columns).select("n", "xor", F.col("total").cast("string").alias("total"))
 
 

@@ -145,7 +145,11 @@ def enum_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.first(text.title_case(F.col("o_orderpriority"))).alias("title"), F.count(F.lit(1)).alias("n"))
 
 
-@query("dehyphenated_text")
+@query(
+    "dehyphenated_text",
+    r"""SELECT doc_id, sha256(regexp_replace(text, '([a-z])-\n([a-z])', '\1\2', 'g')) AS joined, len(text) AS n FROM documents""",
+)
 def dehyphenated_text(spark: SparkSession, d: str) -> DataFrame:
-    """Text that joins lines split by hyphens; look-behind has no counterpart in SQL's expressions."""
-    return observed(spark, d).select("record_id", text.dehyphenated(F.concat(F.lit("re-\n"), "indicator")).alias("joined"))
+    """Texts whose words are split by a hyphen and a line's end before each inner e, and joined again."""
+    split = F.regexp_replace("text", r"(?<=[a-z])e(?=[a-z])", "-\ne")
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.dehyphenated(split), 256).alias("joined"), F.length("text").cast("long").alias("n"))

@@ -156,3 +156,37 @@ def test_extraction(spark):
     assert (row["a"], tuple(row["b"]), tuple(row["c"]), row["d"], row["e"]) == ("High", ("High", "NORMALIZED"), (None, "CONFLICT"), None, [date(2020, 1, 2)])
     rows = spark.createDataFrame([(1, 1, "h"), (1, 2, None), (1, 3, "g"), (2, 1, None)], "k int, o int, v string")
     assert [r["c"] for r in x.carried(rows, ["k"], "o", F.col("v"), "c").orderBy("k", "o").collect()] == ["h", "h", "g", None]
+
+
+def test_fixed_chunks_against_brute_force():
+    """Whatever the text, chunks are its own pieces in order, none too long; nothing but white space is between them."""
+    import random
+
+    rng = random.Random(11)
+    for _ in range(300):
+        body = "".join(rng.choice("  \n") if rng.random() < 0.3 else chr(0x4E00 + i) for i in range(rng.randrange(400)))  # no piece stands twice
+        size, overlap = rng.randrange(20, 90), rng.randrange(0, 9)
+        at = covered = 0
+        for piece in chunking.fixed(body, size, overlap):
+            start = body.find(piece, at)
+            assert 0 < len(piece) <= size and start >= 0
+            assert start <= covered or not body[covered:start].strip()
+            at, covered = start, max(covered, start + len(piece))
+        assert not body[covered:].strip()
+
+
+def test_parents_against_a_loop(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, no, "x" * rng.randrange(1, 120)) for i in range(20) for no in range(rng.randrange(1, 12))]
+    want = {}
+    for i in range(20):
+        used, parent = 0, -1
+        for _, no, t in [r for r in rows if r[0] == i]:
+            if parent < 0 or used + len(t) > 200:
+                used, parent = 0, parent + 1
+            used += len(t)
+            want[i, no] = parent
+    found = chunking.parents(spark.createDataFrame(rows, "id long, no long, chunk_text string"), "id", 200)
+    assert {(r["id"], r["no"]): r["parent_no"] for r in found.collect()} == want
