@@ -104,6 +104,10 @@ class Tokenizer:
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
 
+    def forget(self) -> None:
+        """Empty the cache of words: a worker that is used again for other tasks doesn't hold it."""
+        self.young, self.old = {}, {}
+
     def merge(self, word: str) -> list[int]:
         """The ids of one word."""
         letters = [self.of_byte[b] for b in word.encode("utf-8", "replace")]
@@ -319,6 +323,7 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
                     start, rows, arrays, held = start + len(rows), [], [], 0
             if rows:
                 yield out(start, rows, arrays)
+        t.forget()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
