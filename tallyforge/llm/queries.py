@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed_dedup, langid, licenses, mixing, omh, pii, simhash, urlfilter
+from . import alignment, bpe, chat, embed_dedup, langid, licenses, mixing, omh, pii, simhash, tokencounts, urlfilter
 
 #: For the given invented tables only; set ``KEY_SETTING`` in the session to a key of your own for any others.
 TABLES_KEY, KEY_SETTING = "tallyforge-invented-tables", "spark.tallyforge.pii.key"
@@ -62,6 +62,14 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(_read(spark, sf_dir, "pages"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_read(spark, sf_dir, "documents"))
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.counted(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +87,8 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_languages": op9_languages,
     "op10_urls": op10_urls,
+    "op12_alignment": op12_alignment,
+    "op13_tokens": op13_tokens,
     "pipeline": pipeline,
 }
 
