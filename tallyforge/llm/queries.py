@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, chat, embed_dedup, langid, licenses, mixing, omh, pii, simhash, tokencounts, urlfilter
+from . import alignment, bpe, chat, embed_dedup, langid, licenses, mixing, omh, pii, simhash, tokencounts, urlfilter, validtime
 
 #: For the given invented tables only; set ``KEY_SETTING`` in the session to a key of your own for any others.
 TABLES_KEY, KEY_SETTING = "tallyforge-invented-tables", "spark.tallyforge.pii.key"
@@ -62,6 +62,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(_read(spark, sf_dir, "pages"))
 
 
+def op11_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validtime.enriched(_read(spark, sf_dir, "sales"), _read(spark, sf_dir, "client_changes"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_read(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat": op8_chat,
     "op9_languages": op9_languages,
     "op10_urls": op10_urls,
+    "op11_sales": op11_sales,
     "op12_alignment": op12_alignment,
     "op13_tokens": op13_tokens,
     "pipeline": pipeline,
@@ -132,6 +137,26 @@ SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY tur
        '' AS call_status, NULL::VARCHAR AS link, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' AS message
 FROM conversations""",
     "op10_urls": _urls_sql(),
+    # CRC-32 by its table; then what every batch knows, holds and emits, for all batches side by side
+    "op11_sales": """
+WITH RECURSIVE r(i, k, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM r WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM r WHERE k = 8),
+d AS (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL),
+x AS (SELECT d.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(change_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: xor(t[xor(a, c) % 256 + 1], a // 256)), 4294967295) AS h FROM d, crc),
+c AS (SELECT *, least(9, floor((date_diff('day', DATE '1970-01-01', valid_at::DATE) + h % 4 - 19723) * 10 / 152))::BIGINT AS b FROM x),
+s AS (SELECT *, row_number() OVER () AS n, least(9, floor((date_diff('day', DATE '1970-01-01', arrived_at::DATE) - 19723) * 10 / 152))::BIGINT AS b FROM sales),
+w AS (SELECT k, (SELECT max(sold_at) FROM s WHERE b < k) - INTERVAL 24 HOUR AS ws, (SELECT max(valid_at) FROM c WHERE b < k) - INTERVAL 24 HOUR AS wc FROM range(11) t(k)),
+z AS (SELECT k, wc, CASE WHEN ws IS NOT NULL AND wc IS NOT NULL THEN least(ws, wc) END AS h, lag(h) OVER (ORDER BY k) AS before FROM w),
+a AS (SELECT c.*, coalesce(valid_at < wc, false) AS late FROM c JOIN z ON z.k = c.b),
+o AS (SELECT z.k, a.client_id, valid_at, change_id, balance, op, coalesce(valid_at <= before AND a.b < z.k, false) AS old FROM a JOIN z ON a.b <= z.k WHERE NOT late),
+u AS (SELECT * FROM o QUALIFY NOT old OR row_number() OVER (PARTITION BY k, client_id, old ORDER BY valid_at DESC, change_id DESC) = 1),
+e AS (SELECT s.*, (SELECT min(k) FROM z WHERE k >= s.b AND (k = 10 OR s.sold_at IS NULL OR s.sold_at < z.h)) AS k FROM s),
+g AS (SELECT k, client_id, count(*) AS n_held FROM u GROUP BY ALL),
+m AS (SELECT e.n, u.change_id, u.balance, u.op FROM e JOIN u ON u.k = e.k AND u.client_id = e.client_id AND u.valid_at <= e.sold_at
+      QUALIFY row_number() OVER (PARTITION BY e.n ORDER BY u.valid_at DESC, u.change_id DESC) = 1)
+SELECT 'sale' AS rec, sale_id AS id, e.k AS batch, coalesce(n_held, 0) AS n_held, m.change_id, floor(100 * m.balance + 0.5)::BIGINT AS balance_cents, m.op
+FROM e LEFT JOIN g ON g.k = e.k AND g.client_id = e.client_id LEFT JOIN m ON m.n = e.n
+UNION ALL SELECT 'late', change_id, b, NULL, NULL, NULL, NULL FROM a WHERE late""",
 }
 
 
