@@ -42,6 +42,9 @@ _SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # the local copies that earlier starts leave on executors go soon
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 
@@ -308,8 +311,8 @@ def _inputs(sales: DataFrame, changes: DataFrame, first_day: int, days: int, bat
 def _neighbours(rows: DataFrame, told: DataFrame | None) -> DataFrame:
     """Rows to feed to the cells of busy clients: for each how many versions its client has, when the next cell's first
     one holds, and the last one of the cells before. ``rows``: what comes; ``told``: what the cells told last."""
-    last = F.max(F.when(F.col("kind") == VERSION, F.struct("at", "id", "cents", "op"))).alias("last")
-    come = rows.groupBy("client", "day").agg(F.sum((F.col("kind") == VERSION).cast("long")).alias("n"), F.min(F.when(F.col("kind") == VERSION, F.col("at"))).alias("first_at"), last)
+    is_version = F.col("kind") == VERSION
+    come = rows.select("client", "day", is_version.cast("long").alias("n"), F.when(is_version, F.col("at")).alias("first_at"), F.when(is_version, F.struct("at", "id", "cents", "op")).alias("last"))
     if told is not None:
         none = lambda c: F.coalesce(c, F.lit(NONE).cast("long"))
         kept = F.when(F.col("last_at").isNotNull(), F.struct(F.col("last_at").alias("at"), none("change_id").alias("id"), none("balance_cents").alias("cents"), F.col("op")))
