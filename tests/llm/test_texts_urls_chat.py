@@ -134,3 +134,34 @@ def test_chat(spark):
         assert json.dumps(json.loads(r["message"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r["message"]
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.formatted(empty).count() == 0
+
+
+def test_chat_nested_calls_and_other_members(spark):
+    nested = {"content": [{"text": "hi", "type": "text"}], "refusal": None, "tool_calls": [{"id": "a", "type": "function", "index": 0, "function": {"name": "search", "arguments": '{"query":"q"}', "strict": True}}, "odd"]}
+    rows = [
+        (1, 0, "assistant", json.dumps(nested)),
+        (1, 1, "user", '{"tool_call_id":"a","content":"mine"}'),
+        (1, 2, "tool", '{"tool_call_id":"a","content":"res","meta":{"b":1,"a":[2]}}'),
+        (1, 2, "tool", '{"tool_call_id":"a","content":"res","meta":{"b":1,"a":[2]}}'),
+        (2, 0, "assistant", json.dumps({"tool_calls": [{"id": "x", "name": "search", "arguments": {"query": "q"}, "note": "é"}]})),
+        (2, 0, "assistant", json.dumps({"tool_calls": [{"id": "x", "name": "search", "arguments": {"query": "q"}, "note": "é"}]})),
+    ]
+    got = sorted(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: (r["conv_id"], r["position"]))
+    assert [r["position"] for r in got] == [0, 1, 2, 3, 0, 1]
+    first = json.loads(got[0]["message"])
+    assert first == {"content": nested["content"], "refusal": None, "role": "assistant", "tool_calls": [{"arguments": {"query": "q"}, "function": {"strict": True}, "id": "a", "index": 0, "name": "search", "type": "function"}, "odd"]}
+    assert got[0]["call_status"] == "ok,invalid_json" and got[0]["n_calls"] == 2
+    assert got[1]["link"] is None and json.loads(got[1]["message"])["content"] == rows[1][3]
+    assert [r["link"] for r in got[2:4]] == ["linked", "duplicate"] and json.loads(got[2]["message"])["meta"] == {"a": [2], "b": 1}
+    assert [r["call_status"] for r in got[4:]] == ["ok", "duplicate"] and json.loads(got[4]["message"])["tool_calls"][0]["note"] == "é"
+    for r in got:
+        assert json.dumps(json.loads(r["message"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r["message"]
+
+
+def test_chat_many_messages_of_one_turn(spark, monkeypatch):
+    monkeypatch.setattr(chat, "MOST_IN_RUN", 50)
+    rows = [(1, None if i % 3 else 5, "user", f"m{i % 150}") for i in range(400)] + [(1, i, "user", "x") for i in range(20)]
+    got = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(r["position"] for r in got) == list(range(420))
+    turns = [r["turn"] for r in sorted(got, key=lambda r: r["position"])]
+    assert turns == sorted(turns, key=lambda t: (t is None, t))
