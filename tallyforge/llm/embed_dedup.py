@@ -47,6 +47,12 @@ def codebook(sample: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
     return np.unique(centers, axis=0)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two to a largest magnitude between 1/2 and 1: squares neither vanish nor overflow, and but
+    for components that are 1e-300 times smaller nothing is rounded."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def _bounds(half: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row its nearest codeword, and the squared lower bound of its distance to each codeword's region."""
     norms = (centers**2).sum(1)
@@ -92,6 +98,7 @@ def traverse_many(first: np.ndarray, second: np.ndarray, limit: float) -> tuple[
 
 def _cells(vectors: np.ndarray, books: tuple[np.ndarray, np.ndarray], cut: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each vector's own cell, and (row, cell) of the later ones that may hold a partner."""
+    vectors = scaled(vectors)
     unit = vectors / np.sqrt((vectors**2).sum(1))[:, None]
     own1, low1 = _bounds(unit[:, :cut], books[0])
     own2, low2 = _bounds(unit[:, cut:], books[1])
@@ -115,7 +122,7 @@ def _verify(batches: Iterator[pd.DataFrame], threshold: float, kind: str) -> Ite
         if home.all() or not home.any():
             continue
         rid, mult, resident = g["rid"].to_numpy(), g["mult"].to_numpy(), g["home"].to_numpy()
-        v = _matrix(g["vector"], kind)
+        v = scaled(_matrix(g["vector"], kind))
         norm = np.sqrt((v**2).sum(1))
         h, m = np.nonzero(home)[0], np.nonzero(~home)[0]
         near = (v[h] @ v[m].T) / (norm[h][:, None] * norm[m][None, :]) >= threshold
@@ -140,7 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 
     Rows compare only within a label and a dimension. Equal vectors of a label are indexed once and counted as often as
     they occur; null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
-    nothing. Repeated rows are rows of their own. A row without vec_id is never kept; an empty table gives no rows;
+    nothing. Magnitudes are free: components of 1e-300 or 1e300 compare by their direction. Repeated rows are rows of their own. A row without vec_id is never kept; an empty table gives no rows;
     other columns are not looked at.
     """
     spark = vectors.sparkSession
@@ -174,7 +181,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 def _links(own: DataFrame, dim: int, n: int, most: int, threshold: float, block: int) -> DataFrame:
     """(a, b, n): how many rows vector a links to (b = -1), or an edge a-b, among ``n`` vectors, ``most`` of one label."""
     sample = bounded_sample(own.select("embedding", F.xxhash64("embedding").alias("draw")), n, "draw", SAMPLE)
-    found = np.array([r[0] for r in sample.collect()], dtype=np.float64)
+    found = scaled(np.array([r[0] for r in sample.collect()], dtype=np.float64))
     unit = found / np.sqrt((found**2).sum(1))[:, None]
     codes = int(np.clip(round((most / PER_CELL) ** 0.5), LEAST_CODES, min(MOST_CODES, max(LEAST_CODES, len(unit) // 4))))
     cut = max(1, dim // 2)

@@ -136,3 +136,14 @@ def test_embeddings_threshold_ties_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, Cell int, Home boolean")
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df, threshold=0.8).collect()}
     assert got == {1: (0, 1), 2: (1, 2), 3: (1, 2)}
+
+
+def test_magnitudes_do_not_matter(spark):
+    """Directions compare at 1e-300 and 1e300 as at 1."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6, 8))
+    rows, scales = [], (1e-300, 1.0, 1e200, 3e-170, 1e300)
+    for i, scale in enumerate(scales):
+        rows += [(10 * i + j, (v * scale).tolist(), 1) for j, v in enumerate(base)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {10 * i + j: (len(scales) - 1, j) for i in range(len(scales)) for j in range(6)}
