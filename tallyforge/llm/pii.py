@@ -11,9 +11,6 @@ addresses with letters of other scripts than ``RUNS`` has, and addresses written
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +29,12 @@ WALK = 64
 #: Kinds in the order in which a mention is tried; the first that fits it whole and is valid names it. Fixed formats.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-.]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
-    "secret": r"(?:token|secret|passwd|password|api_key|apikey|api-key|access_key|auth)[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9_\-/+]{8,}|(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    "secret": r"(?:(?i:token|secret|passwd|password|api_key|apikey|api-key|access_key|auth))[\x22']?\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9_\-/+]{8,}|(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}(?![0-9])|(?<![0-9\-])[0-9]{3}[\-. ][0-9]{3}[\-. ][0-9]{4}(?![0-9\-])",
+    "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[\-. ][0-9]{4}(?![0-9])|(?<![0-9\-])[0-9]{3}[\-. ][0-9]{3}[\-. ][0-9]{4}(?![0-9\-])|(?<![0-9+.,\-/])0[1-9][0-9]{1,3}[ \-/][0-9]{6,8}(?![0-9]|[\-./,][0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
@@ -228,6 +225,7 @@ def _handled(m: Column, key: str) -> Column:
     return (
         F.when(m.contains("@"), out("email", _email(m, key)))
         .when(fits("[0-9a-f]{32,128}"), out("secret", permuted(m, key, "hex", True)))
+        .when(fits("[0-9A-F]{32,128}"), out("secret", F.upper(permuted(F.lower(m), key, "hex", True))))
         .when(fits(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), F.when(octets, out("ip", _ip(m, key))).otherwise(out(None, m)))
         .when(fits(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}"), F.when(day.isNotNull(), out("date", dated)).otherwise(out(None, m)))
         .when(ssn_ok, out("ssn", _ssn(m, key)))
@@ -255,8 +253,7 @@ def pseudonyms(text: Column, key: str) -> Column:
         )
 
     found = let(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), replaced)
-    named = [text.contains(w) for w in ("token", "secret", "passw", "key", "auth")]
-    return F.when(reduce(or_, named, text.rlike("[0-9@]")), found).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds")))
+    return F.when(text.rlike("[0-9@]|(?i:token|secret|passw|key|auth)"), found).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds")))
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
