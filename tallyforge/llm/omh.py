@@ -2,7 +2,8 @@
 
 The k-mers are runs of ``K`` words, or of characters where words are very long. Each gets the number of its occurrence in the text, so that repeats count, and a
 64-bit hash of both. The hash's top bits name one of ``BUCKETS`` sketches; each sketch selects its ``L`` minimal k-mers,
-puts them back into their order in the text and hashes that tuple to a signature. Two texts' likeness is the share of
+puts them back into their order in the text and hashes that tuple to a signature. A sketch that was dealt fewer than ``L``
+selects from all k-mers of the text instead, by a hash of its own, so that the order tells in short texts too. Two texts' likeness is the share of
 sketches, of those that either fills, whose signatures are equal: it falls with edits that change k-mers and with edits
 that move them. All steps stay inside one row and one pass over its words: no k-mer is ever shuffled.
 """
@@ -28,8 +29,8 @@ UNIT = WORD.removesuffix("+") + "{1,24}(?!" + WORD.removesuffix("+") + ")|" + WO
 
 
 def signatures(text: Column) -> Column:
-    """BUCKETS signatures of 32 bits of a whole text; a sketch that got no k-mer is null. A text of under K units is one
-    k-mer."""
+    """BUCKETS signatures of 32 bits of a whole text, all null if it has no units. A text of under K units is one k-mer; one
+    of under L k-mers makes shorter tuples."""
     words = F.transform(F.regexp_extract_all(text, F.lit(f"({UNIT})"), F.lit(1)), lambda w: F.xxhash64(w))
     return let(words, _of_words)
 
@@ -61,15 +62,25 @@ def _of_sorted(kmers: Column) -> Column:
         bucket = lambda e: F.shiftrightunsigned(e["h"], 64 - BUCKET_BITS)
         # sorted by hash, a sketch's k-mers stand together: its L least are those with no other of it L places before
         least = F.filter(hashed, lambda e, i: (i < L) | F.coalesce(bucket(F.get(hashed, i - L)) != bucket(e), F.lit(True)))
-        back = F.sort_array(F.transform(least, lambda e: F.struct(bucket(e).alias("b"), e["at"].alias("at"), e["h"].alias("h"))))
-        return let(back, lambda t: let(F.transform(t, lambda e: e["b"]), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: _tuple(t, F.array_position(bs, b.cast("long")).cast("int"), b))))
+        dealt = F.transform(least, lambda e: F.struct(bucket(e).alias("b"), e["at"].alias("at"), e["h"].alias("h")))
+
+        def of_all(b: Column) -> Column:
+            own = F.sort_array(F.transform(hashed, lambda e: F.struct(F.xxhash64(e["h"], b).alias("own"), e["at"].alias("at"), e["h"].alias("h"))))
+            return F.transform(F.slice(own, 1, L), lambda e: F.struct(b.cast("long").alias("b"), e["at"].alias("at"), e["h"].alias("h")))
+
+        def one(t: Column, bs: Column, b: Column) -> Column:
+            at = F.array_position(bs, b.cast("long")).cast("int")
+            full = (at > 0) & F.coalesce(F.get(bs, at - 2 + L) == b, F.lit(False))
+            return _signature(F.when(full, F.slice(t, F.greatest(at, F.lit(1)), F.lit(L))).otherwise(of_all(b)))
+
+        return let(dealt, lambda t: let(F.transform(t, lambda e: e["b"]), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: one(t, bs, b))))
 
     return let(starts, numbered)
 
 
-def _tuple(chosen: Column, at: Column, bucket: Column) -> Column:
-    rest = [F.when(F.get(chosen, at - 1 + j)["b"] == bucket, F.get(chosen, at - 1 + j)["h"]) for j in range(L)]
-    return F.when(at > 0, F.shiftrightunsigned(F.xxhash64(*rest), 32))
+def _signature(chosen: Column) -> Column:
+    """The hash of up to L k-mers in the order of the text."""
+    return let(F.sort_array(F.transform(chosen, lambda e: F.struct(e["at"].alias("at"), e["h"].alias("h")))), lambda c: F.shiftrightunsigned(F.xxhash64(*(F.get(c, F.lit(j))["h"] for j in range(L))), 32))
 
 
 def likeness(a: Column, b: Column) -> Column:
