@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stage, workspace
-from .subwords import ids_of, public_path, token_bytes
+from .subwords import WordCache, ids_of, public_path, token_bytes
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Texts tokenised at once hold about so many characters; results leave a task when they hold so many pairs.
@@ -39,18 +39,19 @@ class Aligner:
     """Two tokenizer files; ``align`` gives both id sequences of a text and where their tokens end, in bytes."""
 
     def __init__(self, a: str, b: str) -> None:
-        self.files = a, b
+        self.file = b
+        self.words = WordCache(a)
         self.bytes = token_bytes(a), token_bytes(b)
         self.lengths = tuple(np.array([len(x) for x in t], dtype=np.int64) for t in self.bytes)
         self.numbers = max(map(len, self.bytes))
-        self.words = np.array([f"{i}{mark}" for mark in ",|;" for i in range(self.numbers)], dtype=object)
+        self.written = np.array([f"{i}{mark}" for mark in ",|;" for i in range(self.numbers)], dtype=object)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of both for each text; none where a text is empty or one of them doesn't spell a space and the text."""
         none = np.zeros(0, dtype=np.int64)
-        for text, a, b in zip(texts, ids_of(self.files[0], [" " + t for t in texts], special=False), ids_of(self.files[1], texts), strict=True):
+        for text, a, b in zip(texts, self.words.ids_of([" " + t for t in texts]), ids_of(self.file, texts), strict=True):
             whole = b" " + text.encode()
-            spelt = all(b"".join([t[i] for i in ids]) == whole for t, ids in zip(self.bytes, (a, b), strict=True))
+            spelt = all(b"".join(map(t.__getitem__, ids)) == whole for t, ids in zip(self.bytes, (a, b), strict=True))
             yield (np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) if text and spelt else (none, none)
 
     def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, str]:
@@ -67,7 +68,7 @@ class Aligner:
         last = [np.append(g[1:] != g[:-1], True) for g in groups]
         order = np.argsort(np.concatenate((groups[0] * 2, groups[1] * 2 + 1)), kind="stable")
         marks = np.concatenate((last[0] * 1, last[1] * 2)) * self.numbers + np.concatenate((a, b))
-        return keys, "".join(self.words[marks[order]].tolist())[:-1]
+        return keys, "".join(self.written[marks[order]].tolist())[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -93,27 +94,30 @@ def _linked(docs: DataFrame, a: str | None, b: str | None) -> DataFrame:
             n_groups = len(ids_a) + len(ids_b) - len(keys)
             return len(ids_a), len(ids_b), n_groups, len(keys), hashlib.sha256(written.encode()).hexdigest(), (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times.astype(np.int32)
 
-        for batch in batches:
-            done, rows, held, texts, size = 0, [], 0, [], 0
-
-            def out(start: int, rows: list[tuple], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                columns = [batch.column("doc_id").slice(start, len(rows)).cast(kind), *(pa.array([r[i] for r in rows], arrow[i + 1].type) for i in range(5))]
-                ends = pa.array(np.cumsum([0, *(len(r[5]) for r in rows)], dtype=np.int32))
-                columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[i] for r in rows]))) for i in (5, 6, 7)]
-                return pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-            n = batch.num_rows
-            for at, x in enumerate(batch.column("text")):
-                texts.append(x.as_py() or "")
-                size += len(texts[-1])
-                if size >= AT_ONCE or at == n - 1:
-                    for ids in tool.encode(texts):
-                        rows.append(row(*ids))
-                        held += len(rows[-1][5])
-                    texts, size = [], 0
-                if held >= PAIRS_HELD or rows and at == n - 1:
-                    yield out(done, rows)
-                    done, rows, held = done + len(rows), [], 0
+        try:
+            for batch in batches:
+                done, rows, held, texts, size = 0, [], 0, [], 0
+
+                def out(start: int, rows: list[tuple], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                    columns = [batch.column("doc_id").slice(start, len(rows)).cast(kind), *(pa.array([r[i] for r in rows], arrow[i + 1].type) for i in range(5))]
+                    ends = pa.array(np.cumsum([0, *(len(r[5]) for r in rows)], dtype=np.int32))
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[i] for r in rows]))) for i in (5, 6, 7)]
+                    return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+                n = batch.num_rows
+                for at, x in enumerate(batch.column("text")):
+                    texts.append(x.as_py() or "")
+                    size += len(texts[-1])
+                    if size >= AT_ONCE or at == n - 1:
+                        for ids in tool.encode(texts):
+                            rows.append(row(*ids))
+                            held += len(rows[-1][5])
+                        texts, size = [], 0
+                    if held >= PAIRS_HELD or rows and at == n - 1:
+                        yield out(done, rows)
+                        done, rows, held = done + len(rows), [], 0
+        finally:  # a worker is used again for other tasks
+            tool.words.known = {}
 
     types = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "a": "array<int>", "b": "array<int>", "times": "array<int>"}
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{c} {t}" for c, t in types.items())]))

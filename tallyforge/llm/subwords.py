@@ -8,13 +8,14 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 from .bpe import _byte_letters
 
 #: A longer text is handed to a library in parts of about so many characters, which bounds what the library holds.
 PART = 1 << 20
 #: A single space between word characters: both libraries begin a new word there.
-_BETWEEN_WORDS = re.compile(r"(?<=\w) (?=\w)")
+BETWEEN_WORDS = re.compile(r"(?<=\w) (?=\w)")
 
 
 def public_path(name: str) -> str:
@@ -29,7 +30,7 @@ def parts(text: str, size: int = PART) -> Iterator[str]:
 
     A text without a single space between word characters stays whole."""
     start = 0
-    while len(text) - start > size and (cut := _BETWEEN_WORDS.search(text, start + size)):
+    while len(text) - start > size and (cut := BETWEEN_WORDS.search(text, start + size)):
         yield text[start : cut.start()]
         start = cut.start()
     yield text[start:] if start else text
@@ -88,6 +89,35 @@ def ids_of(path: str, texts: list[str], special: bool = True) -> Iterator[list[i
                 yield [i for p in parts(t) for i in tool.encode(p, add_special_tokens=False).ids]
 
 
+#: Characters up to U+024F, whose classes are the same in all versions of Unicode: letters, numbers, white space.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_BEYOND = re.compile("[^\\x00-\u024f]")
+#: Fixed value: the byte-level tokenizers' pattern of words, over those characters.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+class WordCache:
+    """The ids that a byte-level tokenizer of the tokenizers library gives, special strings being plain text. It merges
+    inside words only, so each distinct word is handed to the library once for as long as it is kept; texts with
+    characters beyond U+024F are handed to it whole."""
+
+    def __init__(self, path: str, most: int = 200_000) -> None:
+        self.path, self.most = path, most
+        self.tool, self.cuts = library(path, False), splits_at_spaces(path)
+        self.known: dict[str, list[int]] = {}
+
+    def ids_of(self, texts: list[str]) -> Iterator[list[int]]:
+        words = [None if not self.cuts or _BEYOND.search(t) else _WORDS.findall(t) for t in texts]
+        if len(self.known) > self.most:
+            self.known = {}
+        missing = [*set().union(*(w for w in words if w)).difference(self.known)]
+        for word, found in zip(missing, self.tool.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            self.known[word] = found.ids
+        get = self.known.__getitem__
+        for text, w in zip(texts, words, strict=True):
+            yield next(iter(ids_of(self.path, [text], special=False))) if w is None else [*chain.from_iterable(map(get, w))]
+
+
 def token_bytes(path: str) -> list[bytes]:
     """The bytes that each id stands for."""
     if path.endswith(".model"):

@@ -78,6 +78,18 @@ def test_parts_of_a_long_text_are_independent(name, monkeypatch):
     assert list(subwords.ids_of(path, texts, special=False)) == whole
 
 
+def test_word_cache_is_the_library(libraries):
+    import random
+
+    r = random.Random(1)
+    alphabet = "abé ß  \t\n\r\x0b\x1c\x1f\x85\xa0'st're.,!?12²½-_ªµ×÷ĀɏAɐ中"
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 60))) for _ in range(3000)] + ["it's  we'll 're 'sure ''s 'S", "x<|endoftext|>y", " ", "  ", "\n\n x"]
+    libraries[0].encode_special_tokens = True
+    cache = subwords.WordCache(subwords.public_path(alignment.A_NAME), most=50)
+    for i in range(0, len(texts), 100):
+        assert [*cache.ids_of(texts[i : i + 100])] == [e.ids for e in libraries[0].encode_batch(texts[i : i + 100], add_special_tokens=False)]
+
+
 def spelt(text, libraries):
     """Tokens, links and groups of one text by their definitions."""
     a, b = libraries
