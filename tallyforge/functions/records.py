@@ -53,31 +53,47 @@ def short_title(c: Column, most: int = 120) -> Column:
     return F.substring(c, 1, most)
 
 
+#: The two notations of loan numbers.
+STATEMENT_NUMBER, LEGAL_NUMBER = r"^(IBRD)([0-9]{4})([0-9])$", r"^(?:(IBRD)[\s-]*)?([0-9]{4})\s*-\s*([A-Z]{2})$"
+
+
 def loan_number(c: Column) -> Column:
     """(notation, lender, base, tail, normalized) of a loan number: STATEMENT as IBRD86010, LEGAL as 8601-IN with or
     without its lender. Case and white space aside nothing is corrected: any other text has nulls."""
     text = F.upper(F.trim(c))
     packed = F.regexp_replace(text, r"\s+", "")
     part = lambda of, pattern, n: F.nullif(F.regexp_extract(of, pattern, n), F.lit(""))
-    statement, legal = r"^(IBRD)([0-9]{4})([0-9])$", r"^(?:(IBRD)[\s-]*)?([0-9]{4})\s*-\s*([A-Z]{2})$"
+    statement, legal = STATEMENT_NUMBER, LEGAL_NUMBER
     is_s, is_l = packed.rlike(statement), text.rlike(legal)
     of = lambda n: F.when(is_s, part(packed, statement, n)).when(is_l, part(text, legal, n))
     notation = F.when(is_s, "STATEMENT").when(is_l, "LEGAL")
     return F.struct(notation.alias("notation"), of(1).alias("lender"), of(2).alias("base"), of(3).alias("tail"), F.when(notation.isNotNull(), F.concat_ws("-", of(1), of(2), of(3))).alias("normalized"))
 
 
+#: What is printed behind an indicator's unit, its status or the kinds of result that it stands for.
+STATUS_WORDS = ("achieved", "not achieved", "not due", "off-track", "on-track", "partially achieved")
+RESULT_TAGS = ("CRI", "DLI")
+
+
 def indicator_name(c: Column) -> Column:
     """(name, unit, kind, tags, status) of a printed indicator: status words and tags after the last parenthesis, the unit
     and its kind inside it, and the name without any, case folded and white space collapsed."""
-    status_at = r"(?i)^(.*\).*?)\s+(not due|partially achieved|not achieved|achieved|off-track|on-track)\s*$"
-    status = F.nullif(F.regexp_extract(c, status_at, 2), F.lit(""))
-    rest = F.when(status.isNotNull(), F.regexp_extract(c, status_at, 1)).otherwise(c)
-    tagged = r"^(.*\))((?:\s+(?:DLI|CRI))+)\s*$"
-    tags = F.filter(F.split(F.regexp_extract(rest, tagged, 2), r"\s+"), lambda t: t != "")
-    bare = F.when(F.size(tags) > 0, F.regexp_extract(rest, tagged, 1)).otherwise(rest)
-    unit_at = r"\(([^(),]+)(?:,\s*([^()]+))?\)\s*$"
-    unit, kind = (F.nullif(F.trim(F.regexp_extract(bare, unit_at, n)), F.lit("")) for n in (1, 2))
-    name = F.lower(F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?:\s*\([^()]*\))+\s*$", ""), r"[\s►➢]+", " ")))
+    close = F.length(c) - F.instr(F.reverse(c), ")") + 1  # the place of the last ')'; beyond the text without one
+    behind = F.regexp_replace(F.trim(F.substr(c, close + 1, F.length(c))), r"\s+", " ")
+    has = F.contains(c, F.lit(")"))
+    # the longest status that ends what stands behind, as words of its own
+    status = F.when(has, F.coalesce(*(F.when(F.endswith(F.concat(F.lit(" "), F.lower(behind)), F.lit(f" {w}")), F.substr(behind, F.length(behind) - len(w) + 1, F.lit(len(w)))) for w in sorted(STATUS_WORDS, key=len, reverse=True))))
+    left = F.trim(F.when(status.isNotNull(), F.substr(behind, F.lit(1), F.length(behind) - F.length(status))).otherwise(behind))
+    words = F.filter(F.split(left, " "), lambda w: w != "")
+    all_tags = F.when(has, F.forall(words, lambda w: w.isin(*RESULT_TAGS))).otherwise(F.lit(False))
+    tags = F.when(all_tags, words).otherwise(F.array().cast("array<string>"))
+    whole = F.when(has & all_tags, F.substr(c, F.lit(1), close)).otherwise(F.when(status.isNotNull(), F.concat(F.substr(c, F.lit(1), close), F.lit(" "), left)).otherwise(c))
+    # parentheses at the end, the last of which holds the unit, up to its first comma, and its kind
+    groups = F.regexp_extract_all(F.regexp_extract(whole, r"((?:\s*\([^()]*\))+)\s*$", 1), F.lit(r"\(([^()]*)\)"), F.lit(1))
+    parts = F.transform(F.split(F.try_element_at(groups, F.lit(-1)), ",", 2), lambda p: F.nullif(F.trim(p), F.lit("")))
+    unit, kind = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    bare = F.regexp_replace(whole, r"(?:\s*\([^()]*\))+\s*$", "")
+    name = F.lower(F.trim(F.regexp_replace(bare, r"[\s►➢]+", " ")))
     return F.struct(name.alias("name"), unit.alias("unit"), kind.alias("kind"), tags.alias("tags"), status.alias("status"))
 
 

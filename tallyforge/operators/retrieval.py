@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.arrays import let
 from tallyforge.functions.numbers import cosine
 from tallyforge.functions.text import EMBEDDING_STOPWORDS, search_tokens
 
@@ -102,22 +103,59 @@ def ranking_metrics(hits: DataFrame, relevant: DataFrame, query_key: str, key: s
     return per.select(query_key, r(F.col("hit") / F.col("n")).alias("recall"), r(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), r(F.col("dcg") / ideal).alias("ndcg"), r(F.col("hit") / k).alias("precision"))
 
 
+def run_hashes(c: Column, k: int) -> Column:
+    """The hashes of all runs of ``k`` words of a text, in order; none for a shorter text. Words are what white space parts."""
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    none = F.array().cast("array<bigint>")
+    return let(words, lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - k + 1)), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(none))
+
+
+#: Words of an item that are looked up among a document's runs: its inner ones, since its first and last may be parts.
+RUN = 5
+
+
 def quoting(docs: DataFrame, key: str, items: DataFrame, item_key: str, text: str = "text") -> DataFrame:
-    """(key, item) for documents whose text holds an item's text. A run of inner words of the item is looked up among
-    the document's runs of that length by hash before the text is searched; items of under three words are searched for
-    directly, of which there may be few only."""
+    """(key, item) for documents whose text holds an item's text, as often as rows repeat.
+
+    A run of inner words of the item is looked up by hash among the runs of all documents; only hashes and keys meet, and
+    only documents of which a run is met are read again to search for the whole text. Items with too few words for a run
+    of ``RUN`` use a run of as many inner words as they have; items of under three words are looked up in words: the
+    longest word of the item must be part of a word of the document.
+    """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     runs = items.select(item_key, F.col(text).alias("item_text"), words(F.col(text)).alias("w"))
-    inner = F.slice("w", F.lit(2), F.greatest(F.lit(0), F.least(F.lit(5), F.size("w") - 2)))
-    runs = runs.select(item_key, "item_text", inner.alias("inner")).withColumn("k", F.size("inner"))
-    long_ = few(runs.filter("k = 5").select(item_key, "item_text", F.xxhash64("inner").alias("h")))
-    d = docs.select(key, F.col(text).alias("doc_text"), words(F.col(text)).alias("w"))
-    hashes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.slice(F.col("w"), i, 5))))
-    exploded = d.select(key, "doc_text", F.explode(hashes).alias("h"))
-    found = exploded.join(long_, "h").filter(F.contains("doc_text", "item_text")).select(key, item_key)
-    short = runs.filter("k < 5").select(item_key, "item_text")
-    rest = docs.select(key, F.col(text).alias("doc_text")).join(few(short), F.contains("doc_text", "item_text")).select(key, item_key)
-    return found.unionByName(rest)
+    k = F.greatest(F.lit(0), F.least(F.lit(RUN), F.size("w") - 2))
+    runs = runs.withColumn("k", k).withColumn("h", F.xxhash64(F.slice("w", F.lit(2), F.col("k"))))
+    d = docs.select(F.col(key).alias("__doc"), F.col(text).alias("doc_text"))
+    lengths = sorted(r["k"] for r in runs.select("k").distinct().collect())  # six at most
+    met = None
+    for n in [x for x in lengths if x]:
+        wanted = few(runs.filter(F.col("k") == n).select(item_key, "h"))
+        found = d.select("__doc", F.explode(F.array_distinct(run_hashes(F.col("doc_text"), n))).alias("h")).join(wanted, "h").select("__doc", item_key)
+        met = found if met is None else met.unionByName(found)
+    if 0 in lengths:
+        # the item's longest word, or the item itself if it is no word, is part of some word of the document
+        short = runs.filter("k = 0").select(item_key, F.coalesce(F.try_element_at(F.array_sort(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), F.lit(-1))["x"], F.lit("")).alias("part"))
+        vocabulary = d.select(F.explode(F.array_distinct(words(F.col("doc_text")))).alias("word")).distinct()
+        hit = vocabulary.join(few(short), F.contains("word", "part")).select("word", item_key)
+        found = d.select("__doc", F.explode(F.array_distinct(words(F.col("doc_text")))).alias("word")).join(hit, "word").select("__doc", item_key)
+        blank = d.crossJoin(F.broadcast(short.filter("part = ''").limit(1).select(F.lit(1).alias("__any")))).select("__doc").crossJoin(few(short.filter("part = ''").select(item_key)))
+        met = found.unionByName(blank) if met is None else met.unionByName(found).unionByName(blank)
+    if met is None:
+        return docs.select(key).join(items.select(item_key), F.lit(False))
+    texts = runs.select(item_key, "item_text")
+    pairs = met.distinct().join(texts, item_key)
+    return d.join(pairs, "__doc").filter(F.contains("doc_text", "item_text")).select(F.col("__doc").alias(key), item_key)
+
+
+def phrase_hits(docs: DataFrame, key: str, items: DataFrame, item_key: str, text: str = "text", around: int = 40) -> DataFrame:
+    """(key, item, start, snippet): the first place of each quoted text, from 1, and the text around it."""
+    found = quoting(docs.select(key, text), key, items.select(item_key, text), item_key, text).distinct()
+    rows = found.join(docs.select(key, F.col(text).alias("__text")), key).join(items.select(item_key, F.col(text).alias("__item")), item_key)
+    start = F.instr(F.col("__text"), F.col("__item"))
+    begin = F.greatest(F.lit(1), start - around)
+    snippet = F.substr("__text", begin, F.length("__item") + around + F.least(F.lit(around), start - 1))
+    return rows.select(key, item_key, start.cast("long").alias("start"), snippet.alias("snippet"))
 
 
 def hashed_embedding(rows: DataFrame, key: str, text: str, dims: int = DIMS) -> DataFrame:

@@ -76,31 +76,6 @@ def answered(found: DataFrame, questions: DataFrame, query_key: str, least: floa
     return rows.select(query_key, F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), "best", F.when(enough, "OK").otherwise("INSUFFICIENT_EVIDENCE").alias("status"))
 
 
-def batches(rows: DataFrame, part: str, key: str, size: str, most_rows: int, most_size: int) -> DataFrame:
-    """(part, key, batch): consecutive rows of a part in batches of at most so many rows and so much size, greedily; a row
-    that is larger by itself stands alone. Only keys and sizes are looked at, one row after the other."""
-    import pandas as pd
-
-    kinds = rows.schema
-
-    def run(frames):
-        state: tuple | None = None
-        for f in frames:
-            out = []
-            for p, s in zip(f[part], f[size], strict=True):
-                if state is None or state[0] != p:
-                    state = (p, 0, 1, s)
-                elif state[2] + 1 > most_rows or state[3] + s > most_size:
-                    state = (p, state[1] + 1, 1, s)
-                else:
-                    state = (p, state[1], state[2] + 1, state[3] + s)
-                out.append(state[1])
-            yield pd.DataFrame({part: f[part], key: f[key], "batch": out})
-
-    schema = f"{part} {kinds[part].dataType.simpleString()}, {key} {kinds[key].dataType.simpleString()}, batch long"
-    return rows.select(part, key, size).repartition(part).sortWithinPartitions(part, key).mapInPandas(run, schema)
-
-
 def fact(value: Column, *needs: Column) -> Column:
     """(value, status): KNOWN, or UNKNOWN and null if the value or any fact that it was derived from is unknown."""
     known = reduce(and_, (n["status"] == "KNOWN" for n in needs), value.isNotNull())

@@ -82,3 +82,49 @@ def guarded_read(spark: SparkSession, d: str) -> DataFrame:
 @query("period_read", f"WITH {REPORTS} SELECT record_id, day FROM reports WHERE day BETWEEN DATE '1995-04-01' AND DATE '1995-06-30'")
 def period_read(spark: SparkSession, d: str) -> DataFrame:
     return reports(spark, d).where(parse("changes in Q2 1995").predicate("day")).select("record_id", "day")
+
+
+_STATES = """s AS (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders),
+one AS (SELECT id, CASE WHEN id % 13 <> 0 THEN status END AS status, price FROM s WHERE id % 10 <> 0),
+three AS (SELECT id, CASE WHEN id % 7 = 0 THEN 'X' WHEN id % 13 <> 0 OR id % 2 = 0 THEN status END AS status, price + CASE WHEN id % 5 = 1 THEN 1 ELSE 0 END AS price FROM s WHERE id % 9 <> 0)"""
+
+
+def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three states of a table: rows come, go, and go back to what they were; nulls become values and values null."""
+    i, status = F.col("id"), F.col("status")
+    s = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    price = lambda n: (F.col("price") + n).cast("decimal(18,2)").alias("price")
+    one = s.filter("id % 10 <> 0").select("id", F.when(i % 13 != 0, status).alias("status"), "price")
+    two = s.filter("id % 4 <> 0").select("id", F.when(i % 3 == 0, "Z").otherwise(status).alias("status"), price(F.when(i % 2 == 0, 5).otherwise(0)))
+    three = s.filter("id % 9 <> 0").select("id", F.when(i % 7 == 0, "X").when((i % 13 != 0) | (i % 2 == 0), status).alias("status"), price(F.when(i % 5 == 1, 1).otherwise(0)))
+    return one, two, three
+
+
+@query(
+    "changes_between",
+    f"""WITH {_STATES}, j AS (SELECT one.id AS a, three.id AS b, one.status AS sa, three.status AS sb, one.price AS pa, three.price AS pb, concat_ws(',', CASE WHEN one.status IS DISTINCT FROM three.status THEN 'status' END, CASE WHEN one.price IS DISTINCT FROM three.price THEN 'price' END) AS changed FROM one FULL JOIN three ON one.id = three.id)
+SELECT b AS id, sb AS status, CAST(pb AS DECIMAL(18,2)) AS price, 'insert' AS change, '' AS changed FROM j WHERE a IS NULL UNION ALL SELECT a, sa, pa, 'delete', '' FROM j WHERE b IS NULL
+UNION ALL SELECT a, sa, pa, 'update_preimage', changed FROM j WHERE a = b AND changed <> '' UNION ALL SELECT b, sb, CAST(pb AS DECIMAL(18,2)), 'update_postimage', changed FROM j WHERE a = b AND changed <> ''""",
+)
+def changes_between(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader of the first version has to replay to have the third: both steps' changes are written to a feed and
+    read as one."""
+    from tallyforge.operators import changes
+    from tallyforge.staging import shared_folder
+
+    feed, states = shared_folder(spark), _states(spark, d)
+    for version in (2, 3):
+        changes.record(changes.changes(*states[version - 2 : version], ["id"]), feed, version)
+    return changes.between(spark.read.parquet(feed), ["id"], 1, 3).withColumn("changed", F.array_join("changed", ","))
+
+
+@query(
+    "tree_differences",
+    f"WITH {_STATES} SELECT coalesce(one.id, three.id) AS id, CASE WHEN three.id IS NULL THEN 'MISSING' WHEN one.id IS NULL THEN 'UNEXPECTED' ELSE 'MISMATCH' END AS status FROM one FULL JOIN three ON one.id = three.id WHERE one.id IS NULL OR three.id IS NULL OR one.status IS DISTINCT FROM three.status OR one.price <> three.price",
+)
+def tree_differences(spark: SparkSession, d: str) -> DataFrame:
+    """The rows in which two states differ, looked for in ranges of keys whose digests differ."""
+    from tallyforge.operators import merkle
+
+    one, _, three = _states(spark, d)
+    return merkle.differences(one, three, ["id"])

@@ -156,3 +156,50 @@ def manifest_reconciled(spark: SparkSession, d: str) -> DataFrame:
     i = table(spark, d, "documents").select(F.col("doc_id").alias("i"), (F.col("n_chars") > 1500).cast("int").alias("iq"))
     status = F.when(F.col("m").isNull(), "DOCUMENT_ONLY").when(F.col("i").isNull(), "MANIFEST_ONLY").when(F.col("mq") == F.col("iq"), "CONFIRMED").otherwise("CONFLICT")
     return m.join(i, F.col("m") == F.col("i"), "full").select(F.coalesce("m", "i").alias("doc_id"), status.alias("status"))
+
+
+_WORDS = "list_sort(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_size % 5), '([\\p{L}\\p{N}]+)')))"
+
+
+@query(
+    "similar_names",
+    f"""WITH s AS (SELECT p_brand, {_WORDS} AS w, min(p_partkey) AS k FROM part GROUP BY ALL),
+j AS (SELECT a.p_brand, a.k AS key_a, b.k AS key_b, len(list_intersect(a.w, b.w)) AS shared, len(a.w) AS size_a, len(b.w) AS size_b FROM s a JOIN s b ON a.p_brand = b.p_brand AND a.k < b.k)
+SELECT p_brand, key_a, key_b, shared, size_a, size_b, round(shared::DOUBLE / (size_a + size_b - shared), 6) AS similarity FROM j WHERE shared >= 0.7 * (size_a + size_b - shared)""",
+)
+def similar_names(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions of a brand's parts that share at least 0.7 of their words."""
+    from tallyforge.operators import similarity
+
+    name = F.concat_ws(" ", "p_name", "p_type", "p_brand", (F.col("p_size") % 5).cast("string"))
+    found = similarity.similar(table(spark, d, "part").withColumn("name", name), ["p_brand"], "p_partkey", "name", 0.7)
+    return found.select("p_brand", "key_a", "key_b", *(F.col(c).cast("long").alias(c) for c in ("shared", "size_a", "size_b")), "similarity")
+
+
+_PRINTED = "p_name || CASE WHEN p_partkey % 5 = 0 THEN ' - ' ELSE ', ' END || p_type || CASE WHEN p_partkey % 7 = 0 THEN ' of size ' || p_size ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ' (Number, Custom)' ELSE '' END"
+
+
+@query(
+    "name_matches",
+    f"""WITH n AS (SELECT p_brand, p_partkey AS k, trim(regexp_replace(lower(regexp_replace({_PRINTED}, '(?:\s*\([^()]*\))+\s*$', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS base FROM part)
+SELECT a.p_brand, a.k AS key_a, b.k AS key_b, CASE WHEN a.base = b.base THEN 'SAME_BASE' ELSE 'PREFIX' END AS reason FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.k < b.k
+WHERE a.base = b.base OR (least(length(a.base), length(b.base)) >= 12 AND (starts_with(a.base, b.base) OR starts_with(b.base, a.base)))""",
+)
+def name_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Printed names of a brand's parts that are equal but for units and punctuation, or of which one begins the other."""
+    from tallyforge.operators import similarity
+
+    key = F.col("p_partkey")
+    name = F.concat(F.col("p_name"), F.when(key % 5 == 0, " - ").otherwise(", "), F.col("p_type"), F.when(key % 7 == 0, F.concat(F.lit(" of size "), F.col("p_size").cast("string"))).otherwise(""), F.when(key % 3 == 0, " (Number, Custom)").otherwise(""))
+    return similarity.possible_matches(table(spark, d, "part").withColumn("name", name), ["p_brand"], "p_partkey", "name", 12)
+
+
+@query(
+    "phrase_hits",
+    "SELECT doc_id, item_id, instr(d.text, b.text) AS start, substr(d.text, greatest(1, instr(d.text, b.text) - 40), length(b.text) + 40 + least(40, instr(d.text, b.text) - 1)) AS snippet FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+)
+def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document quotes a benchmark item, with the text around it."""
+    from tallyforge.operators import retrieval
+
+    return retrieval.phrase_hits(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")

@@ -62,12 +62,15 @@ def report_ratings(spark: SparkSession, d: str) -> DataFrame:
 )
 def risk_category_ratings(spark: SparkSession, d: str) -> DataFrame:
     """A table that goes on after a page break, with a category printed twice."""
-    o = _orders(spark, d)
-    now, before = F.col("now"), F.col("before")
-    rows = _rows(o, (1, 1, _c("Risk Category", "Rating at Approval", "Previous Rating", "Current Rating")), (1, 1, _c("Political and Governance", now, before, now)), (2, 2, _c(" Fiduciary", now, before, now)), (2, 2, _c("Political and Governance", before, before, before)))
+    rows = risk_category_rows(_orders(spark, d))
     return g.rated_rows(rows, {"Political": "POLITICAL", "Fiduciary": "FIDUCIARY"}, {"at_approval": "approval", "previous": "previous", "current": "current"}).drop("page")
 
 
+def risk_category_rows(o: DataFrame) -> DataFrame:
+    now, before = F.col("now"), F.col("before")
+    return _rows(o, (1, 1, _c("Risk Category", "Rating at Approval", "Previous Rating", "Current Rating")), (1, 1, _c("Political and Governance", now, before, now)), (2, 2, _c(" Fiduciary", now, before, now)), (2, 2, _c("Political and Governance", before, before, before)))
+
+
 @query(
     "report_key_dates",
     "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders) SELECT o_orderkey AS document_id, day AS approval, day + 30 AS signing, CASE WHEN o_orderkey % 3 > 0 THEN day + 60 END AS effectiveness, day + 1000 AS original_closing, day + 1400 AS current_closing FROM o",
@@ -113,9 +116,12 @@ UNION ALL SELECT o_orderkey, 3, 'Component ' || o_orderstatus, 'Bridges', '1|2|'
 )
 def result_rows(spark: SparkSession, d: str) -> DataFrame:
     """Two rows of a wide table: group above a page break, comments below a row, and one row's values in one cell."""
-    o = _orders(spark, d)
+    return results_of(wide_result_rows(_orders(spark, d)))
+
+
+def wide_result_rows(o: DataFrame) -> DataFrame:
     key = F.col("o_custkey").cast("string")
-    rows = _rows(
+    return _rows(
         o,
         (1, 1, _c(F.concat(F.lit("Component "), F.col("o_orderstatus")), "", "", "", "")),
         (2, 1, _c("Roads", "10", key, "30", "40")),
@@ -123,6 +129,9 @@ def result_rows(spark: SparkSession, d: str) -> DataFrame:
         (3, 2, _c("Comments again", "", "", "", "")),
         (3, 2, _c("Bridges", "", F.concat(F.lit("1 2  "), key, F.lit(" 4")), "", "")),
     )
+
+
+def results_of(rows: DataFrame) -> DataFrame:
     top, sub = _c("Baseline", "", "End Target", " "), _c("Value", "Date", "Value", "Date")
     out = g.wide_rows(rows, 4).select("document_id", "page", "grp", "name", F.array_join("values", "|").alias("values"), "comments")
     return out.withColumn("kind", g.table_kind(_c("Indicator", "Baseline", "Target"))).withColumn("roles", F.array_join(g.roles_of_header(top, sub), ","))
@@ -168,9 +177,15 @@ UNION ALL SELECT o_orderkey, 2, 'Risk B', o_orderstatus, 'Fiduciary', 'Substanti
 )
 def risk_tables(spark: SparkSession, d: str) -> DataFrame:
     """A table that goes on where the next page has one of the same width, a fragment row, and the section's title."""
-    o = _orders(spark, d)
+    return risks_of(risk_rows(_orders(spark, d)))
+
+
+def risk_rows(o: DataFrame) -> DataFrame:
     gap = F.when(F.col("odd"), 4).otherwise(2)
-    rows = _rows(o, (1, 1, _c("Risk description", "Mitigation measures")), (1, 1, _c(F.concat(F.lit("Risk A of "), F.col("o_orderkey").cast("string")), F.col("o_orderpriority"))), (1, 1, _c("", "more")), (gap, 2, _c("Risk B", F.col("o_orderstatus"))), (gap, 3, _c("x", "y", "z")))
+    return _rows(o, (1, 1, _c("Risk description", "Mitigation measures")), (1, 1, _c(F.concat(F.lit("Risk A of "), F.col("o_orderkey").cast("string")), F.col("o_orderpriority"))), (1, 1, _c("", "more")), (gap, 2, _c("Risk B", F.col("o_orderstatus"))), (gap, 3, _c("x", "y", "z")))
+
+
+def risks_of(rows: DataFrame) -> DataFrame:
     found = g.continued(rows, {"description": "(?i)risk", "mitigation": "(?i)mitigation"}).drop("row_no")
     return found.withColumn("t", g.titled_risk(F.lit("Fiduciary Risks (Substantial)"))).select("document_id", "page", "description", "mitigation", "t.category", "t.rating")
 
@@ -185,8 +200,16 @@ _EVENTS = "CASE WHEN o_orderkey % 3 = 0 THEN 'CONFIRMED' WHEN o_orderkey % 3 = 1
 def paper_events(spark: SparkSession, d: str) -> DataFrame:
     """Flags as Yes/No and as ticks, and what the tables of the paper show."""
     o = _orders(spark, d)
+    return events_of(o, change_rows(o))
+
+
+def change_rows(o: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _rows(o, (1, 1, _c("Change in Closing Date", F.when(k % 3 < 2, "Yes").otherwise("No"), "")), (1, 1, F.when(k % 2 == 0, _c("Cancellation of Loan", "", "")).otherwise(_c("Cancellation of Loan", "✔", ""))), (2, 1, _c("Cancellation of Loan", "✔", "✔")))
+
+
+def events_of(o: DataFrame, rows: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = _rows(o, (1, 1, _c("Change in Closing Date", F.when(k % 3 < 2, "Yes").otherwise("No"), "")), (1, 1, F.when(k % 2 == 0, _c("Cancellation of Loan", "", "")).otherwise(_c("Cancellation of Loan", "✔", ""))), (2, 1, _c("Cancellation of Loan", "✔", "✔")))
     flags = g.change_flags(rows, {"Change in Closing": "CLOSING_DATE", "Cancellation": "CANCELLATION"})
     found = o.select("document_id", F.explode(F.array_compact(F.array(F.when(k % 3 != 1, "CLOSING_DATE"), F.when(k % 2 == 0, "CANCELLATION")))).alias("type"))
     return g.flagged_events(flags, found)

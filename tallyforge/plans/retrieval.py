@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.catalog import query, table
 from tallyforge.functions.text import EMBEDDING_STOPWORDS
-from tallyforge.operators import chunking
+from tallyforge.operators import chunking, lexical
 from tallyforge.operators import retrieval as r
 from tallyforge.plans.scalars import TOKENS
 
@@ -20,15 +20,23 @@ lex AS (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PAR
 
 
 def _lexical(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return r.bm25(docs, "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", k)
+    index = lexical.kept(table(spark, d, "documents"), "doc_id", "text")
+    return lexical.search(spark, index, table(spark, d, "benchmark"), "item_id", "text", k).withColumnRenamed("doc", "doc_id")
 
 
 @query("bm25_top_k", f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM lex")
 def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item's best documents, from an index that is kept."""
     return _lexical(spark, d).withColumn("score", F.round("score", 6))
 
 
+@query("bm25_scanned", f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM lex")
+def bm25_scanned(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index: one pass over the texts for all questions."""
+    found = r.bm25(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", 10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 _NEAR = "near AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS vlabel, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near QUALIFY rank <= 10)"
 
 
@@ -93,12 +101,12 @@ def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("structured_chunks")
 def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(table(spark, d, "documents"), "doc_id", "text", chunking.structured)
+    return chunking.chunks(table(spark, d, "documents"), "doc_id", "text", structure=True)
 
 
 @query("parent_chunks")
 def parent_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.parents(chunking.chunks(table(spark, d, "documents"), "doc_id", "text", chunking.structured), "doc_id")
+    return chunking.parents(chunking.chunks(table(spark, d, "documents"), "doc_id", "text", structure=True), "doc_id")
 
 
 _PLAIN = ", ".join(f"'{w}'" for w in EMBEDDING_STOPWORDS)

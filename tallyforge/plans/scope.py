@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.catalog import query, table
 from tallyforge.operators import scope as sc
+from tallyforge.operators.prefix import packed
 
 _CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, doc_id % 5 AS project_id, CASE WHEN doc_id % 7 = 0 THEN 'PARENT' ELSE 'RETRIEVAL' END AS chunk_role, source AS document_type, doc_id // 10 AS document_id, doc_id % 12 AS isr_sequence, CASE WHEN doc_id % 6 > 0 THEN DATE '2010-01-01' + CAST(doc_id % 3000 AS INTEGER) END AS document_date, (doc_id // 7) * 7 AS parent_chunk_id, text AS chunk_text FROM documents)"
 
@@ -73,7 +74,7 @@ SELECT lang, doc_id, batch FROM b"""
 @query("planned_batches", _BATCHES)
 def planned_batches(spark: SparkSession, d: str) -> DataFrame:
     """Texts in batches of at most 4 and 4,000 characters."""
-    return sc.batches(table(spark, d, "documents"), "lang", "doc_id", "n_chars", 4, 4000)
+    return packed(table(spark, d, "documents"), ["lang"], "doc_id", "n_chars", 4, 4000).select("lang", "doc_id", "batch")
 
 
 @query(

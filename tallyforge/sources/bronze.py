@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.functions.records import loan_number, quoted_name, quoted_text
+from tallyforge.operators.merkle import root
 from tallyforge.sources.files import read_csv, scoped
 
 
@@ -52,11 +53,10 @@ def ingest(spark: SparkSession, sources: dict[str, tuple[str, Callable[[SparkSes
 
 
 def manifest(files: DataFrame) -> tuple[DataFrame, str]:
-    """The (path, size, sha256) of an inventory, and the snapshot's identity: a digest that follows from its paths and
-    contents alone, whatever their order."""
+    """The (path, size, sha256) of an inventory, and the snapshot's identity: the root of a hash tree over its paths and
+    contents, whatever their order."""
     rows = files.select("path", "size", "sha256")
-    one = rows.select(F.sha2(F.concat_ws("|", "path", F.col("size").cast("string"), "sha256"), 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)).first()[0]
-    return rows, one
+    return rows, root(rows, ["path"])
 
 
 def to_parse(files: DataFrame, parsed: DataFrame, config_hash: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,29 +30,45 @@ def resolve_header(rows: list[list[str | None]], aliases: dict[str, tuple[str, .
     raise ValueError(f"no header row has {', '.join(best)}")
 
 
-def read_csv(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]], required: tuple[str, ...]) -> DataFrame:
-    """A CSV's fields as text, its unmapped columns as a map, and its file; banner, header and second header rows go.
+def numbered_records(raw: DataFrame) -> DataFrame:
+    """``raw``, read from text files, with (_file, _record): each record's number in its file, from 1.
 
-    Only the first rows come to the driver, to find the header; the rest is read by executors. Rows of which all fields
-    are blank go. A byte order mark is dropped.
+    A file is read in blocks by many tasks. The records of each block are counted, the counts of the blocks before it are
+    summed, and a record's number is that sum and its place in its block. Only blocks of a file meet in a task.
+    """
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__order"))
+    counts = rows.groupBy("_file", "__block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_file").alias("__f"), F.col("__block").alias("__b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    # ids grow in the order in which a task reads; a block is read by one task
+    inside = F.row_number().over(Window.partitionBy("_file", "__block").orderBy("__order"))
+    rows = rows.withColumn("__inside", inside).join(starts, (F.col("_file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    return rows.withColumn("_record", (F.col("__start") + F.col("__inside")).cast("long")).drop("__block", "__order", "__inside", "__f", "__b", "__start")
+
+
+def read_csv(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]], required: tuple[str, ...], multiline: bool = True) -> DataFrame:
+    """A CSV's fields as text, its unmapped columns as a map, its file and each record's number in it; banner, header and
+    second header rows go by their place in the file, blank rows wherever they stand.
+
+    Only the first rows come to the driver, to find the header; the rest is read by executors. A byte order mark is
+    dropped. ``multiline``: a quoted field may hold line breaks, so a file is read by one task; without, files are read
+    in blocks. Records are counted as Spark reads them: lines without any character are none.
     """
     # a banner of fewer cells must not decide how many columns there are
     lines = [r[0] for r in spark.read.text(path).limit(HEAD).collect()]
     width = max((len(r) for r in csv.reader(io.StringIO("\n".join(lines)))), default=1)
-    raw = spark.read.schema(", ".join(f"_c{i} string" for i in range(max(1, width)))).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
-    head = [[(v or "").removeprefix("﻿") for v in r] for r in raw.limit(HEAD).collect()]
-    at, fields, rest = resolve_header(head, aliases, required)
-    drop = {tuple(r) for r in head[: at + 1]}
+    raw = spark.read.schema(", ".join(f"_c{i} string" for i in range(max(1, width)))).option("header", False).option("multiLine", multiline).option("escape", '"').csv(path)
     names = raw.columns
-    clean = [F.coalesce(F.regexp_replace(F.col(c), "^﻿", ""), F.lit("")) for c in names]
+    head = [[(v or "").removeprefix("\ufeff") for v in r] for r in raw.limit(HEAD).collect()]
+    at, fields, rest = resolve_header(head, aliases, required)
+    clean = [F.coalesce(F.regexp_replace(F.col(c), "^\ufeff", ""), F.lit("")) for c in names]
     unmapped = F.map_from_entries(F.array(*(F.struct(F.lit(h).alias("k"), F.col(names[i]).alias("v")) for h, i in rest.items()))) if rest else F.create_map().cast("map<string,string>")
-    rows = raw.withColumn("_file", F.col("_metadata.file_path"))
-    is_head = F.concat_ws("\u001f", *clean).isin(*("\u001f".join(r) for r in drop))
-    second = F.lit(True)
+    second = F.col("_record") == at + 2  # a second header repeats the names right below the first
     for f, i in fields.items():
         second &= F.lower(F.trim(F.coalesce(F.col(names[i]), F.lit("")))).isin(_folded(f), *(_folded(a) for a in aliases[f]))
     blank = F.concat_ws("", *(F.trim(c) for c in clean)) == ""
-    return rows.filter(~is_head & ~second & ~blank).select(*(F.col(names[i]).cast("string").alias(f) for f, i in fields.items()), unmapped.alias("_extra_fields"), "_file")
+    rows = numbered_records(raw).filter((F.col("_record") > at + 1) & ~second & ~blank)
+    return rows.select(*(F.col(names[i]).cast("string").alias(f) for f, i in fields.items()), unmapped.alias("_extra_fields"), "_file", "_record")
 
 
 def scoped(rows: DataFrame, column: str, ids: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -112,11 +112,15 @@ def test_sources(spark, tmp_path):
 
 def test_chunks_and_fusion(spark):
     body = " ".join(f"word{i}" for i in range(1000))
-    parts = chunking.fixed(body)
+    cut = spark.createDataFrame([(1, body), (2, "x" * 3000), (3, ""), (4, None)], "i int, t string").orderBy("i").select(chunking.fixed(F.col("t")).alias("c")).collect()
+    parts = cut[0]["c"]
     assert max(map(len, parts)) <= chunking.SIZE and set(" ".join(parts).split()) == set(body.split())
-    assert chunking.fixed("x" * 3000)[0] == "x" * 1200
+    assert all(len(set(a.split()) & set(b.split())) > 10 for a, b in zip(parts, parts[1:], strict=False))
+    assert cut[1]["c"] == ["x" * 1200, "x" * 1200, "x" * 600] and cut[2]["c"] == cut[3]["c"] == []
+    assert chunking.row_groups(["Name", "Value", "a 1", "b 2", "c 3", "d 4"], 22) == ["Name\nValue\na 1\nb 2\nc 3", "Name\nValue\nd 4"]
+    assert chunking.row_groups(["Name", "Value", "a 1", "b 2", "c 3"], 20) == ["Name\nValue\na 1\nb 2", "c 3"] and chunking.row_groups(["Name"]) == ["Name"]
     docs = spark.createDataFrame([(1, body), (2, None), (3, "short")], "id int, t string")
-    made = chunking.chunks(docs, "id", "t", chunking.structured)
+    made = chunking.chunks(docs, "id", "t", structure=True)
     assert {r["id"] for r in made.collect()} == {1} and chunking.parents(made, "id").agg(F.max("parent_no")).first()[0] == 2
     a = spark.createDataFrame([("q", 1, 1), ("q", 2, 2)], "q string, d int, rank long")
     b = spark.createDataFrame([("q", 2, 1), ("q", 3, 2)], "q string, d int, rank long")
@@ -158,21 +162,30 @@ def test_extraction(spark):
     assert [r["c"] for r in x.carried(rows, ["k"], "o", F.col("v"), "c").orderBy("k", "o").collect()] == ["h", "h", "g", None]
 
 
-def test_fixed_chunks_against_brute_force():
-    """Whatever the text, chunks are its own pieces in order, none too long; nothing but white space is between them."""
+def test_fixed_chunks_against_brute_force(spark):
+    """Whatever the text, chunks are its own pieces in order, none too long; nothing but white space is between them; a piece
+    ends at the last white space of its second half, if there is one."""
     import random
 
     rng = random.Random(11)
-    for _ in range(300):
-        body = "".join(rng.choice("  \n") if rng.random() < 0.3 else chr(0x4E00 + i) for i in range(rng.randrange(400)))  # no piece stands twice
-        size, overlap = rng.randrange(20, 90), rng.randrange(0, 9)
-        at = covered = 0
-        for piece in chunking.fixed(body, size, overlap):
-            start = body.find(piece, at)
-            assert 0 < len(piece) <= size and start >= 0
-            assert start <= covered or not body[covered:start].strip()
-            at, covered = start, max(covered, start + len(piece))
-        assert not body[covered:].strip()
+    for size, overlap in ((20, 0), (47, 8), (90, 3), (64, 20)):
+        bodies = []
+        for _ in range(80):
+            body = ""
+            for i in range(rng.randrange(400)):  # no character stands twice, and no two white spaces stand together
+                body += rng.choice(" \n") if body and not body[-1].isspace() and rng.random() < rng.choice([0.02, 0.3]) else chr(0x4E00 + i)
+            bodies.append(body)
+        found = spark.createDataFrame([(b,) for b in bodies], "t string").select("t", chunking.fixed(F.col("t"), size, overlap).alias("c")).collect()
+        for body, pieces in found:
+            at = covered = 0
+            for piece in pieces:
+                start = body.find(piece, at)
+                assert 0 < len(piece) <= size and start >= 0
+                assert start <= covered or not body[covered:start].strip()
+                end = start + len(piece)
+                assert end >= len(body.rstrip()) or body[end].isspace() or not any(c.isspace() for c in body[start + size // 2 + 1 : start + size])
+                at, covered = start, max(covered, end)
+            assert not body[covered:].strip()
 
 
 def test_parents_against_a_loop(spark):
