@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.staging import shared_folder, staged
+
 
 def words_of(c: Column) -> Column:
     """The distinct words of a name, sorted: runs of lower-case letters and digits."""
@@ -31,6 +33,7 @@ def similar(rows: DataFrame, block: list[str], key: str, name: str, threshold: f
     each = sets.select(*block, "__key", F.explode("__w").alias("__word"))
     rarity = each.groupBy("__word").agg(F.count(F.lit(1)).alias("__df"))
     ordered = each.join(rarity, "__word").groupBy(*block, "__key").agg(F.transform(F.array_sort(F.collect_list(F.struct("__df", "__word"))), lambda x: x["__word"]).alias("__w"))
+    ordered = staged(ordered, shared_folder(rows.sparkSession), "ordered-words")  # both sides of both joins read it
     n = F.size("__w")
     # the least overlap, as a whole number; a hair less than t * n, since that is computed
     prefix = F.slice("__w", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
