@@ -1,3 +1,3 @@
 """Modules that register queries when imported."""
 
-from tallyforge.plans import aggregates, evaluation, extraction, gold, governance, joins, parsed, quality, reports, retrieval, scalars, scope, series, silver, streams, texts, tools  # noqa: F401
+from tallyforge.plans import aggregates, evaluation, extraction, gates, gold, governance, joins, parsed, quality, reports, retrieval, scalars, scope, series, silver, streams, texts, tools  # noqa: F401
