@@ -162,14 +162,7 @@ def hashed_embedding(rows: DataFrame, key: str, text: str, dims: int = DIMS) ->
     """(key, dim, weight): a normalised hashed lexical embedding as sparse rows: words but stop words weigh 1, their
     character 3- and 4-grams with borders half."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*EMBEDDING_STOPWORDS))
-    feature = lambda prefix, t, x: F.struct(F.concat(F.lit(prefix), t).alias("t"), F.lit(x).alias("x"))
-
-    def grams(w: Column, n: int) -> Column:
-        padded = F.concat(F.lit("#"), w, F.lit("#"))
-        starts = F.filter(F.sequence(F.lit(1), F.length(w)), lambda i: i + n - 1 <= F.length(padded))
-        return F.transform(starts, lambda i: feature(f"c{n}:", F.substr(padded, i, F.lit(n)), 0.5))
-
-    features = F.flatten(F.transform(words, lambda w: F.concat(F.array(feature("w:", w, 1.0)), grams(w, 3), grams(w, 4))))
+    features = F.flatten(F.transform(words, _word_features))
     flat = rows.select(key, F.explode(features).alias("f"))
     dim = F.conv(F.substring(F.sha1(F.col("f.t")), 1, 8), 16, 10).cast("long") % dims
     sums = flat.groupBy(key, dim.alias("dim")).agg(F.sum("f.x").alias("x"))
@@ -177,6 +170,33 @@ def hashed_embedding(rows: DataFrame, key: str, text: str, dims: int = DIMS) ->
     return sums.select(key, "dim", F.round(F.col("x") / norm, 6).alias("weight"))
 
 
+def hashed_vectors(rows: DataFrame, key: str, text: str, dims: int = 256) -> DataFrame:
+    """(key, vector): the hashed lexical embedding of few dimensions as an array, not normalised, so that its numbers are exact.
+    Each distinct word is hashed once for all texts; texts without words have no row. Keys are unique and not null."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*EMBEDDING_STOPWORDS))
+    counted_ = rows.select(F.col(key).alias("__key"), F.explode(words).alias("word")).groupBy("__key", "word").agg(F.count(F.lit(1)).alias("n"))
+    parts = _word_features(F.col("word"))
+    known = counted_.select("word").distinct().select("word", F.explode(parts).alias("f"))
+    dim = (F.conv(F.substring(F.sha1(F.col("f.t")), 1, 8), 16, 10).cast("long") % dims).cast("int")
+    known = known.groupBy("word", dim.alias("dim")).agg(F.sum("f.x").alias("x"))
+    sums = counted_.join(known, "word").groupBy("__key", "dim").agg(F.sum(F.col("n") * F.col("x")).alias("x"))
+    held = sums.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))  # at most dims entries
+    each = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return held.select(F.col("__key").alias(key), each.alias("vector"))
+
+
+def _word_features(word: Column) -> Column:
+    """A word's features with their weights: itself, and its character 3- and 4-grams with borders."""
+    feature = lambda prefix, t, x: F.struct(F.concat(F.lit(prefix), t).alias("t"), F.lit(x).alias("x"))
+
+    def grams(n: int) -> Column:
+        padded = F.concat(F.lit("#"), word, F.lit("#"))
+        starts = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: i + n - 1 <= F.length(padded))
+        return F.transform(starts, lambda i: feature(f"c{n}:", F.substr(padded, i, F.lit(n)), 0.5))
+
+    return F.concat(F.array(feature("w:", word, 1.0)), grams(3), grams(4))
+
+
 def best_candidate(rows: DataFrame, keys: list[Column], rank: str) -> DataFrame:
     """One row for each group of alike candidates: the one with the best rank."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(rank))).filter("__n = 1").drop("__n")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.catalog import query, table
 from tallyforge.functions.text import EMBEDDING_STOPWORDS
-from tallyforge.operators import chunking, lexical
+from tallyforge.operators import changes, chunking, lexical, vectors
 from tallyforge.operators import retrieval as r
 from tallyforge.plans.scalars import TOKENS
+from tallyforge.staging import shared_folder, staged
 
 _TOK = TOKENS.replace("lower(text)", "lower(body)")
 _BM25 = f"""docs AS (SELECT doc_id, text AS body FROM documents), t AS (SELECT doc_id, {_TOK} AS w FROM docs), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
@@ -52,6 +53,22 @@ def dense_top_k(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d).select("query_id", "vec_id", "score", "rank")
 
 
+@query("vector_index_top_k", f"WITH {_NEAR} SELECT query_id, vec_id, score, rank FROM top")
+def vector_index_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a kept index of an older state, in which some vectors were missing, reversed or not yet gone, after it
+    followed the change feed to the table's state."""
+    now = table(spark, d, "embeddings").select("vec_id", "embedding")
+    k = F.col("vec_id")
+    reversed_ = F.when(k % 11 == 5, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding")).alias("embedding")
+    old = now.filter(k % 7 != 3).select("vec_id", reversed_).unionByName(now.filter(k % 13 == 0).select((-1 - k).alias("vec_id"), "embedding"))
+    folder = shared_folder(spark)
+    index = vectors.built(old, "vec_id", "embedding", f"{folder}/index")
+    changes.record(changes.changes(old, now, ["vec_id"]), f"{folder}/feed", 1)
+    vectors.sync(spark, index, spark.read.parquet(f"{folder}/feed"))
+    asked = now.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.search(spark, index, asked, "query_id", "embedding", 10, itself=False, places=6)
+
+
 @query(
     "knn_vote",
     f"WITH {_NEAR}, w AS (SELECT query_id, vlabel, sum(CAST(score AS DECIMAL(18,9))) AS weight FROM top WHERE score >= 0.05 GROUP BY ALL), s AS (SELECT *, sum(weight) OVER (PARTITION BY query_id) AS whole, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, vlabel) AS k FROM w) SELECT query_id, CASE WHEN round(weight::DOUBLE / whole::DOUBLE, 6) >= 0.3 THEN vlabel END AS vlabel, round(weight::DOUBLE / whole::DOUBLE, 6) AS share FROM s WHERE k = 1",
@@ -77,6 +94,34 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d).select("item_id", "doc_id", "score", "rank")
 
 
+_HASHED = """hw AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark),
+hc AS (SELECT side, id, w, count(*) AS c FROM (SELECT side, id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({}))) AS w FROM hw) GROUP BY ALL),
+hg AS (SELECT side, id, c, '#' || w || '#' AS w, n, unnest(range(1, len(w) + 4 - n)) AS i FROM hc, (VALUES (3), (4)) v(n)),
+hf AS (SELECT side, id, 'w:' || w AS t, 1.0::DOUBLE * c AS x FROM hc UNION ALL SELECT side, id, 'c' || n || ':' || substr(w, i, n), 0.5::DOUBLE * c FROM hg),
+he AS (SELECT side, id, CAST('0x' || substr(sha1(t), 1, 8) AS BIGINT) % 256 AS dim, sum(x) AS x FROM hf GROUP BY ALL), hn AS (SELECT side, id, sqrt(sum(x * x)) AS norm FROM he GROUP BY ALL),
+dense AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid AS item_id, did AS doc_id, round(dot / (qn.norm * dn.norm), 9) AS score FROM (SELECT q.id AS qid, d.id AS did, sum(q.x * d.x) AS dot FROM he q JOIN he d ON q.dim = d.dim WHERE q.side = 'q' AND d.side = 'd' GROUP BY ALL) p
+  JOIN hn qn ON qn.side = 'q' AND qn.id = qid JOIN hn dn ON dn.side = 'd' AND dn.id = did) QUALIFY rank <= 10)""".format(", ".join(f"'{w}'" for w in EMBEDDING_STOPWORDS))
+
+
+def _dense(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    """Every benchmark item's nearest documents by hashed embeddings of 256 dimensions, from a kept vector index."""
+    index = vectors.built(r.hashed_vectors(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "vector", f"{shared_folder(spark)}/index")
+    return vectors.search(spark, index, r.hashed_vectors(table(spark, d, "benchmark"), "item_id", "text"), "item_id", "vector", k)
+
+
+@query(
+    "hybrid_top_k",
+    f"WITH {_BM25}, {_HASHED}, f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(CASE WHEN list = 'l' THEN rank END) AS lexical_rank, min(CASE WHEN list = 'd' THEN rank END) AS dense_rank FROM (SELECT 'l' AS list, item_id, doc_id, rank FROM lex UNION ALL SELECT 'd', item_id, doc_id, rank FROM dense) GROUP BY item_id, doc_id) SELECT item_id, doc_id, score, lexical_rank, dense_rank, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10",
+)
+def hybrid_top_k(spark: SparkSession, d: str) -> DataFrame:
+    """A lexical and a dense list of each item fused, with the ranks that a document has in either."""
+    lists = {name: staged(df.select("item_id", "doc_id", "rank"), shared_folder(spark), name) for name, df in (("lexical", _lexical(spark, d)), ("dense", _dense(spark, d)))}
+    out = r.fused(list(lists.values()), "item_id", "doc_id", 10)
+    for name, df in lists.items():
+        out = out.join(df.withColumnRenamed("rank", f"{name}_rank"), ["item_id", "doc_id"], "left")
+    return out.select("item_id", "doc_id", "score", "lexical_rank", "dense_rank", "rank")
+
+
 @query(
     "ranking_metrics",
     f"""WITH {_BM25}, rel AS (SELECT item_id, doc_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)),
