@@ -173,16 +173,17 @@ def hashed_embedding(rows: DataFrame, key: str, text: str, dims: int = DIMS) ->
 def hashed_vectors(rows: DataFrame, key: str, text: str, dims: int = 256) -> DataFrame:
     """(key, vector): the hashed lexical embedding of few dimensions as an array, not normalised, so that its numbers are exact.
     Each distinct word is hashed once for all texts; texts without words have no row. Keys are unique and not null."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*EMBEDDING_STOPWORDS))
-    counted_ = rows.select(F.col(key).alias("__key"), F.explode(words).alias("word")).groupBy("__key", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = spread(rows.select(F.col(key).alias("__key"), text)).select("__key", F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
+    counted_ = words.filter(~F.col("word").isin(*EMBEDDING_STOPWORDS)).groupBy("__key", "word").agg(F.count(F.lit(1)).alias("n"))
     parts = _word_features(F.col("word"))
     known = counted_.select("word").distinct().select("word", F.explode(parts).alias("f"))
     dim = (F.conv(F.substring(F.sha1(F.col("f.t")), 1, 8), 16, 10).cast("long") % dims).cast("int")
     known = known.groupBy("word", dim.alias("dim")).agg(F.sum("f.x").alias("x"))
-    sums = counted_.join(known, "word").groupBy("__key", "dim").agg(F.sum(F.col("n") * F.col("x")).alias("x"))
-    held = sums.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"))  # at most dims entries
-    each = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return held.select(F.col("__key").alias(key), each.alias("vector"))
+    met = counted_.join(known, "word").select("__key", "dim", (F.col("n") * F.col("x")).alias("x"))
+    zeros = counted_.select("__key").distinct().select("__key", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim"), F.lit(0.0).alias("x"))
+    sums = met.unionByName(zeros).groupBy("__key", "dim").agg(F.sum("x").alias("x"))
+    held = sums.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("m"))  # a row each dimension
+    return held.select(F.col("__key").alias(key), F.col("m.x").alias("vector"))
 
 
 def _word_features(word: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import changes
 from tallyforge.operators.retrieval import ranked
+from tallyforge.staging import shared_folder, staged
 
 #: Vectors in a block at most, queries that meet a block at once, vectors that the centroids are fitted on, and rounds.
 BLOCK, TOGETHER, SAMPLE, ROUNDS = 1024, 256, 8192, 10
@@ -230,6 +231,7 @@ def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, query_ke
     scored = lambda rows: _scored(blocks, _packed(rows, query_type, TOGETHER, "q"), index, query_key, query_type, most, places)
     hits = scored(asked.mapInPandas(lambda b: lists_of(b, False), made))
     if exact and len(c) > probes:
+        hits = staged(hits, shared_folder(spark), "hits")  # read twice: for the bounds and for the answer
         last = ranked(hits, query_key, "key", most).filter(F.col("rank") == most).select(F.col(query_key).alias("key"), F.col("score").alias("floor"))
         hits = hits.unionByName(scored(asked.join(last, "key", "left").mapInPandas(lambda b: lists_of(b, True), made)))
     if not itself:

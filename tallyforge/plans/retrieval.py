@@ -105,8 +105,10 @@ dense AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER
 
 def _dense(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     """Every benchmark item's nearest documents by hashed embeddings of 256 dimensions, from a kept vector index."""
-    index = vectors.built(r.hashed_vectors(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "vector", f"{shared_folder(spark)}/index")
-    return vectors.search(spark, index, r.hashed_vectors(table(spark, d, "benchmark"), "item_id", "text"), "item_id", "vector", k)
+    folder = shared_folder(spark)
+    hashed = lambda name, key: staged(r.hashed_vectors(table(spark, d, name), key, "text"), folder, name)
+    index = vectors.built(hashed("documents", "doc_id"), "doc_id", "vector", f"{folder}/index")
+    return vectors.search(spark, index, hashed("benchmark", "item_id"), "item_id", "vector", k)
 
 
 @query(
