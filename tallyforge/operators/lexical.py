@@ -1,9 +1,8 @@
 """A lexical index that is kept: postings as Parquet, and BM25 search that reads those of the questions' terms only.
 
-Search is exact and prunes by maximal scores. A few of each question's rarest terms give a score that at least k documents
-reach. Terms whose greatest possible scores together stay below it are not essential: a document that holds only such
-terms is none of the k best. Candidates come from the essential terms' postings; the other terms only complete the scores
-of candidates, by term and document, so that frequent words never pair a question with all documents that hold them.
+Search is exact. Each posting of a term that is asked is shuffled once, whatever number of questions has the term, to the
+part of its document; ``retrieval.best_sums`` adds up a document's score for each question there and passes on k documents
+of each part, so that no pair of a question and a document, and no pair of those and a term, is ever a row.
 """
 
 from __future__ import annotations
@@ -11,18 +10,16 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.arrays import let
 from tallyforge.functions.text import search_tokens
-from tallyforge.operators.retrieval import FEW, K1, B, ranked
+from tallyforge.operators.retrieval import FEW, K1, PART, B, best_sums
 from tallyforge.staging import shared_folder, staged
 
 #: Postings are dealt to so many folders by their term's hash.
-BUCKETS = 32
-#: A question's rarest terms that together stand in about so many documents for each hit that is asked for are tried first.
-SEED = 8
+BUCKETS = 16
 #: Up to so many terms are named to the scan, which then skips row groups that hold none of them.
 NAMED = 256
 
@@ -41,7 +38,7 @@ def term_counts(tokens: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """Where an index lies: folders of postings (term, doc, tf, length) by bucket, and of terms (term, df, top); the number of
+    """Where an index lies: folders of postings (term, doc, tf, length) by bucket, and of terms (term, df, cf, number); the number of
     documents and their mean length."""
 
     folder: str
@@ -65,14 +62,17 @@ def build(corpus: DataFrame, key: str, text: str, folder: str) -> Index:
     unique."""
     spark = corpus.sparkSession
     path = f"{folder}/{uuid.uuid4().hex[:8]}"
-    tokens = F.coalesce(search_tokens(F.col(text)), F.array().cast("array<string>"))
-    docs = staged(corpus.select(F.col(key).alias("doc"), tokens.alias("t")).select("doc", F.size("t").alias("length"), term_counts(F.col("t")).alias("counts")), path, "vectors")
-    n, mean = docs.agg(F.count(F.lit(1)), F.avg("length")).first()
-    index = Index(path, n, mean or 1.0)
-    postings = docs.select("doc", "length", F.inline("counts")).withColumn("bucket", _bucket(F.col("term")))
-    postings.repartition("bucket", (F.xxhash64("term") % 64)).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    tokens = F.coalesce(search_tokens(F.col("text")), F.array().cast("array<string>"))
+    rows = corpus.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    n = rows.count()
+    # texts are shuffled, not their many postings: a task cuts, sorts and writes those of about PART documents
+    dealt = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-n // PART)), F.xxhash64("doc"))
+    postings = dealt.select("doc", tokens.alias("t")).select("doc", F.size("t").alias("length"), F.inline(term_counts(F.col("t")))).withColumn("bucket", _bucket(F.col("term")))
+    postings.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     kept = spark.read.schema(postings.schema).parquet(f"{path}/postings")
-    kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(index.part(F.col("tf"), F.col("length"))).alias("top")).write.parquet(f"{path}/terms")
+    kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).withColumn("number", F.monotonically_increasing_id()).write.parquet(f"{path}/terms")
+    total = spark.read.parquet(f"{path}/terms").agg(F.sum("cf")).first()[0] or 0
+    index = Index(path, n, total / n if total else 1.0)
     return index
 
 
@@ -80,27 +80,15 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, query_key: str
     """(query, doc, score, rank): the k best documents of each query by BM25, ties by document; only scores over zero."""
     asked = queries.select(query_key, F.explode(F.array_distinct(search_tokens(F.col(query_text)))).alias("term"))
     terms = asked.join(spark.read.parquet(f"{index.folder}/terms"), "term")
-    rarity = index.rarity(F.col("df"))
-    terms = staged(terms.select(query_key, "term", "df", rarity.alias("idf"), (rarity * F.col("top")).alias("most"), _bucket(F.col("term")).alias("bucket")), index.folder, "asked")
+    terms = staged(terms.select(query_key, "term", "number", index.rarity(F.col("df")).alias("idf"), _bucket(F.col("term")).alias("bucket")), index.folder, "asked")
     n = terms.count()
     small = F.broadcast if n <= FEW else lambda df: df
     postings = spark.read.parquet(f"{index.folder}/postings")
     postings = postings.filter(F.col("bucket").isin([r[0] for r in terms.select("bucket").distinct().collect()]))  # BUCKETS at most
     if n <= NAMED:
         postings = postings.filter(F.col("term").isin([r[0] for r in terms.select("term").distinct().collect()]))
-    score = F.col("idf") * index.part(F.col("tf"), F.col("length"))
-
-    per = Window.partitionBy(query_key)  # a row for each term of a query
-    before = F.coalesce(F.sum("df").over(per.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seeds = terms.withColumn("__before", before).filter(F.col("__before") < SEED * k).select(query_key, "term", "idf")
-    partial = postings.join(small(seeds), "term").groupBy(query_key, "doc").agg(F.sum(score).alias("score"))
-    floor = ranked(partial, query_key, "doc", k).filter(F.col("rank") == k).select(query_key, F.col("score").alias("floor"))
-    upto = F.sum("most").over(per.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    essential = terms.withColumn("__upto", upto).join(floor, query_key, "left").filter(F.col("__upto") >= F.coalesce("floor", F.lit(0.0)) - 1e-6)
-    found = postings.join(small(essential.select(query_key, "term")), "term").select(query_key, "doc").distinct()
-    wanted = found.join(small(terms.select(query_key, "term", "idf")), query_key)
-    full = postings.join(wanted, ["term", "doc"]).groupBy(query_key, "doc").agg(F.sum(score).alias("score"))
-    return ranked(full.filter("score > 0"), query_key, "doc", k)
+    parts = postings.join(small(terms.select("term", "number").distinct()), "term").select("doc", "number", index.part(F.col("tf"), F.col("length")).alias("part"))
+    return best_sums(parts, "doc", terms.select(query_key, "number", "idf"), query_key, k, index.documents)
 
 
 _kept: dict[tuple, Index] = {}
