@@ -59,3 +59,9 @@ def test_sums_in_small_steps(spark, monkeypatch):
     got = retrieval.best_sums(spark.createDataFrame([*parts, (None, 1, 1.0)], "d string, number long, part double"), "d", spark.createDataFrame([*asked, (None, 1, 1.0)], "q string, number long, idf double"), "q", 8, 90)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert retrieval.best_sums(spark.createDataFrame([], "d string, number long, part double"), "d", spark.createDataFrame(asked, "q string, number long, idf double"), "q", 8, 0).count() == 0
+
+
+def test_scan_pairs_no_question_with_a_document(spark):
+    docs = spark.createDataFrame([(i, f"red green blue x{i}") for i in range(400)], "d long, t string")
+    queries = spark.createDataFrame([(i, f"red green blue x{i}") for i in range(60)], "q long, x string")
+    assert shuffled_rows(spark, lambda: retrieval.bm25(docs, "d", "t", queries, "q", "x", 5).collect()) < 12_000
