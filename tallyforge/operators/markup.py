@@ -1,4 +1,4 @@
-"""Markup as rows: HTML texts to blocks of text and to cells of tables, with built-in expressions only.
+"""Markup as rows: HTML texts to blocks of text by built-in expressions, to cells of tables by one pass over a text's tokens.
 
 A text is cut into tokens: comments, scripts, tags and runs of text. Nesting is a running sum over the tags of tables; at
 each depth the last tag of a table, row, section or cell says what is open, so end tags that are missing, doubled or out
@@ -7,8 +7,11 @@ of place need no repair. What html says of malformed markup beyond that is not f
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 from html.entities import name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,37 +98,123 @@ def cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     next cell, row, section or its table's end comes; a cell outside a row begins one; a table that never ends goes on to
     the text's end. Text belongs to the cell of the innermost open table. A blank cell has an empty text.
     """
-    rows = _depth(tokens(pages, key, html), key)
-    upto = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    paged = F.when(~F.col("closes"), attribute(F.col("token"), "data-page").try_cast("int"))
-    opens = (F.col("tag") == "table") & ~F.col("closes")
-    rows = rows.withColumn("page", F.coalesce(F.last(F.when(F.col("tag").isNotNull(), paged), ignorenulls=True).over(upto), F.lit(1)))
-    rows = rows.withColumn("__table", F.sum(F.coalesce(opens.cast("int"), F.lit(0))).over(upto))
-    # a table's own tags and texts stand at its depth; its end tag leaves it
-    level = F.when((F.col("tag") == "table") & F.col("closes"), F.col("depth") + 1).otherwise(F.col("depth"))
-    at_level = Window.partitionBy(key, "level").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("level", level).withColumn("table_no", F.last(F.when(opens, F.col("__table")), ignorenulls=True).over(at_level)).filter("level > 0 and table_no is not null")
-    word = F.when(F.col("tag").isin(*_CELLS), F.when(F.col("closes"), "after").otherwise("cell")).when(F.col("tag") == "tr", F.when(F.col("closes"), "out").otherwise("row")).when(F.col("tag").isin(*_ENDS), "out")
-    in_table = Window.partitionBy(key, "table_no").orderBy("at")
-    rows = rows.withColumn("__word", word)
-    earlier = in_table.rowsBetween(Window.unboundedPreceding, -1)
-    # the end tag of a cell leaves its row as it is, open or not
-    before = F.last(F.when(F.col("__word") != "after", F.col("__word")), ignorenulls=True).over(earlier)
-    starts = (F.col("__word") == "row") | ((F.col("__word") == "cell") & F.coalesce(F.col("__before") == "out", F.lit(True)))
-    rows = rows.withColumn("__before", before).withColumn("__now", F.coalesce("__word", F.last("__word", ignorenulls=True).over(earlier)))
-    so_far = in_table.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("row_no", F.sum(F.coalesce(starts.cast("int"), F.lit(0))).over(so_far))
-    in_row = Window.partitionBy(key, "table_no", "row_no").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_cell = F.coalesce(F.col("__word") == "cell", F.lit(False))
-    rows = rows.withColumn("cell_no", F.sum(is_cell.cast("int")).over(in_row)).filter("cell_no > 0")
-    span = lambda name: F.greatest(F.lit(1), F.coalesce(F.max(F.when(is_cell, attribute(F.col("token"), name).try_cast("int"))), F.lit(1)))
-    inline = F.when(F.col("tag").isNull(), F.col("token")).when(F.col("tag").isin(*BLOCK_TAGS), " ").otherwise("")
-    text = _joined(F.when((F.col("__now") == "cell") & ~is_cell, inline).otherwise(""))
-    found = rows.groupBy(key, "table_no", "row_no", "cell_no").agg(F.min("page").alias("page"), F.max(F.when(is_cell, F.col("tag") == "th")).alias("is_head"), span("colspan").alias("colspan"), span("rowspan").alias("rowspan"), text.alias("t"))
-    columns = F.coalesce(F.sum("colspan").over(Window.partitionBy(key, "table_no", "row_no").orderBy("cell_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
-    long_ = lambda c: F.col(c).cast("long").alias(c)
-    found = found.withColumn("column_no", columns).withColumn("text", F.coalesce(collapse(decoded(F.col("t"))), F.lit("")))
-    return found.select(key, "page", *map(long_, ("table_no", "row_no", "cell_no", "column_no")), "is_head", "colspan", "rowspan", "text")
+    cut = F.coalesce(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    # a function of the row, so that rows stay where their keys were dealt to
+    rows = pages.select(key, F.inline(F.arrow_udf(_cells_of, _CELL)(cut)))
+    return rows.select(key, "page", "table_no", "row_no", "cell_no", "column_no", "is_head", "colspan", "rowspan", F.coalesce(collapse(decoded(F.col("t"))), F.lit("")).alias("text"))
+
+
+_CELL = "array<struct<page: int, table_no: bigint, row_no: bigint, cell_no: bigint, column_no: bigint, is_head: boolean, colspan: int, rowspan: int, t: string>>"
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)", re.ASCII)
+_WHOLE = re.compile(r"[+-]?[0-9]+\Z", re.ASCII)
+_ATTRIBUTES = {n: re.compile(rf"""\s{n}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.ASCII | re.IGNORECASE) for n in ("data-page", "colspan", "rowspan")}
+_BLANK = "".join(map(chr, [*range(33), 127]))
+
+
+def _number(tag: str, name: str) -> int | None:
+    """An attribute's value as Spark casts it to int, or null."""
+    found = _ATTRIBUTES[name].search(tag) if name in tag.lower() else None
+    value = next((g for g in found.groups() if g), "").strip(_BLANK) if found else ""
+    return int(value) if _WHOLE.match(value) and -(1 << 31) <= int(value) < 1 << 31 else None
+
+
+@lru_cache(1 << 12)
+def _tag(token: str) -> tuple:
+    """(tag, closes, word, data-page, colspan, rowspan) of a tag; ``word`` is what it does to a table's row. Null if it is
+    left out; the tag is null where the token is text."""
+    name = _NAME.match(token) if token.endswith(">") else None
+    tag, closes = name.group(1).lower() if name else None, token.startswith("</")
+    if token.startswith(("<!", "<?")) or tag in ("script", "style"):
+        return None
+    word = None
+    if tag in _CELLS:
+        word = "after" if closes else "cell"
+    elif tag == "tr":
+        word = "out" if closes else "row"
+    elif tag in _ENDS:
+        word = "out"
+    return tag, closes, word, *(_number(token, a) if tag and not closes else None for a in ("data-page", "colspan", "rowspan"))
+
+
+_TEXT = (None, False, None, None, None, None)
+
+
+def _text_cells(found: list[str]) -> list[list]:
+    """The cells of a text's tokens; see ``cells``."""
+    out, last, tables, depth, n, page = [], {}, {}, 0, 0, 1
+    for token in found:
+        got = _tag(token) if token[0] == "<" else _TEXT
+        if got is None:
+            continue
+        tag, closes, word, paged, wide, high = got
+        level = depth
+        if tag == "table":
+            if closes:
+                level, depth = max(depth, 1), max(depth - 1, 0)
+            else:
+                n, level = n + 1, depth + 1
+                depth, last[level] = level, n
+        page = page if paged is None else paged
+        if not level or level not in last:
+            continue
+        number = last[level]
+        if number not in tables:
+            # the last word, the last that is no end of a cell, rows, cells of the row, columns, the open cell
+            tables[number] = [None, None, 0, 0, 0, None]
+        t = tables[number]
+        if word == "row" or (word == "cell" and t[1] in (None, "out")):
+            t[2:] = [t[2] + 1, 0, 0, None]
+        if word == "cell":
+            wide, high = max(1, wide or 1), max(1, high or 1)
+            t[3] += 1
+            t[5] = [page, number, t[2], t[3], t[4] + 1, tag == "th", wide, high, []]
+            t[4] += wide
+            out.append(t[5])
+        elif t[5]:
+            t[5][0] = min(t[5][0], page)
+            if (word or t[0]) == "cell":
+                t[5][8].append(token if tag is None else " " if tag in BLOCK_TAGS else "")
+        if word:
+            t[0] = word
+            t[1] = t[1] if word == "after" else word
+    return out
+
+
+def _rows_of(texts: pa.Array) -> pa.Array:
+    """The rows of each array of tokens; a cell that spans columns is followed by blank ones."""
+    rows, cells, row_ends, ends = [], [], [0], [0]
+    for found in texts.to_pylist():
+        held = {}
+        for c in _text_cells(found):
+            held.setdefault((c[0], c[1], c[2]), []).extend(["".join(c[8]), *[""] * (c[6] - 1)])
+        for at, texts_ in held.items():
+            rows.append(at)
+            cells += texts_
+            ends.append(len(cells))
+        row_ends.append(len(rows))
+    numbers = [pa.array(c, pa.int32()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)]
+    held = pa.StructArray.from_arrays([*numbers, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells, pa.string()))], ["page", "table_no", "row_no", "cells"])
+    return pa.ListArray.from_arrays(pa.array(row_ends, pa.int32()), held)
+
+
+def _cells_of(texts: pa.Array) -> pa.Array:
+    """The cells of each array of tokens."""
+    cells, ends = [], [0]
+    for found in texts.to_pylist():
+        cells += [(*c[:8], "".join(c[8])) for c in _text_cells(found)]
+        ends.append(len(cells))
+    kinds = [("page", pa.int32()), *((c, pa.int64()) for c in ("table_no", "row_no", "cell_no", "column_no")), ("is_head", pa.bool_()), ("colspan", pa.int32()), ("rowspan", pa.int32()), ("t", pa.string())]
+    columns = list(zip(*cells, strict=True)) or [[]] * len(kinds)
+    rows = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
+def read_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """``table_rows`` of the ``cells`` of texts whose keys are unique, without a row for each cell."""
+    cut = F.coalesce(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    kind = "array<struct<page: int, table_no: int, row_no: int, cells: array<string>>>"
+    rows = pages.select(F.col(key).alias("document_id"), F.inline(F.arrow_udf(_rows_of, kind)(cut)))
+    return rows.withColumn("cells", F.transform("cells", lambda t: F.coalesce(collapse(decoded(t)), F.lit(""))))
 
 
 def table_rows(found: DataFrame, key: str) -> DataFrame:

@@ -41,6 +41,10 @@ def page_sections(spark: SparkSession, d: str) -> DataFrame:
     return found.select("document_id", "block_no", "is_heading", "section_no", "section")
 
 
+#: Rows that a task prints and reads again, about.
+PRINTED = 100_000
+
+
 def _escaped(c: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;")):
         c = F.replace(c, F.lit(char), F.lit(entity))
@@ -51,7 +55,9 @@ def printed(rows: DataFrame) -> DataFrame:
     """(document_id, html) of rows (document_id, page, table_no, row_no, cells), loosely: end tags of cells and rows are left
     out in documents with an odd id, tables of others have sections, and a stray end tag and a comment stand around."""
     lone = F.col("document_id") % 2 == 1
-    r = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page", "table_no", "row_no", "cells"))).alias("r"))
+    # a number of tasks that follows the rows: little that is shuffled makes much markup
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PRINTED))
+    r = rows.repartition(tasks, "document_id").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page", "table_no", "row_no", "cells"))).alias("r"))
 
     def one(x: Column, i: Column) -> Column:
         same = lambda y: (y["page"] == x["page"]) & (y["table_no"] == x["table_no"])
@@ -68,7 +74,7 @@ def printed(rows: DataFrame) -> DataFrame:
 
 def reread(rows: DataFrame) -> DataFrame:
     """The same rows after printing and parsing."""
-    return markup.table_rows(markup.cells(printed(rows), "document_id", "html"), "document_id")
+    return markup.read_rows(printed(rows), "document_id", "html")
 
 
 @query(

@@ -198,3 +198,16 @@ def test_spans_pages_and_rows(spark):
     assert got == [(1, 2, 1, 1, 1, 1, True, 2, 1, "h"), (1, 2, 1, 1, 2, 3, True, 1, 1, "i"), (1, 2, 1, 2, 1, 1, False, 1, 3, "1"), (1, 2, 1, 2, 2, 2, False, 1, 1, "2"), (1, 2, 1, 2, 3, 3, False, 1, 1, ""), (1, 3, 2, 1, 1, 1, False, 1, 1, "z")]
     rows = [tuple(x) for x in markup.table_rows(markup.cells(df, "id", "html"), "id").orderBy("table_no", "row_no").collect()]
     assert rows == [(1, 2, 1, 1, ["h", "", "i"]), (1, 2, 1, 2, ["1", "2", ""]), (1, 3, 2, 1, ["z"])]
+
+
+def test_rows_are_read_in_one_pass(spark):
+    """Rows of odd markup as its cells give them, and no window or sort over tokens."""
+    r = random.Random(6)
+    bits = ["<table>", "</table>", "<tr>", "<td>", "<td colspan=2>", "<th COLSPAN=' 3 '>", "<td colspan=x>", "<td colspan=-1>", "</td>", "x", "<", "&amp;", "<div data-page=4>", "<p data-page='2'>", "<? ?>", "<script><td></script>"]
+    pages = PAGES + ["".join(r.choice(bits) for _ in range(60)) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(pages)], "id int, html string")
+    order = ["document_id", "page", "table_no", "row_no"]
+    want = markup.table_rows(markup.cells(df, "id", "html"), "id").orderBy(*order).collect()
+    assert markup.read_rows(df, "id", "html").orderBy(*order).collect() == want and len(want) > 60
+    plan = markup.cells(df, "id", "html")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
