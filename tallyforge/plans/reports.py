@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.catalog import query, table
 from tallyforge.operators import grammar as g
+from tallyforge.staging import dealt
 
 SUBJECTS = {"Progress towards achievement of PDO": "PDO", "Overall Implementation Progress": "IP"}
 _WORD = "CASE {} WHEN 1 THEN 'Highly Unsatisfactory' WHEN 2 THEN 'Unsatisfactory' WHEN 3 THEN 'Moderately Unsatisfactory' WHEN 4 THEN 'Moderately Satisfactory' WHEN 5 THEN 'Satisfactory' ELSE 'Highly Satisfactory' END"
@@ -17,7 +18,9 @@ _NOW, _BEFORE = _WORD.format(_RANK), _WORD.format(f"1 + ({_RANK} + o_custkey) %
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     rank = F.substring("o_orderpriority", 1, 1).cast("int")
     word = lambda r: F.get(F.array(*map(F.lit, g.RATINGS)), (r - 1).cast("int"))
-    o = table(spark, d, "orders").withColumn("document_id", F.col("o_orderkey")).withColumn("day", F.col("o_orderdate").cast("date"))
+    # dealt as orders: the rows and lines that are printed of them stay where they are, and no window shuffles them
+    o = dealt(table(spark, d, "orders").withColumn("document_id", F.col("o_orderkey")), "document_id")
+    o = o.withColumn("day", F.col("o_orderdate").cast("date"))
     return o.withColumn("now", word(rank)).withColumn("before", word(1 + (rank + F.col("o_custkey")) % 6)).withColumn("odd", F.col("o_orderkey") % 2 == 1)
 
 
