@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.staging import dealt
+
+#: Rows of a task that looks for latest attempts, about.
+ATTEMPTS = 200_000
+
 
 def staged_choice(runs: list[dict], metric: str, least_gain: float) -> tuple[dict, list[str]]:
     """The simplest configuration that no later one beats by ``least_gain``, and why; ``runs`` stand in order of complexity,
@@ -91,4 +96,4 @@ def agreement(expected: DataFrame, actual: DataFrame, key: str, columns: list[st
 def latest_attempt(runs: DataFrame, case: str, attempt: str) -> DataFrame:
     """The latest attempt of each case, with how many there were; earlier ones stay in the store."""
     n, nth = F.count(F.lit(1)).over(Window.partitionBy(case)), F.row_number().over(Window.partitionBy(case).orderBy(F.col(attempt).desc()))
-    return runs.withColumn("attempts", n).withColumn("__n", nth).filter("__n = 1").drop("__n")
+    return dealt(runs, case, rows=ATTEMPTS).withColumn("attempts", n).withColumn("__n", nth).filter("__n = 1").drop("__n")
