@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.prefix import carried, machine, scan
+from tallyforge.operators.prefix import machine, scan
 
 ORPHAN, NAME, VALUE, DATE = range(4)
 #: What a line is, and the next state for each state above.
@@ -35,9 +35,9 @@ def block_readings(lines: DataFrame, name: str, reset: str, width: int = 4) -> D
     another width is a problem, and such values or dates are null. Null lines are lines of no kind.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = machine(lines.withColumn("__kind", line_kind(text, name, reset)), ["document_id"], "place", F.col("__kind"), BLOCKS, "__state")
     kind, before, after = F.col("__kind"), F.col("__state.before"), F.col("__state.after")
-    rows = carried(rows, ["document_id"], "place", F.when(kind == NAME_LINE, F.col("place")), "__begun")
+    begun = {"__begun": F.when(kind == NAME_LINE, F.col("place"))}
+    rows = machine(lines.withColumn("__kind", line_kind(text, name, reset)), ["document_id"], "place", kind, BLOCKS, "__state", carry=begun)
     rows = rows.filter((before != ORPHAN) | (after != ORPHAN)).filter(kind != RESET_LINE)
     tokens = F.filter(F.split(F.trim(F.regexp_replace(text, r"(?i)^(value|date)\b\s*", "")), r"\s+"), lambda t: t != "")
     of = lambda is_one: F.array_sort(F.collect_list(F.when(is_one, F.struct("place", "page", F.trim(text).alias("text"), tokens.alias("t")))))

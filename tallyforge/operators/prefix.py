@@ -30,19 +30,21 @@ def scan(rows: DataFrame, part: list[str], place: str, value: Column, unit: Colu
     """``rows`` with ``name``: (before, after), the join of the values of all rows of its part before it, and with its own.
 
     ``place`` numbers the rows of a part from 0 without gaps (gaps only cost); rows of equal place have no defined order.
-    ``unit`` is what stands before the first row. ``last``: the largest place, if known; else it is looked up.
+    ``unit`` is what stands before the first row. ``last``: the largest place, if known; else it is looked up. Rows have no
+    columns of maps, which have no order.
     """
     if last is None:
         last = rows.agg(F.max(place)).first()[0] or 0
     kind = rows.select(unit.alias("u")).schema["u"].dataType
-    one = rows.select(*part, F.col(place).cast("long").alias("__place"), value.cast(kind).alias("__v"))
+    one = rows.select(*part, F.col(place).cast("long").alias("__place"), value.cast(kind).alias("__v"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("__row"))
 
     def up(level: DataFrame) -> DataFrame:
         """Blocks of a level: (part, place of the block, its values in order)."""
-        items = F.transform(F.array_sort(F.collect_list(F.struct("__place", "__v"))), lambda x: x)
+        items = F.array_sort(F.collect_list(F.struct("__place", *(c for c in level.columns if c not in (*part, "__place")))))
         return level.groupBy(*part, F.floor(F.col("__place") / BLOCK).alias("__block")).agg(items.alias("__items"))
 
-    # the rows are read once for all levels: what is above the first is small
+    # the rows are read once for all levels and go with their values, so that nothing is joined to them; what is above the
+    # first level is small
     levels, n = [staged(up(one), shared_folder(rows.sparkSession), "blocks")], last // BLOCK
     whole = F.aggregate("__items", unit, lambda a, x: join(a, x["__v"]))
     while n:
@@ -55,17 +57,16 @@ def scan(rows: DataFrame, part: list[str], place: str, value: Column, unit: Colu
         return F.aggregate(items, start, lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), x["__v"]))))
 
     entries = levels.pop().withColumn("__entry", unit)
-    while True:
+    while levels:
         told = entries.withColumn("__out", befores(F.col("__items"), F.col("__entry")))
-        each = F.explode(F.transform("__items", lambda x, i: F.struct(x["__place"].alias("at"), F.get("__out", i).alias("before"), F.get("__out", i + 1).alias("after")))).alias("__e")
-        told = told.select(*part, each)
-        if not levels:
-            break
-        below, told = levels.pop(), told.select(*part, F.col("__e.at").alias("__block"), F.col("__e.before").alias("__entry"))
+        each = F.explode(F.transform("__items", lambda x, i: F.struct(x["__place"].alias("at"), F.get("__out", i).alias("before")))).alias("__e")
+        told = told.select(*part, each).select(*part, F.col("__e.at").alias("__block"), F.col("__e.before").alias("__entry"))
+        below = levels.pop()
         entries = below.join(told, _same(below, told, [*part, "__block"])).select(below["*"], told["__entry"])
-    found = told.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(part)), F.col("__e.at").alias("__scan_at"), F.struct("__e.before", "__e.after").alias(name))
-    on = reduce(lambda x, y: x & y, [rows[place] == found["__scan_at"], *(rows[k].eqNullSafe(found[f"__k{i}"]) for i, k in enumerate(part))])
-    return rows.join(found, on, "left").select(rows["*"], found[name])
+    told = entries.withColumn("__out", befores(F.col("__items"), F.col("__entry")))
+    both = lambda i: F.struct(F.get("__out", i).alias("before"), F.get("__out", i + 1).alias("after"))
+    each = F.explode(F.transform("__items", lambda x, i: F.struct(x["__row"].alias("row"), F.when(x["__place"].isNotNull(), both(i)).alias("found")))).alias("__e")
+    return told.select(each).select("__e.row.*", F.col("__e.found").alias(name))
 
 
 def carried(rows: DataFrame, part: list[str], place: str, value: Column, name: str) -> DataFrame:
@@ -75,15 +76,20 @@ def carried(rows: DataFrame, part: list[str], place: str, value: Column, name: s
     return out.withColumn(name, F.col("__carried.after")).drop("__carried")
 
 
-def machine(rows: DataFrame, part: list[str], place: str, symbol: Column, table: list[list[int]], name: str = "state", start: int = 0) -> DataFrame:
+def machine(rows: DataFrame, part: list[str], place: str, symbol: Column, table: list[list[int]], name: str = "state", start: int = 0, carry: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` with the states before and after each row of a machine that starts anew in each part. ``table`` has a row
-    for each symbol and in it the next state for each state; a null symbol changes nothing."""
-    n = len(table[0])
+    for each symbol and in it the next state for each state; a null symbol changes nothing. ``carry``: columns to be added
+    in the same pass, the last values that are not null up to and with each row."""
+    n, carry = len(table[0]), carry or {}
     stay = F.array(*(F.lit(s) for s in range(n)))
     step = F.coalesce(F.get(F.array(*(F.array(*(F.lit(s) for s in row)) for row in table)), symbol), stay)
-    out = scan(rows, part, place, step, stay, lambda f, g: F.transform(f, lambda s: F.get(g, s)), "__functions")
-    states = F.struct(F.get("__functions.before", F.lit(start)).alias("before"), F.get("__functions.after", F.lit(start)).alias("after"))
-    return out.withColumn(name, states).drop("__functions")
+    kinds = rows.select(*(c.alias(k) for k, c in carry.items())).schema
+    value = F.struct(step.alias("f"), *(c.alias(k) for k, c in carry.items()))
+    unit = F.struct(stay.alias("f"), *(F.lit(None).cast(kinds[k].dataType).alias(k) for k in carry))
+    join = lambda a, b: F.struct(F.transform(a["f"], lambda s: F.get(b["f"], s)).alias("f"), *(F.coalesce(b[k], a[k]).alias(k) for k in carry))
+    out = scan(rows, part, place, value, unit, join, "__functions")
+    states = F.struct(F.get("__functions.before.f", F.lit(start)).alias("before"), F.get("__functions.after.f", F.lit(start)).alias("after"))
+    return out.select(*rows.columns, states.alias(name), *(F.col(f"__functions.after.{k}").alias(k) for k in carry))
 
 
 def numbered(rows: DataFrame, part: list[str], key: str, name: str = "place", rows_per_range: int = RANGE) -> DataFrame:
