@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.staging import shared_folder, staged
 
+#: Rows in a slice of a base name, and pairs that a task makes, about.
+SLICE, PAIRS = 256, 1 << 21
+
 
 def words_of(c: Column) -> Column:
     """The distinct words of a name, sorted: runs of lower-case letters and digits."""
@@ -59,16 +62,28 @@ def base_name(c: Column) -> Column:
 
 def possible_matches(names: DataFrame, block: list[str], key: str, name: str, least: int = 30) -> DataFrame:
     """(block, key_a, key_b, reason) of names of a block that may be one: SAME_BASE where they are equal but for units, types
-    and punctuation, PREFIX where the shorter one, of ``least`` characters at least, begins the other. Pairs meet by their
-    whole base name or by its first ``least`` characters; nothing is merged."""
-    rows = names.select(*block, key, F.trim(base_name(F.col(name))).alias("__base")).filter("__base <> ''")
-    a = rows.select(*block, F.col(key).alias("key_a"), F.col("__base").alias("base_a"))
-    b = rows.select(*block, F.col(key).alias("key_b"), F.col("__base").alias("base_b"))
-    ordered = F.col("key_a") < F.col("key_b")
-    same = a.withColumnRenamed("base_a", "__base").join(b.withColumnRenamed("base_b", "__base"), [*block, "__base"]).filter(ordered).select(*block, "key_a", "key_b", F.lit("SAME_BASE").alias("reason"))
-    head = lambda c: F.substring(c, 1, least).alias("__head")
-    long_ = lambda c: F.length(c) >= least
-    met = a.filter(long_("base_a")).withColumn("__head", head("base_a")).join(b.filter(long_("base_b")).withColumn("__head", head("base_b")), [*block, "__head"])
-    begins = F.startswith("base_a", F.col("base_b")) | F.startswith("base_b", F.col("base_a"))
-    prefix = met.filter(ordered & begins & (F.col("base_a") != F.col("base_b"))).select(*block, "key_a", "key_b", F.lit("PREFIX").alias("reason"))
-    return same.unionByName(prefix)
+    and punctuation, PREFIX where the shorter one, of ``least`` characters at least, begins the other; nothing is merged.
+
+    Only different base names meet: one is looked up by hash among the beginnings of the others. Rows of a base name stand
+    in slices of about ``SLICE``; what becomes pairs are pairs of slices, in as many tasks as the pairs need.
+    """
+    rows = names.select(*block, F.col(key).alias("__key"), F.trim(base_name(F.col(name))).alias("__base")).filter("__base <> ''").filter(F.col("__key").isNotNull())
+    folder = shared_folder(names.sparkSession)
+    bases = staged(rows.groupBy(*block, "__base").agg(F.count(F.lit(1)).alias("__n")), folder, "bases")
+    slice_ = F.pmod(F.xxhash64("__key"), F.ceil(F.col("__n") / SLICE)).cast("int").alias("__slice")
+    slices = rows.join(bases, [*block, "__base"]).select(*block, "__base", "__key", slice_)
+    slices = staged(slices.groupBy(*block, "__base", "__slice").agg(F.collect_list("__key").alias("__keys")), folder, "slices")
+    side = lambda base, at, keys: slices.select(*block, F.col("__base").alias(base), F.col("__slice").alias(at), F.col("__keys").alias(keys))
+    one, two = side("base_a", "at_a", "xs"), side("base_b", "at_b", "ys")
+    same = one.join(two.withColumnRenamed("base_b", "base_a"), [*block, "base_a"]).filter("at_a <= at_b").select(*block, "xs", "ys", F.expr("at_a = at_b").alias("own"), F.lit("SAME_BASE").alias("reason"))
+    long_ = bases.filter(F.length("__base") >= least)
+    begins = F.transform(F.sequence(F.lit(least), F.length("__base") - 1), lambda n: F.xxhash64(F.substring(F.col("__base"), F.lit(1), n)))
+    heads = long_.filter(F.length("__base") > least).select(*block, F.col("__base").alias("base_b"), F.explode(begins).alias("__hash"))
+    met = long_.select(*block, F.col("__base").alias("base_a"), F.xxhash64("__base").alias("__hash")).join(heads, [*block, "__hash"]).filter(F.startswith("base_b", F.col("base_a")))
+    prefix = met.select(*block, "base_a", "base_b").distinct().join(one, [*block, "base_a"]).join(two, [*block, "base_b"]).select(*block, "xs", "ys", F.lit(False).alias("own"), F.lit("PREFIX").alias("reason"))
+    meeting = staged(same.unionByName(prefix), folder, "meeting")
+    pairs = meeting.agg(F.sum(F.size("xs").cast("long") * F.size("ys"))).first()[0] or 0
+    dealt = meeting.repartition(max(names.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS)))
+    each = dealt.select("*", F.explode("xs").alias("x")).select(*block, "own", "reason", "x", F.explode("ys").alias("y"))
+    each = each.filter(F.when(F.col("own"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    return each.select(*block, F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), "reason")
