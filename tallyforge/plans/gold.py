@@ -156,9 +156,9 @@ _ALL = " UNION ALL ".join(_full(n) for n in gold.RULES)
 
 
 @query("attention_signals", f"WITH {_SILVER} {_ALL}")
-def attention_signals(spark: SparkSession, d: str) -> DataFrame:
-    """All signals of all rules, 28 columns each."""
-    return _printed(gold.united(gold.signals(silver(spark, d), INSTRUMENTS)))
+def attention_signals(spark: SparkSession, d: str, categories: tuple[str, ...] = ()) -> DataFrame:
+    """All signals of all rules, 28 columns each; with ``categories`` those of the groups that have any of them."""
+    return _printed(gold.united(gold.signals(silver(spark, d), INSTRUMENTS), categories))
 
 
 @query(

@@ -43,7 +43,8 @@ FROM customer LEFT JOIN (SELECT * FROM ({sql_of("attention_signals")}) WHERE sev
 )
 def answers_found(spark: SparkSession, d: str) -> DataFrame:
     """Whether each project has grave signals of its schedule or its finance at any time; projects without any are EMPTY."""
-    rows = tools.attention(gold.attention_signals(spark, d), "project_id", "ALL", "HIGH", ("SCHEDULE", "FINANCE"))
+    asked = ("SCHEDULE", "FINANCE")
+    rows = tools.attention(gold.attention_signals(spark, d, asked), "project_id", "ALL", "HIGH", asked)
     return tools.answered(table(spark, d, "customer").select(F.col("c_custkey").alias("project_id")), rows, "project_id")
 
 
