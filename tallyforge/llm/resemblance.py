@@ -1,14 +1,16 @@
 """Near copies by the exact Jaccard similarity of their sets of word shingles; the pipeline's dedup stage.
 
-At similarity 0.8 two SimHash fingerprints differ in about ten of 64 bits, and in more by chance: no covering by anchors
-reaches so far without comparing nearly all pairs. Candidates come from min-hash bands instead: a pair at the threshold
-shares none of ``BANDS`` bands of ``ROWS`` minima with probability (1 - 0.8 ** 3) ** 32, about 1e-10, a closer pair with
-less. Every candidate is then verified on whole sets, so what is linked is never below the threshold.
+Sets get SimHash fingerprints, and an anchor-point covering over thirds of them (``simhash.links``) brings together what
+differs in at most five bits. At similarity 0.8 fingerprints differ in about ten of 64 bits, and in more by chance: no covering
+reaches so far without comparing nearly all pairs. What lies beyond the covering's reach comes from min-hash bands: a pair at
+the threshold shares none of ``BANDS`` bands of ``ROWS`` minima with probability (1 - 0.8 ** 3) ** 32, about 1e-10, a closer pair
+with less. Every candidate is verified on whole sets, so what is linked is never below the threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import sorted_groups, stage
 from .components import Forest, components
-from .simhash import HASH_SEED, leaders
+from .simhash import HASH_SEED, THIRDS, leaders, majority
+from .simhash import links as near_fingerprints
 
 SHINGLE = 5
 BANDS, ROWS = 32, 3
@@ -74,17 +77,18 @@ def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, bands): equal sets have equal keys; n is how many shingles a set has."""
+    """(doc_id, key, n, fp, bands): equal sets have equal keys; n is how many shingles a set has, fp their SimHash fingerprint."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in parts(batches):
             sets = [shingles(t if isinstance(t, str) else None) for t in b["text"]]
             key = np.array([_key(s) for s in sets], dtype=np.uint64).view(np.int64)
             found = [bands(s).view(np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": key, "n": [len(s) for s in sets], "bands": found})
+            fp = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": key, "n": [len(s) for s in sets], "fp": fp, "bands": found})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, key long, n long, bands array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, key long, n long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -140,19 +144,32 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """(src, dst) candidates of ``distinct`` (key, n, fp) by the covering: edges that connect the fingerprints within five bits, told
+    by the least key of each, and each set with the least one of its fingerprint."""
+    sets = distinct.filter("n > 0").select("key", "fp")
+    least = stage(sets.groupBy("fp").agg(F.min("key").alias("least")), "fingerprints")
+    side = lambda end: least.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_key"))
+    far = near_fingerprints(least.select("fp"), pieces=THIRDS).join(side("src"), "src").join(side("dst"), "dst")
+    same = sets.join(least, "fp").filter("key != least").select(F.col("least").alias("src"), F.col("key").alias("dst"))
+    return far.select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst")).unionByName(same).distinct()
+
+
 def links(distinct: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(src, dst) edges that connect all candidates within the threshold, for ``distinct`` (key, n, first_id, bands).
+    """(src, dst) edges that connect all candidates within the threshold, for ``distinct`` (key, n, first_id, fp, bands).
 
-    First each set is held against the least of all that it shares a band with; only bands whose members are not one
-    component by then compare the members of different components, in pairs of blocks. A large group of near copies so is
-    one component before anything is compared in all pairs.
+    First come the pairs of the SimHash covering, and each set with the least of all that it shares a band with; only bands
+    whose members are not one component by then compare the members of different components, in pairs of blocks. A large
+    group of near copies so is one component before anything is compared in all pairs.
     """
+    prints = stage(fingerprint_pairs(distinct), "prints")
     rows = distinct.select("key", F.col("n").alias("held"), F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("head")).filter("n > 1").drop("n")
     members = stage(rows.join(shared, "band"), "members")
-    sets = stage(_sets(docs, distinct.select("key", "first_id").join(members.select("key").distinct(), "key")), "sets")
+    wanted = reduce(DataFrame.union, (members.select("key"), prints.select("src"), prints.select("dst"))).distinct()
+    sets = stage(_sets(docs, distinct.select("key", "first_id").join(wanted, "key")), "sets")
     stars = members.groupBy("key").agg(F.min("head").alias("head")).filter("key != head").select(F.col("head").alias("src"), F.col("key").alias("dst"))
-    first = stage(_verified(stars, sets), "stars")
+    first = stage(_verified(prints.unionByName(stars).distinct(), sets), "first")
     roots = components(first).select(F.col("node").alias("key"), "root")
     placed = stage(members.join(roots, "key", "left").select("band", "key", "held", F.coalesce("root", "key").alias("root")), "placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("held") / HELD)).cast("int").alias("k")).filter("lo != hi").select("band", "k")
@@ -171,7 +188,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unless its whole component is null; an empty table gives no rows; other columns are not looked at.
     """
     rows = stage(_sketches(docs), "sketches")
-    distinct = stage(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "distinct")
+    distinct = stage(rows.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "distinct")
     roots = components(links(distinct, docs)).select(F.col("node").alias("key"), "root")
     linked = stage(distinct.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "roots")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -5,7 +5,8 @@ fingerprints that differ in at most three bits differ in at most one bit of thei
 half the anchors are the words of a covering code: the perfect [31,26] Hamming code with one free bit. Each half lies
 within the code's covering radius 1 of exactly one anchor, its home. A fingerprint is replicated to every anchor within
 radius plus threshold, 1 + 1, so that it meets all its partners at their homes: no pair is lost. Only different
-fingerprints are compared, so exact copies cost nothing.
+fingerprints are compared, so exact copies cost nothing. Cut into three pieces instead of halves (``THIRDS``, with the
+[15,11] code and more free bits) the same covering reaches five bits; the pipeline's dedup stage begins with that.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ HASH_SEED = 42
 #: Homes and members of an anchor are dealt to blocks of about this many, each pair of blocks being one group.
 BLOCK = 4096
 _CHUNK = 1 << 16
-#: The positions 1..31 whose number has bit k, as a mask of a 32-bit half (position p is bit p-1).
-_PARITY = tuple(sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(5))
+#: Fixed values: (shift, width, k) of each piece of a fingerprint; its low 2^k - 1 bits belong to the Hamming code, the others are
+#: free. Of n pieces one differs in at most one bit where the whole differs in at most 2n - 1.
+HALVES = ((0, 32, 5), (32, 32, 5))
+THIRDS = ((0, 21, 4), (21, 21, 4), (42, 22, 4))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -43,6 +46,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         hashes = [digest(b"%b %b %b" % t, HASH_SEED) for t in zip(words, words[1:], words[2:], strict=False)]
     else:
         hashes = [digest(b" ".join(words[i : i + shingle]), HASH_SEED) for i in range(len(words) - shingle + 1)]
+    return majority(hashes)
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; of none zero."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), _CHUNK):
         part = np.array(hashes[i : i + _CHUNK], dtype="<u8")
@@ -62,33 +70,37 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
 
 
-def _home(half: Column) -> tuple[Column, Column]:
-    """The nearest codeword of a 32-bit half (bit 31 is free) and the position that differs, 0 if none."""
-    parity = [F.bit_count(half.bitwiseAND(F.lit(m))) % 2 * (1 << k) for k, m in enumerate(_PARITY)]
+def _home(piece: Column, k: int) -> tuple[Column, Column]:
+    """The nearest codeword of a piece (bits from 2^k - 1 on are free) and the position that differs, 0 if none."""
+    # the positions whose number has a bit, as a mask (position p is bit p-1)
+    masks = [sum(1 << (p - 1) for p in range(1, 1 << k) if p >> j & 1) for j in range(k)]
+    parity = [F.bit_count(piece.bitwiseAND(F.lit(m))) % 2 * (1 << j) for j, m in enumerate(masks)]
     at = sum(parity[1:], parity[0]).cast("int")
     bit = F.when(at > 0, F.call_function("shiftleft", F.lit(1).cast("long"), at - 1)).otherwise(F.lit(0).cast("long"))
-    return half.bitwiseXOR(bit), at
+    return piece.bitwiseXOR(bit), at
 
 
-def _replicas(distinct: DataFrame) -> DataFrame:
-    """(anchor, fp, home) of every fingerprint at its home and at those anchors in reach whose number is larger."""
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    halves = distinct.withColumn("part", F.explode(F.array(F.struct(F.lit(0).alias("no"), low.alias("half")), F.struct(F.lit(1).alias("no"), high.alias("half")))))
-    halves = halves.select("fp", "part.no", "part.half")
-    home, at = _home(F.col("half"))
+def _replicas(distinct: DataFrame, pieces: tuple[tuple[int, int, int], ...] = HALVES) -> DataFrame:
+    """(anchor, fp, home) of every fingerprint at its home and at those anchors in reach whose number is larger; all pieces have
+    the same code."""
+    (k,) = {k for _, _, k in pieces}
+    cut = [F.struct(F.lit(i).alias("no"), F.lit(width).alias("width"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("half")) for i, (shift, width, _) in enumerate(pieces)]
+    halves = distinct.withColumn("part", F.explode(F.array(*cut)))
+    halves = halves.select("fp", "part.no", "part.width", "part.half")
+    home, at = _home(F.col("half"), k)
     halves = halves.withColumn("home", home).withColumn("at", at)
     one = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p - 1).cast("int"))
     # two flips that lead from the half to another codeword: positions j and k with j xor k = at
-    flips = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda j: (F.col("at") > 0) & (j.bitwiseXOR(F.col("at")) > j))
+    flips = F.filter(F.sequence(F.lit(1), F.lit((1 << k) - 1)), lambda j: (F.col("at") > 0) & (j.bitwiseXOR(F.col("at")) > j))
     near = F.transform(flips, lambda j: F.col("half").bitwiseXOR(one(j)).bitwiseXOR(one(j.bitwiseXOR(F.col("at")))))
-    free = F.array(F.col("home").bitwiseXOR(F.lit(1 << 31)))
+    free = F.transform(F.sequence(F.lit(1 << k), F.col("width")), lambda j: F.col("home").bitwiseXOR(one(j)))
     near = F.filter(F.concat(near, free), lambda a: a > F.col("home"))
     places = F.concat(F.array(F.struct(F.col("home").alias("anchor"), F.lit(True).alias("home"))), F.transform(near, lambda a: F.struct(a.alias("anchor"), F.lit(False).alias("home"))))
     rows = halves.select("fp", "no", F.explode(places).alias("p"))
-    return rows.select((F.col("p.anchor") * 2 + F.col("no")).alias("anchor"), "fp", F.col("p.home").alias("home"))
+    return rows.select((F.col("p.anchor") * len(pieces) + F.col("no")).alias("anchor"), "fp", F.col("p.home").alias("home"))
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], threshold: int = THRESHOLD) -> Iterator[pd.DataFrame]:
     """Edges that connect what is within the threshold in each group: a forest, not all pairs."""
     src, dst = [], []
     for _, g in sorted_groups(batches, ["anchor", "hb", "rb"]):
@@ -101,7 +113,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for h, at in zip(homes, np.searchsorted(nodes, homes), strict=True):
             # unsigned: of a negative number the bits of its absolute value would be counted
             differ = np.bitwise_count((members ^ h).view(np.uint64))
-            near = own[(differ <= THRESHOLD) & (differ > 0)]
+            near = own[(differ <= threshold) & (differ > 0)]
             a, b = forest.add(np.full(len(near), at), near)
             src.append(nodes[a])
             dst.append(nodes[b])
@@ -112,9 +124,10 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
 
 
-def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(src, dst) edges between fingerprints that connect all within the threshold, for ``distinct`` (fp)."""
-    rows = stage(_replicas(distinct), "anchors")
+def links(distinct: DataFrame, block: int = BLOCK, pieces: tuple[tuple[int, int, int], ...] = HALVES) -> DataFrame:
+    """(src, dst) edges between fingerprints that connect all within the threshold, for ``distinct`` (fp): three bits by halves, five
+    by thirds."""
+    rows, threshold = stage(_replicas(distinct, pieces), "anchors"), 2 * len(pieces) - 1
     per = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("long")).alias("h"))
     per = per.filter("h > 0 and n > 1").select("anchor", F.ceil(F.col("h") / block).cast("int").alias("hn"), F.ceil(F.col("n") / block).cast("int").alias("rn"))
     rows = rows.join(per, "anchor")
@@ -123,7 +136,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     as_home = F.transform(F.sequence(F.lit(0), F.col("rn") - 1), lambda b: F.struct(own_h.alias("hb"), b.alias("rb"), F.lit(True).alias("role")))
     rows = rows.select("anchor", "fp", F.explode(F.when(F.col("home"), F.concat(as_member, as_home)).otherwise(as_member)).alias("p"))
     rows = rows.select("anchor", "p.hb", "p.rb", "fp", "p.role").repartition("anchor", "hb", "rb").sortWithinPartitions("anchor", "hb", "rb")
-    return rows.mapInPandas(_compare, "src long, dst long")
+    return rows.mapInPandas(lambda batches: _compare(batches, threshold), "src long, dst long")
 
 
 def classes(fps: DataFrame) -> DataFrame:
