@@ -26,7 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard of 0.8 or more): the one with the smallest doc_id."""
+    """One document of each group of near copies (5-word Jaccard of 0.8 or more): the one with the smallest doc_id. SimHash by
+    anchor-point covering finds them, and min-hash bands what lies beyond its reach."""
     return resemblance.deduplicated(docs)
 
 
