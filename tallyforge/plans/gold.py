@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.catalog import query, table
 from tallyforge.operators import gold
+from tallyforge.staging import staged
 
 INSTRUMENTS = ("BUILDING", "FURNITURE", "MACHINERY")
 SNAPSHOT = "1999-01-01"
+#: What Gold reads of the progress of results.
+PROGRESS = (
+    "record_id", "project_id", "indicator_key", "isr_sequence", "observation_date", "current_value", "target_value", "target_date", "current_number", "calculation_status", "previous_record_id", "progress_percentage",
+    "target_changed", "previous_target_value", "previous_number", "trend", "target_status",
+)
 _SILVER = f"""
 reports AS (SELECT o_orderkey AS record_id, o_custkey AS project_id, CAST(o_orderdate AS DATE) AS report_date, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS digit, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS isr_sequence FROM orders),
 ratings AS (SELECT project_id, 'PDO' AS subject, isr_sequence, report_date, digit AS rank, record_id FROM reports UNION ALL SELECT project_id, 'IP', isr_sequence, report_date, CASE WHEN record_id % 11 > 0 THEN 1 + (digit + record_id) % 6 END, record_id FROM reports),
@@ -36,11 +42,14 @@ trends AS (SELECT *, CASE WHEN NOT both_ok OR pt <> t THEN 'NOT_COMPARABLE' WHEN
   sum(CASE WHEN calculation_status = 'OK' AND target_status = 'NOT_MET' AND ps = 'OK' AND pstat = 'NOT_MET' AND c = pc THEN 0 ELSE 1 END) OVER (PARTITION BY project_id, indicator_key ORDER BY isr_sequence) AS run FROM (SELECT *, lag(target_status) OVER (PARTITION BY project_id, indicator_key ORDER BY isr_sequence) AS pstat FROM progress))"""
 
 
-def silver(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def silver(spark: SparkSession, d: str, folder: str | None = None) -> dict[str, DataFrame]:
+    """The Silver frames; with ``folder`` what several of them are made of is made once and staged there, progress of results too."""
+    keep = lambda df, name: staged(df, folder, name) if folder else df
     orders, customer, events, lineitem = (table(spark, d, t) for t in ("orders", "customer", "events", "lineitem"))
     digit = F.substring("o_orderpriority", 1, 1).cast("int")
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long")
     reports = orders.select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderdate").cast("date").alias("report_date"), digit.alias("digit"), nth.alias("isr_sequence"))
+    reports = keep(reports, "reports")
     other = F.when(F.col("record_id") % 11 > 0, 1 + (F.col("digit") + F.col("record_id")) % 6)
     two = F.inline(F.array(F.struct(F.lit("PDO").alias("subject"), F.col("digit").cast("long").alias("rank")), F.struct(F.lit("IP").alias("subject"), other.cast("long").alias("rank"))))
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
@@ -48,6 +57,7 @@ def silver(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     spans = lines.groupBy("project_id").agg(
         F.min("ordered").alias("effective_date"), F.max("shipped").alias("current_closing_date"), F.count_distinct("l_suppkey").alias("loan_count"), F.round(F.count_if(F.col("l_linestatus") == "F") * 100.0 / F.count(F.lit(1)), 2).cast("decimal(38,2)").alias("disbursed_percentage"), F.min("l_orderkey").alias("financial_id")
     )
+    spans = keep(spans, "spans")
     span = customer.join(spans, F.col("project_id") == F.col("c_custkey"), "left")
     original = F.date_add("effective_date", (365 * (F.col("c_custkey") % 7)).cast("int"))
     money = "decimal(18,2)"
@@ -57,6 +67,7 @@ def silver(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "project_id", "record_id", F.when(closing, "CLOSING_DATE_CHANGE").otherwise("CANCELLATION").alias("event_type"), F.when(cancel | (F.col("l_tax") > 0), F.col("shipped")).alias("event_date"), F.when(closing, F.col("l_suppkey").cast("string")).alias("loan_number"),
         F.when(closing, F.col("ordered")).alias("old_closing_date"), F.when(closing, F.col("shipped")).alias("new_closing_date"), F.when(cancel, F.when(F.col("l_tax") > 0.01, F.col("l_extendedprice").cast(money)).otherwise(F.lit(0).cast(money))).alias("amount"), F.when(cancel, F.when(F.col("l_linestatus") == "F", "USD").otherwise("EUR")).alias("currency"),
     )
+    marked = keep(marked, "marked")
     financed = orders.filter("o_totalprice >= 300000").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("record_id"), F.lit("ADDITIONAL_FINANCING").alias("event_type"), F.col("o_orderdate").cast("date").alias("event_date"), none("string").alias("loan_number"), none("date").alias("old_closing_date"), none("date").alias("new_closing_date"), F.col("o_totalprice").cast(money).alias("amount"), F.lit("USD").alias("currency"))
     rebuilt = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("record_id"), F.lit("RESTRUCTURING").alias("event_type"), F.when(F.col("event_id") % 4 > 0, F.col("ts").cast("date")).alias("event_date"), none("string").alias("loan_number"), none("date").alias("old_closing_date"), none("date").alias("new_closing_date"), none(money).alias("amount"), none("string").alias("currency"))
     i = F.col("event_id")
@@ -67,7 +78,11 @@ def silver(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.when(i % 23 == 0, None).when(i % 29 == 0, "10").when(i % 7 == 0, "2,000").otherwise("1,000").alias("target_value"), F.add_months(F.lit("1996-06-01").cast("date"), (5 * (F.col("user_id") % 5)).cast("int")).alias("target_date"),
         F.when(i % 31 == 0, "AMBIGUOUS").otherwise("EXACT").alias("status"), F.when(i % 37 == 0, "DLI").otherwise("WIDE").alias("layout"), F.when(i % 41 == 0, "Yes/No").otherwise("Number").alias("unit"),
     )
-    return {
+    made = {"progress": keep(gold.progress_of_results(results).select(*PROGRESS), "progress")} if folder else {}
+    if folder:
+        results = made["progress"].select("record_id", "project_id", "indicator_key", "isr_sequence")
+    return made | {
+        "reports": reports,
         "ratings": reports.select("project_id", "isr_sequence", "report_date", "record_id", two),
         "risks": reports.select("project_id", "isr_sequence", "report_date", "record_id", (1 + (F.col("record_id") + F.col("digit")) % 4).alias("rank")),
         "projects": span.select(F.col("c_custkey").alias("project_id"), F.col("c_custkey").alias("record_id"), F.col("c_mktsegment").alias("financing_instrument"), "effective_date", original.alias("original_closing_date"), "current_closing_date"),
@@ -173,7 +188,7 @@ FROM projects LEFT JOIN financial USING (project_id) LEFT JOIN r USING (project_
 def project_overview(spark: SparkSession, d: str) -> DataFrame:
     s = silver(spark, d)
     kind = lambda k: F.col("event_type") == k
-    r = s["ratings"].filter("subject = 'PDO'").groupBy("project_id").agg(F.count(F.lit(1)).alias("reports"), F.max("isr_sequence").alias("latest_sequence"), F.max("report_date").alias("latest_report"), F.max_by("rank", "isr_sequence").alias("pdo_rank"))
+    r = s["reports"].groupBy("project_id").agg(F.count(F.lit(1)).alias("reports"), F.max("isr_sequence").alias("latest_sequence"), F.max("report_date").alias("latest_report"), F.max_by(F.col("digit").cast("long"), "isr_sequence").alias("pdo_rank"))
     e = s["events"].groupBy("project_id").agg(F.count_if(kind("CLOSING_DATE_CHANGE")).alias("closing_changes"), F.count_if(kind("RESTRUCTURING")).alias("restructurings"), F.count_if(kind("CANCELLATION")).alias("cancellations"), F.sum(F.when(kind("CANCELLATION"), F.col("amount"))).cast("decimal(38,2)").alias("cancelled"))
     p = gold.progress_of_results(s["results"]).groupBy("project_id", "indicator_key").agg(F.max_by("target_status", "isr_sequence").alias("now"))
     i = p.groupBy("project_id").agg(F.count(F.lit(1)).alias("indicators"), F.count_if(F.col("now") == "MET").alias("met"))
