@@ -27,7 +27,8 @@ def _interpreted() -> Check:
 
 
 def _source(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    return gate.resolved(rows, {"source_table": "t", "source_record_id": "id"}, ids, "__source")
+    # the id first: few tables' names begin alike, and a sort that begins with them compares whole rows
+    return gate.resolved(rows, {"source_record_id": "id", "source_table": "t"}, ids, "__source")
 
 
 def gates(silver: dict[str, DataFrame], gold: dict[str, DataFrame], rules: dict[str, str]) -> dict[str, list[Gate]]:
@@ -57,7 +58,7 @@ def gates(silver: dict[str, DataFrame], gold: dict[str, DataFrame], rules: dict[
     t = gold["project_timeline"]
     of_events = silver["project_events"].select(F.lit("silver.project_events").alias("__t"), c("record_id").alias("__id"), c("event_date").alias("__stated"), F.lit(True).alias("__event"))
     rows = _source(gate.resolved(t, {"project_id": "project_id"}, projects, "__project"), ids)
-    rows = rows.join(of_events, (c("source_table") == c("__t")) & (c("source_record_id") == c("__id")), "left")
+    rows = rows.join(of_events, (c("source_record_id") == c("__id")) & (c("source_table") == c("__t")), "left")
     moved = c("__event") & ~c("event_date").eqNullSafe(c("__stated"))
     candidate = c("event_date_status") == CANDIDATE
     promoted = F.coalesce(moved.cast("int"), F.lit(0)) + F.coalesce((candidate & c("event_date").isNotNull()).cast("int"), F.lit(0))

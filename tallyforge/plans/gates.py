@@ -9,6 +9,7 @@ from tallyforge.catalog import query, table
 from tallyforge.operators import gate, gold, goldgate
 from tallyforge.operators.gate import ERROR, INFO, WARNING, Check, Gate
 from tallyforge.plans.gold import _ALL, _SILVER, INSTRUMENTS, silver
+from tallyforge.staging import shared_folder, staged
 
 _TOLD = "CAST(n AS BIGINT) AS n, CASE WHEN n = 0 THEN 'PASS' WHEN severity = 'ERROR' THEN 'FAIL' ELSE 'OBSERVED' END AS status"
 
@@ -66,13 +67,14 @@ _GOLD_CHECKS = [
 
 def _faulty(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Silver and Gold of the stand-ins, with faults by remainders of their ids."""
-    c, s = F.col, silver(spark, d)
+    folder = shared_folder(spark)
+    c, s = F.col, silver(spark, d, folder)
     text = lambda name: c(name).cast("string")
     orders = table(spark, d, "orders")
-    reports = s["ratings"].filter("subject = 'PDO'")
-    events = s["events"].groupBy("record_id").agg(F.min("project_id").alias("project_id"), F.min("event_date").alias("event_date"))
+    reports = s["reports"]
+    events = staged(s["events"].groupBy("record_id").agg(F.min("project_id").alias("project_id"), F.min("event_date").alias("event_date")), folder, "events")
     by = lambda i: F.when(c(i) % 101 == 0, "AI_INTERPRETATION").otherwise("SOURCE_FACT").alias("provenance_class")
-    progress = gold.progress_of_results(s["results"])
+    progress = s["progress"]
     key = c("record_id")
     canonical = F.when(key % 43 == 0, "merged").otherwise(c("indicator_key"))
     appraisal = orders.select(c("o_orderkey").alias("id"), F.lit("FORMAL_RISK_RATING").alias("framing"))
@@ -100,10 +102,10 @@ def _faulty(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str
         )),
         "result_progress": progress.select("project_id", canonical.alias("canonical_indicator_id"), text("record_id").alias("source_record_id"), "calculation_status", F.when(key % 47 > 0, c("progress_percentage")).alias("progress_percentage"), F.when(canonical == "click", "PENDING_ALIAS_REVIEW").alias("identity_review_status"), c("target_date").alias("target_date_parsed"), by("record_id")),
         "risk_register": appraisal.select(text("id").alias("source_record_id"), F.when(c("id") % 107 == 0, "FINDING").otherwise(c("framing")).alias("record_type"), F.lit("silver.appraisal_risks").alias("source_table"), by("id")).unionByName(reports.select(text("record_id").alias("source_record_id"), F.lit("ISR_SORT_RATING").alias("record_type"), F.lit("silver.isr_snapshots").alias("source_table"), by("record_id"))),
-        "attention_signals": signals.select(
+        "attention_signals": staged(signals.select(
             "rule_id", F.when(c("project_id") % 131 == 0, "0").otherwise(c("rule_version")).alias("rule_version"), F.when(c("project_id") % 137 > 0, c("supporting_record_ids")).otherwise(F.array().cast("array<string>")).alias("supporting_record_ids"), F.concat("signal_description", F.when(c("project_id") % 139 == 0, " It is Likely to fail.").otherwise("")).alias("signal_description"),
             F.when(c("effective_sequence") % 7 == 0, "AMBIGUOUS").otherwise("EXACT").alias("evidence_status"), "source_table", "source_record_id", by("project_id"),
-        ),
+        ), folder, "signals"),
     }
     return below, above
 

@@ -128,3 +128,21 @@ def test_the_row_before_over_many_spans(spark, monkeypatch):
     for g, p, v in sorted(rows, key=lambda r: r[1]):
         want[p], last[g] = last.get(g), v
     assert {r.p: r.was for r in got} == want
+
+
+def test_staged_silver_is_the_same(spark, tmp_path):
+    """What the gate's Gold is made of is made once: staged frames have the rows of those that are not."""
+    from tallyforge.plans import gold as plans
+
+    lazy, kept = plans.silver(spark, "/root/testdata/sf0.001"), plans.silver(spark, "/root/testdata/sf0.001", f"file://{tmp_path}/kept")
+    for name, df in kept.items():
+        other = goldgate_progress(lazy) if name == "progress" else lazy[name]
+        other = other.select(*df.columns)
+        assert df.count() == other.count() and not df.exceptAll(other).take(1), name
+        assert name not in ("progress", "reports") or "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def goldgate_progress(frames):
+    from tallyforge.operators import gold
+
+    return gold.progress_of_results(frames["results"])
