@@ -23,6 +23,8 @@ from tallyforge.staging import shared_folder, staged
 
 #: Vectors in a block at most, queries that meet a block at once, vectors that the centroids are fitted on, and rounds.
 BLOCK, TOGETHER, SAMPLE, ROUNDS = 1024, 256, 8192, 10
+#: Blocks, and packs of queries, of a cell, about: what one task holds of a list.
+CELL = 64
 
 
 @dataclass(frozen=True)
@@ -166,33 +168,71 @@ def wait(spark: SparkSession, index: VectorIndex, version: int, seconds: float,
     return have
 
 
-def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k best scores, ties by key; what ties with the last one is compared before it is cut."""
-    at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) > k else np.arange(len(scores))
-    return at[np.lexsort((keys[at], -scores[at]))][:k]
+class _Pack:
+    """Queries that meet blocks one after the other, with the k best of each so far, ties by key."""
 
+    def __init__(self, vectors: np.ndarray, keys: np.ndarray, k: int):
+        self.vectors, self.norms, self.keys, self.k = vectors, np.sqrt((vectors * vectors).sum(axis=1))[:, None], keys, k
+        self.floor = np.full(len(vectors), -np.inf)
+        self.line, self.found, self.score = np.zeros(0, int), None, np.zeros(0)
 
-def _scored(blocks: DataFrame, packs: DataFrame, index: VectorIndex, query_key: str, query_type: str, k: int, places: int) -> DataFrame:
-    """(query, key, score): each block's k best for each query that meets it, as products of two small matrices."""
+    def meet(self, x: np.ndarray, keys: np.ndarray, places: int) -> None:
+        s = np.round((self.vectors @ x.T) / (self.norms * np.sqrt((x * x).sum(axis=1))[None, :]), places)
+        if len(keys) > self.k:  # what ties with the last one is compared before it is cut
+            self.floor = np.maximum(self.floor, np.partition(s, len(keys) - self.k, axis=1)[:, len(keys) - self.k])
+        line, at = np.nonzero(s >= self.floor[:, None])
+        line, score = np.concatenate([self.line, line]), np.concatenate([self.score, s[line, at]])
+        found = keys[at] if self.found is None else np.concatenate([self.found, keys[at]])
+        order = np.lexsort((found, -score, line))
+        line = line[order]
+        rank = np.arange(len(line)) - np.searchsorted(line, line)
+        order = order[rank < self.k]
+        self.line, self.found, self.score = line[rank < self.k], found[order], score[order]
+        last = rank == self.k - 1
+        self.floor[line[last]] = self.score[np.flatnonzero(last[rank < self.k])]
+
+
+def _scored(blocks: DataFrame, packs: DataFrame, index: VectorIndex, query_key: str, query_type: str, k: int, places: int, groups: tuple[int, int]) -> DataFrame:
+    """(query, key, score): each query's k best of each cell, as products of small matrices.
+
+    A list's blocks and packs of queries are dealt to ``groups``, and each pair of groups is a cell. A task holds a cell's packs and
+    reads its blocks one by one, so what it holds and what it passes on doesn't grow with the table.
+    """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told() -> Iterator[pd.DataFrame]:
+            for p in held:
+                if len(p.line):
+                    yield pd.DataFrame({query_key: p.keys[p.line], "key": p.found, "score": p.score})
+
+        cell, held = None, []
         for batch in batches:
             for row in batch.itertuples(index=False):
-                x, q = np.frombuffer(row.vectors).reshape(row.n, -1), np.frombuffer(row.q_vectors).reshape(row.q_n, -1)
+                if (row.list, row.g, row.h) != cell:
+                    yield from told()
+                    cell, held = (row.list, row.g, row.h), []
+                x = np.frombuffer(row.vectors).reshape(row.n, -1)
+                if not row.block:
+                    held.append(_Pack(x, np.asarray(row.q_keys), k))
+                    continue
                 keys = np.asarray(row.keys)
                 if row.places is not None and len(row.places):
                     alive = np.ones(row.n, bool)
                     alive[np.asarray(row.places)] = False
                     x, keys = x[alive], keys[alive]
-                if not len(keys):
-                    continue
-                s = np.round((q @ x.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]), places)
-                found = [_best(line, keys, k) for line in s]
-                yield pd.DataFrame({query_key: np.repeat(np.asarray(row.q_keys), [len(f) for f in found]), "key": keys[np.concatenate(found)], "score": np.concatenate([line[f] for line, f in zip(s, found)])})
-
-    q = packs.select("list", F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"), F.col("n").alias("q_n"))
-    rows = blocks.select("list", "keys", "vectors", "n", "places").join(q, "list").drop("list")
-    # Arrow batches end at spark.sql.execution.arrow.maxBytesPerBatch (64 MB), so a batch holds few pairs of blocks
+                if len(keys):
+                    for p in held:
+                        p.meet(x, keys, places)
+        yield from told()
+
+    own = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    of_blocks, of_packs = groups
+    a = blocks.select("list", own(of_blocks).alias("g"), every(of_packs).alias("h"), F.lit(True).alias("block"), "keys", none(f"array<{query_type}>").alias("q_keys"), "vectors", "n", "places")
+    b = packs.select("list", every(of_blocks).alias("g"), own(of_packs).alias("h"), F.lit(False).alias("block"), none(f"array<{index.key_type}>").alias("keys"), F.col("keys").alias("q_keys"), "vectors", "n", none("array<int>").alias("places"))
+    rows = a.unionByName(b).repartition("list", "g", "h").sortWithinPartitions("list", "g", "h", "block")
+    # Arrow batches end at spark.sql.execution.arrow.maxBytesPerBatch (64 MB)
     return rows.mapInPandas(score, f"{query_key} {query_type}, key {index.key_type}, score double")
 
 
@@ -207,8 +247,11 @@ def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, query_ke
     query_type = queries.schema[query_key].dataType.simpleString()
     asked = usable(queries, query_key, query_vector).select(F.col(query_key).alias("key"), F.col(query_vector).cast("array<double>").alias("vector"))
     blocks = _blocks(spark, index, upto)
-    # the lists' widest angles: a row a list
-    wide = {r.list: np.arccos(min(1.0, r.least)) for r in blocks.groupBy("list").agg(F.min("least").alias("least")).collect()}
+    # the lists' widest angles and sizes: a row a list
+    lists = blocks.groupBy("list").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("blocks")).collect()
+    wide = {r.list: np.arccos(min(1.0, r.least)) for r in lists}
+    # a list's queries are packed in at most 16 tasks, each of which may leave one pack that is not full
+    groups = -(-max((r.blocks for r in lists), default=1) // CELL), -(-(asked.count() // TOGETHER + 16) // CELL)
     radius = np.array([wide.get(i, 0.0) for i in range(len(c))])
     most = k if itself else k + 1
 
@@ -228,7 +271,7 @@ def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, query_ke
             yield pd.DataFrame({"list": number.astype(np.int32), "key": batch["key"].to_numpy()[at], "vector": batch["vector"].to_numpy()[at], "near": 1.0})
 
     made = f"list int, key {query_type}, vector array<double>, near double"
-    scored = lambda rows: _scored(blocks, _packed(rows, query_type, TOGETHER, "q"), index, query_key, query_type, most, places)
+    scored = lambda rows: _scored(blocks, _packed(rows, query_type, TOGETHER, "q"), index, query_key, query_type, most, places, groups)
     hits = scored(asked.mapInPandas(lambda b: lists_of(b, False), made))
     if exact and len(c) > probes:
         hits = staged(hits, shared_folder(spark), "hits")  # read twice: for the bounds and for the answer

@@ -105,3 +105,22 @@ def test_empty(spark):
     vectors.sync(spark, index, spark.read.parquet(f"{folder}/feed"))
     assert near(got(vectors.search(spark, index, q, "q", "v", 3)), {(1, 1, 1.0, 1), (1, 2, 0.0, 2), (2, 2, 1.0, 1), (2, 1, 0.0, 2)})
     assert not got(vectors.search(spark, index, q.filter(F.lit(False)), "q", "v", 3))
+
+
+def test_cells_pass_on_few_rows(spark, tmp_path, monkeypatch):
+    """However many blocks a list has, a cell passes on k rows of each query; cut into cells the answer stays the same."""
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = vectors.built(df, "id", "v", f"file://{tmp_path}/cells", lists=3)
+    q = df.filter("id % 20 = 0").withColumnRenamed("id", "q")
+    wide = got(vectors.search(spark, index, q, "q", "v", 5, probes=1))
+    monkeypatch.setattr(vectors, "CELL", 2)
+    assert wide == got(vectors.search(spark, index, q, "q", "v", 5, probes=1)) and len(wide) == 150
+    made = "list int, key long, vector array<double>, near double"
+    packs = vectors._packed(spark.createDataFrame([(0, r[0], r[1], 1.0) for r in rows[:10]], made), "long", 256, "q")
+    blocks = vectors._blocks(spark, index, 0).withColumn("list", F.lit(0))
+    assert blocks.count() > 60
+    hits = vectors._scored(blocks, packs, index, "q", "long", 5, 9, (1, 1))
+    assert hits.count() == 50
